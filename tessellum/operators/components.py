@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellum.session import cut
+from tessellum.session import cut, shuffled
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -18,10 +18,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = cut(both.union(both.select("b", "a")).toDF("node", "other").distinct())
     labels = edges.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label"))
     while True:
-        near = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
+        near = edges.join(shuffled(labels.select(F.col("node").alias("other"), "label")), "other").groupBy("node").agg(F.min("label").alias("near"))
+        step = labels.join(shuffled(near), "node").select("node", "label", F.least("label", "near").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("jump"))
-        after = cut(step.join(jump, "new", "left").select("node", F.least("new", F.coalesce("jump", "new")).alias("next"), "label"))
+        after = cut(step.join(shuffled(jump), "new", "left").select("node", F.least("new", F.coalesce("jump", "new")).alias("next"), "label"))
         changed = not after.where("next <> label").isEmpty()
         labels = after.select("node", F.col("next").alias("label"))
         if not changed:

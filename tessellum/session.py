@@ -42,3 +42,8 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int, by
     spread = left.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
     many = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return spread.join(many, [*on, "_salt"], how).drop("_salt")
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """Mark the side of a join that grows with the data: it is shuffled and merged, never broadcast on an estimate."""
+    return df.hint("merge")
