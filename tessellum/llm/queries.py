@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.llm import canonical, layout_dedup, licensing, near_dup, shared_spans
+from tessellum.llm import canonical, layout_dedup, licensing, near_dup, origin, shared_spans
 from tessellum.sources.tables import table
 
 #: Near-duplicates as TESTDATA.md states them for problem 2: three words, a similarity of 0.7.
@@ -17,6 +17,14 @@ P2_WORDS, P2_SIMILARITY = 3, Fraction(7, 10)
 P2_TABLES = {"snippets": "text", "license_patterns": "pattern"}
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return origin.found(*(table(spark, folder, t) for t in ("matched_files", "package_components", "bot_packages")))
+
+
+def p1_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    return origin.classify(*(table(spark, folder, t) for t in ("matched_files", "package_components", "bot_packages")))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     parts = [near_dup.found(table(spark, folder, name), "id", text, P2_SIMILARITY, P2_WORDS).select(F.lit(name).alias("source_table"), "id_a", "id_b") for name, text in P2_TABLES.items()]
     return parts[0].union(parts[1])
@@ -56,7 +64,7 @@ def p6_collapsed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_values, p4_found, p4_files, p5_found, p6_found, p6_collapsed)}
+    return {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_groups, p3_found, p3_values, p4_found, p4_files, p5_found, p6_found, p6_collapsed)}
 
 
 def oracle_sql() -> dict[str, str]:
