@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.llm import canonical, layout_dedup, licensing, near_dup, origin, residue, shared_spans
+from tessellum.llm import canonical, layout_dedup, licensing, mixing, near_dup, origin, packing, residue, shared_spans
 from tessellum.sources.tables import table
 
 #: Near-duplicates as TESTDATA.md states them for problem 2: three words, a similarity of 0.7.
@@ -63,6 +63,23 @@ def p6_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return layout_dedup.collapsed(table(spark, folder, "snippets"))
 
 
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill(packing.pack(table(spark, folder, "documents")))
+
+
+def p8_draws(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.draws(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    targets = table(spark, folder, "mix_targets")
+    return mixing.shares(mixing.draws(table(spark, folder, "documents"), targets), targets)
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.found(table(spark, folder, "documents"))
 
@@ -72,7 +89,7 @@ def p9_validation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_groups, p3_found, p3_values, p4_found, p4_files, p5_found, p6_found, p6_collapsed, p9_found, p9_validation)}
+    return {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_groups, p3_found, p3_values, p4_found, p4_files, p5_found, p6_found, p6_collapsed, p7_containers, p7_fill, p8_draws, p8_shares, p9_found, p9_validation)}
 
 
 def oracle_sql() -> dict[str, str]:
