@@ -4,7 +4,7 @@ The mixture is as large as the sources allow: the source that is shortest of tok
 their highest number of repeats, sets the total. The total is divided into equal blocks of tokens, which are allotted to
 the sources by Sainte-Lague's highest quotients, and those of a source to its shards in the same way by the tokens that a
 shard holds. So every shard knows its integer quota before anything is drawn, and draws alone: every record as often as the
-quota goes into the shard's tokens, then, in a seeded order, records as long as they fit, then the longest one that fills
+quota goes into the shard's tokens, then, in a seeded order, records as long as they fit, then the longest one that fits
 the gap.
 
 Defined results: records of unlisted or null sources, without tokens, or with a null id are not drawn; a target share that is
@@ -81,16 +81,19 @@ def draws(records: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_c
     # one row per SHARD records
     supply = {(r.source, r.shard): r.tokens for r in sharded.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).collect()}
     quota = quotas(supply, wanted)
-    rows = [(s, int(k), int(q), int(supply[s, k])) for (s, k), q in quota.items()]
-    table = spark.createDataFrame(rows, "source string, shard long, quota long, held long")
+    rows = [(s, int(k), int(q), int(supply[s, k]), wanted[s][1]) for (s, k), q in quota.items()]
+    table = spark.createDataFrame(rows, "source string, shard long, quota long, held long, most long")
     each = sharded.join(shuffled(table), ["source", "shard"]).withColumn("base", F.expr("quota div held")).withColumn("rest", F.expr("quota % held"))
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id")
     shard = Window.partitionBy("source", "shard")
     run = each.withColumn("sum", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("once", F.col("sum") <= F.col("rest"))
     gap = run.withColumn("gap", F.col("rest") - F.coalesce(F.max(F.when(F.col("once"), F.col("sum"))).over(shard), F.lit(0)))
-    fits = ~F.col("once") & (F.col("tokens") <= F.col("gap"))
-    last = gap.withColumn("fills", F.max(F.when(fits, F.struct("tokens", "id"))).over(shard))
-    drawn = last.withColumn("draws", F.col("base") + F.when(F.col("once") | F.coalesce(F.col("fills.id") == F.col("id"), F.lit(False)), 1).otherwise(0))
+    once = gap.withColumn("draws", F.col("base") + F.col("once").cast("long"))
+    # the longest record that fits the gap and may be drawn again, as often as both allow
+    fits = (F.col("tokens") <= F.col("gap")) & (F.col("draws") < F.col("most"))
+    last = once.withColumn("fills", F.max(F.when(fits, F.struct("tokens", "id"))).over(shard))
+    more = F.when(F.col("fills.id") == F.col("id"), F.least(F.expr("gap div tokens"), F.col("most") - F.col("draws"))).otherwise(0)
+    drawn = last.withColumn("draws", F.col("draws") + more)
     return drawn.where("draws > 0").select(F.col("id").alias("doc_id"), "source", F.col("tokens").alias("n_tokens"), F.col("draws").cast("long").alias("draws"))
 
 
