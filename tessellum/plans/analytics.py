@@ -1 +1,249 @@
-"""To come."""
+"""License analytics: matching, blocks, scores and their resolution."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tessellum.functions.paths import dir_key, is_license_filename
+from tessellum.functions.text import words
+from tessellum.operators import phrase_match
+from tessellum.plans.catalog import Tables, query
+from tessellum.plans.windows import islands
+
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+#: Words per shingle, rarest shingles that choose candidates, shared rare shingles that a winner needs, and their weight.
+K, PROBE, SHARED, RARE = 3, 20, 2, 4.0
+
+
+@query("LA01_tokens", f"SELECT id, len({_WORDS.format('pattern')}) AS tokens FROM license_patterns WHERE pattern IS NOT NULL")
+def _(t: Tables) -> DataFrame:
+    return t.license_patterns.where("pattern is not null").select("id", F.size(words(F.col("pattern"))).cast("long").alias("tokens"))
+
+
+@query("LA02_matches")
+def _(t: Tables) -> DataFrame:
+    return phrase_match.matches(t.documents, t.license_patterns, "doc_id", "text")
+
+
+@query("LA02_texts_with_pattern", rf"""SELECT DISTINCT s.id AS text_id, p.id AS pattern_id FROM (SELECT id, ' ' || array_to_string({_WORDS.format('text')}, ' ') || ' ' AS x FROM snippets WHERE text IS NOT NULL) s
+  JOIN (SELECT id, ' ' || array_to_string({_WORDS.format('pattern')}, ' ') || ' ' AS x FROM license_patterns WHERE NOT regexp_matches(pattern, '(?i)\$SKIP') AND len({_WORDS.format('pattern')}) > 0) p ON contains(s.x, p.x)""")
+def _(t: Tables) -> DataFrame:
+    plain = t.license_patterns.where(~F.col("pattern").rlike(r"(?i)\$SKIP"))
+    return phrase_match.matches(t.snippets, plain, "id", "text", resolve=False).select("text_id", "pattern_id").distinct()
+
+
+@query("LA03_scoped_patterns", "SELECT b.id AS package, count(*) AS patterns FROM bot_packages b JOIN license_patterns p ON p.packname = b.name GROUP BY b.id")
+def _(t: Tables) -> DataFrame:
+    scoped = t.license_patterns.where("packname <> ''").groupBy(F.col("packname").alias("name")).agg(F.count("*").alias("patterns"))
+    return t.bot_packages.select(F.col("id").alias("package"), "name").join(scoped, "name").select("package", "patterns")
+
+
+@query("LA05_snippet_blocks", """WITH m AS (SELECT m.file, m.sline, m.eline, coalesce(p.license, '') <> '' AS licensed FROM pattern_matches m JOIN license_patterns p ON p.id = m.pattern WHERE m.generation = 0 AND NOT m.ignored),
+  k AS (SELECT DISTINCT file, greatest(sline - 1, 1) AS sline, eline + 1 AS eline FROM m WHERE NOT licensed AND NOT EXISTS (SELECT 1 FROM m l WHERE l.licensed AND l.file = m.file AND l.sline <= m.sline AND l.eline >= m.eline)),
+  r AS (SELECT *, max(eline) OVER (PARTITION BY file ORDER BY sline, eline ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM k),
+  b AS (SELECT *, sum(CASE WHEN reach IS NULL OR sline > reach + 6 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY sline, eline) AS block FROM r)
+  SELECT file, min(sline) AS sline, max(eline) AS eline FROM b GROUP BY file, block""")
+def _(t: Tables) -> DataFrame:
+    """Blocks around keyword lines that no licensed span explains; blocks at most six lines apart are one."""
+    p = t.license_patterns.select(F.col("id").alias("pattern"), (F.coalesce("license", F.lit("")) != "").alias("licensed"))
+    m = t.pattern_matches.where("generation = 0 AND NOT ignored").select("file", "pattern", "sline", "eline").join(p, "pattern")
+    spans = m.where("licensed").select(F.col("file").alias("f"), F.col("sline").alias("s"), F.col("eline").alias("e"))
+    keywords = m.where(~F.col("licensed")).join(spans, (F.col("file") == F.col("f")) & (F.col("s") <= F.col("sline")) & (F.col("e") >= F.col("eline")), "left_anti")
+    marked = keywords.select("file", F.greatest(F.col("sline") - 1, F.lit(1)).alias("sline"), (F.col("eline") + 1).alias("eline")).distinct()
+    return islands(marked, 6)
+
+
+@query("LA06_content_hash", "SELECT id, md5(text || chr(10)) AS content, coalesce(lower(hash) = md5(text || chr(10)), false) AS agrees FROM snippets WHERE text IS NOT NULL")
+def _(t: Tables) -> DataFrame:
+    content = F.md5(F.concat("text", F.lit("\n")))
+    return t.snippets.where("text is not null").select("id", content.alias("content"), F.coalesce(F.lower("hash") == content, F.lit(False)).alias("agrees"))
+
+
+@query("LA07_find_or_create", "SELECT md5(text) AS content, min(id) AS id, count(*) AS rows FROM snippets WHERE text IS NOT NULL GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    return t.snippets.where("text is not null").groupBy(F.md5("text").alias("content")).agg(F.min("id").alias("id"), F.count("*").alias("rows"))
+
+
+def shingles(word_array: Column) -> Column:
+    """Distinct shingles of K words; a shorter text has its single words."""
+    n = F.size(word_array)
+    long = F.transform(F.sequence(F.lit(1), n - (K - 1)), lambda i: F.array_join(F.slice(word_array, i, K), ","))
+    return F.array_distinct(F.when(n >= K, long).otherwise(word_array))
+
+
+def _sql_shingles(table: str, text: str, keep: str, where: str) -> str:
+    w = _WORDS.format(text)
+    return (
+        f"(SELECT DISTINCT {keep}, CASE WHEN len(w) >= {K} THEN array_to_string(w[i:i + {K - 1}], ',') ELSE w[i] END AS s FROM (SELECT *, unnest(generate_series(1, CASE WHEN len(w) >= {K} THEN len(w) - {K - 1} ELSE len(w) END)) AS i"
+        f" FROM (SELECT *, {w} AS w FROM {table} WHERE {where})))"
+    )
+
+
+_NAMED = "license IS NOT NULL AND license <> ''"
+_SIGNATURES = f"sig AS {_sql_shingles('license_patterns', 'pattern', 'license', _NAMED)}, nl AS (SELECT count(DISTINCT license) AS n FROM sig), idf AS (SELECT s, ln((n + 1) / (count(*) + 1)) + 1 AS w FROM sig, nl GROUP BY s, n)"
+
+
+def signatures(patterns: DataFrame) -> DataFrame:
+    """(license, s): the shingles of all patterns of a license; keyword patterns have none."""
+    named = patterns.where("license is not null and license <> ''")
+    return named.select("license", F.explode(shingles(words(F.col("pattern")))).alias("s")).distinct()
+
+
+def weights(sig: DataFrame) -> DataFrame:
+    """(s, w): the inverse license frequency of each shingle, ln((N + 1) / (df + 1)) + 1."""
+    n = sig.agg(F.countDistinct("license").alias("n"))
+    return sig.groupBy("s").agg(F.count("*").alias("df")).crossJoin(n).select("s", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("w"))  # a single count
+
+
+@query("LA08_shingles", f"SELECT id, count(*) AS n FROM {_sql_shingles('snippets', 'text', 'id', 'text IS NOT NULL')} GROUP BY id")
+def _(t: Tables) -> DataFrame:
+    return t.snippets.select("id", F.explode(shingles(words(F.col("text")))).alias("s")).groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("LA09_shingle_ids", f"SELECT s AS shingle, CAST('0x' || substr(md5(s), 1, 15) AS BIGINT) AS shingle_id FROM (SELECT DISTINCT s FROM {_sql_shingles('license_patterns', 'pattern', 'license', 'license IS NOT NULL')})")
+def _(t: Tables) -> DataFrame:
+    s = t.license_patterns.where("license is not null").select(F.explode(shingles(words(F.col("pattern")))).alias("shingle")).distinct()
+    return s.select("shingle", F.conv(F.substring(F.md5("shingle"), 1, 15), 16, 10).cast("long").alias("shingle_id"))
+
+
+@query("LA10_signature_sizes", f"WITH {_SIGNATURES} SELECT license, count(*) AS shingles, round(sum(w), 6) AS weight FROM sig JOIN idf USING (s) GROUP BY license")
+def _(t: Tables) -> DataFrame:
+    sig = signatures(t.license_patterns)
+    return sig.join(weights(sig), "s").groupBy("license").agg(F.count("*").alias("shingles"), F.round(F.sum("w"), 6).alias("weight"))
+
+
+@query("AGG15_license_idf", f"WITH {_SIGNATURES} SELECT s, round(w, 9) AS idf FROM idf")
+def _(t: Tables) -> DataFrame:
+    return weights(signatures(t.license_patterns)).select("s", F.round("w", 9).alias("idf"))
+
+
+def license_scores(snippets: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(id, license, score, first): per snippet and license with enough rare shared shingles, the weight of the shared
+    shingles by that of all; first is the license's smallest pattern. Candidates come from the rarest shingles."""
+    sig = signatures(patterns)
+    idf = weights(sig)
+    own = snippets.where("text is not null").select("id", F.explode(shingles(words(F.col("text")))).alias("s"))
+    weighed = own.join(idf, "s", "left").withColumn("known", F.col("w").isNotNull()).withColumn("w", F.coalesce("w", F.lit(1.0)))
+    total = weighed.groupBy("id").agg(F.sum("w").alias("all"))
+    known = weighed.where("known")
+    rarest = known.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("w"), "s"))).where(F.col("k") <= PROBE)
+    probed = rarest.join(sig, "s").select("id", "license").distinct()
+    shared = known.join(sig, "s").groupBy("id", "license").agg(F.sum("w").alias("both"), F.count_if(F.col("w") >= RARE).alias("rare"))
+    scored = shared.where(F.col("rare") >= SHARED).join(probed, ["id", "license"], "left_semi").join(total, "id")
+    first = patterns.where("license is not null and license <> ''").groupBy("license").agg(F.min("id").alias("first"))
+    return scored.join(first, "license").select("id", "license", F.round(F.col("both") / F.col("all"), 9).alias("score"), "first")
+
+
+_SCORES = f"""{_SIGNATURES}, own AS {_sql_shingles('snippets', 'text', 'id', 'text IS NOT NULL')}, wd AS (SELECT own.id, own.s, coalesce(idf.w, 1.0) AS w, idf.w IS NOT NULL AS known FROM own LEFT JOIN idf ON idf.s = own.s),
+  tot AS (SELECT id, sum(w) AS total FROM wd GROUP BY id), rr AS (SELECT id, s, row_number() OVER (PARTITION BY id ORDER BY w DESC, s) AS k FROM wd WHERE known),
+  pr AS (SELECT DISTINCT rr.id, sig.license FROM rr JOIN sig ON sig.s = rr.s WHERE k <= {PROBE}), sh AS (SELECT wd.id, sig.license, sum(w) AS both_w, count(*) FILTER (WHERE w >= {RARE}) AS rare FROM wd JOIN sig ON sig.s = wd.s WHERE known GROUP BY 1, 2),
+  fi AS (SELECT license, min(id) AS first FROM license_patterns WHERE coalesce(license, '') <> '' GROUP BY license),
+  sc AS (SELECT sh.id, sh.license, round(both_w / total, 9) AS score, fi.first FROM sh JOIN pr ON pr.id = sh.id AND pr.license = sh.license JOIN tot ON tot.id = sh.id JOIN fi ON fi.license = sh.license WHERE rare >= {SHARED})"""
+
+
+def best_licenses(scores: DataFrame) -> DataFrame:
+    """(id, license, match, second): the winner, ties to the smallest pattern, and the score of the runner-up."""
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "first", "license"))
+    top = scores.withColumn("k", place).where("k <= 2")
+    return top.groupBy("id").agg(F.max(F.when(F.col("k") == 1, F.col("license"))).alias("license"), F.max(F.when(F.col("k") == 1, F.col("score"))).alias("match"), F.coalesce(F.max(F.when(F.col("k") == 2, F.col("score"))), F.lit(0.0)).alias("second"))
+
+
+@query("LA11_best_license", f"WITH {_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, first, license) AS k FROM sc) SELECT id, max(license) FILTER (WHERE k = 1) AS license, max(score) FILTER (WHERE k = 1) AS match, coalesce(max(score) FILTER (WHERE k = 2), 0.0) AS second FROM r GROUP BY id")
+def _(t: Tables) -> DataFrame:
+    return best_licenses(license_scores(t.snippets, t.license_patterns))
+
+
+@query("LA13_stale_scores", "SELECT DISTINCT o.package, s.id FROM snippets s JOIN file_snippets o ON o.snippet = s.id WHERE s.score_version IS DISTINCT FROM 2")
+def _(t: Tables) -> DataFrame:
+    stale = t.snippets.where(~F.col("score_version").eqNullSafe(2)).select("id")
+    return t.file_snippets.select("package", F.col("snippet").alias("id")).join(stale, "id").select("package", "id").distinct()
+
+
+def gates(t: Tables, threshold: float = 0.95, margin: float = 0.15, most_risk: int = 4, clear: float = 0.95, guard: float = 0.9) -> DataFrame:
+    """One row per live occurrence with the verdict of each gate: fold, clear, overlap, covered."""
+    p = t.license_patterns.select(F.col("id").alias("like_pattern"), F.col("license").alias("closest"), F.col("risk").alias("closest_risk"), F.col("catch_all").alias("closest_any"))
+    s = t.snippets.select(F.col("id").alias("snippet"), F.col("likelyness").cast("double").alias("m"), F.coalesce(F.col("second_match").cast("double"), F.lit(0.0)).alias("second"), "score_version", "like_pattern", (F.col("license").isNotNull() | ~F.col("classified")).alias("legal")).join(p, "like_pattern", "left")
+    o = t.file_snippets.where("generation = 0").select("id", "package", "file", "snippet", "sline", "eline")
+    rows = o.join(s, "snippet")
+    q = t.license_patterns.where("license is not null and license <> ''").where(~F.col("catch_all")).select(F.col("id").alias("pattern"), F.col("license").alias("found"), "risk")
+    m = t.pattern_matches.where("generation = 0 AND NOT ignored").select("file", "pattern", F.col("sline").alias("s"), F.col("eline").alias("e")).join(q, "pattern")
+    over = o.select("id", "file", "sline", "eline").join(m, "file").where("s <= eline AND e >= sline").groupBy("id").agg(F.collect_set("found").alias("overlapping"))
+    f = t.matched_files.select(F.col("id").alias("file"), dir_key(F.col("filename")).alias("dir"))
+    cover = m.join(f, "file").join(t.matched_files.select(F.col("id").alias("file"), "package"), "file").groupBy("package", "dir").agg(F.max("risk").alias("cover"))
+    rows = rows.join(over, "id", "left").join(f, "file", "left").join(cover, ["package", "dir"], "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    named, current = F.col("closest").isNotNull() & (F.col("closest") != ""), F.col("score_version").eqNullSafe(2)
+    return rows.select(
+        "id",
+        yes(F.col("legal") & current & named & (F.col("m") >= threshold) & (F.round(F.col("m") - F.col("second"), 9) >= margin) & (F.col("closest_risk") <= most_risk)).alias("fold"),
+        yes(F.col("legal") & current & named & (F.col("m") >= clear)).alias("clear"),
+        (F.col("overlapping").isNotNull() & ~yes(named & (F.col("m") >= guard) & ~F.array_contains("overlapping", F.col("closest")))).alias("overlap"),
+        yes(F.col("cover") >= F.when(named, F.col("closest_risk")).otherwise(0)).alias("covered"),
+    )
+
+
+_GATES = """WITH s AS (SELECT s.id AS snippet, CAST(s.likelyness AS DOUBLE) AS m, coalesce(CAST(s.second_match AS DOUBLE), 0.0) AS second, s.score_version, s.license IS NOT NULL OR NOT s.classified AS legal, p.license AS closest, p.risk AS closest_risk FROM snippets s LEFT JOIN license_patterns p ON p.id = s.like_pattern),
+  m AS (SELECT m.file, m.sline, m.eline, p.license, p.risk FROM pattern_matches m JOIN license_patterns p ON p.id = m.pattern WHERE m.generation = 0 AND NOT m.ignored AND coalesce(p.license, '') <> '' AND NOT p.catch_all),
+  f AS (SELECT id, package, regexp_replace(filename, '/[^/]*$', '') AS dir FROM matched_files), c AS (SELECT f.package, f.dir, max(m.risk) AS cover FROM m JOIN f ON f.id = m.file GROUP BY 1, 2),
+  o AS (SELECT o.*, (SELECT list(DISTINCT m.license) FROM m WHERE m.file = o.file AND m.sline <= o.eline AND m.eline >= o.sline) AS ov FROM file_snippets o WHERE o.generation = 0),
+  g AS (SELECT o.id, coalesce(s.legal AND s.score_version IS NOT DISTINCT FROM 2 AND coalesce(s.closest, '') <> '' AND s.m >= 0.95 AND round(s.m - s.second, 9) >= 0.15 AND s.closest_risk <= 4, false) AS fold,
+  coalesce(s.legal AND s.score_version IS NOT DISTINCT FROM 2 AND coalesce(s.closest, '') <> '' AND s.m >= 0.95, false) AS clear,
+  o.ov IS NOT NULL AND NOT coalesce(coalesce(s.closest, '') <> '' AND s.m >= 0.9 AND NOT list_contains(o.ov, s.closest), false) AS overlap,
+  coalesce(c.cover >= CASE WHEN coalesce(s.closest, '') <> '' THEN s.closest_risk ELSE 0 END, false) AS covered
+  FROM o JOIN s ON s.snippet = o.snippet LEFT JOIN f ON f.id = o.file LEFT JOIN c ON c.package = o.package AND c.dir = f.dir) """
+
+
+@query("LA17_20_gates", _GATES + "SELECT id, fold, clear, overlap, covered FROM g")
+def _(t: Tables) -> DataFrame:
+    return gates(t)
+
+
+@query("LA21_resolution", _GATES + "SELECT id, CASE WHEN fold THEN 'fold' WHEN clear THEN 'clear' WHEN overlap THEN 'overlap' WHEN covered THEN 'covered' END AS resolution FROM g")
+def _(t: Tables) -> DataFrame:
+    return gates(t).select("id", F.when(F.col("fold"), "fold").when(F.col("clear"), "clear").when(F.col("overlap"), "overlap").when(F.col("covered"), "covered").alias("resolution"))
+
+
+@query("LA23_report_facts", "SELECT m.package, p.license, p.risk, count(DISTINCT m.file) AS files, count(*) AS matches FROM pattern_matches m JOIN license_patterns p ON p.id = m.pattern WHERE m.generation = 0 AND NOT m.ignored AND coalesce(p.license, '') <> '' GROUP BY 1, 2, 3")
+def _(t: Tables) -> DataFrame:
+    p = t.license_patterns.where("coalesce(license, '') <> ''").select(F.col("id").alias("pattern"), "license", "risk")
+    return t.pattern_matches.where("generation = 0 AND NOT ignored").join(p, "pattern").groupBy("package", "license", "risk").agg(F.countDistinct("file").alias("files"), F.count("*").alias("matches"))
+
+
+@query("LA26_pair_proximity", """WITH f AS (SELECT DISTINCT m.package, m.file, p.spdx FROM pattern_matches m JOIN license_patterns p ON p.id = m.pattern WHERE m.generation = 0 AND NOT m.ignored AND p.spdx <> '')
+  SELECT a.package, a.spdx AS a, b.spdx AS b, count(*) AS same_file FROM f a JOIN f b ON a.package = b.package AND a.file = b.file AND a.spdx < b.spdx GROUP BY 1, 2, 3""")
+def _(t: Tables) -> DataFrame:
+    p = t.license_patterns.where("spdx <> ''").select(F.col("id").alias("pattern"), "spdx")
+    f = t.pattern_matches.where("generation = 0 AND NOT ignored").join(p, "pattern").select("package", "file", "spdx").distinct()
+    pairs = f.select("package", "file", F.col("spdx").alias("a")).join(f.select("package", "file", F.col("spdx").alias("b")), ["package", "file"]).where("a < b")
+    return pairs.groupBy("package", "a", "b").agg(F.count("*").alias("same_file"))
+
+
+@query("LA29_legal_documents", """SELECT f.package, f.id AS file, count(m.id) AS matches FROM matched_files f LEFT JOIN pattern_matches m ON m.file = f.id AND m.generation = 0 WHERE f.generation = 0
+  AND regexp_matches(regexp_extract(f.filename, '[^/]*$'), '(?i)^(?:LICEN[CS]E|COPYING|COPYRIGHT|NOTICE|EULA|LEGAL|UNLICENSE|THIRD[_-]?PARTY)(?:[.\\-]|$)') AND NOT regexp_matches(f.filename, '(?i)\\.(?:asm|awk|bash|c|cc|cjs|cpp|cs|cxx|dart|el|go|gradle|groovy|h|hh|hpp|java|jl|js|jsx|kt|lua|mjs|mm|php|pl|pm|py|rb|rs|scala|sh|sql|swift|tcl|ts|tsx|vim)$') GROUP BY 1, 2""")
+def _(t: Tables) -> DataFrame:
+    legal = t.matched_files.where("generation = 0").where(is_license_filename(F.col("filename"))).select("package", F.col("id").alias("file"))
+    counts = t.pattern_matches.where("generation = 0").groupBy("file").agg(F.count("*").alias("matches"))
+    return legal.join(counts, "file", "left").na.fill(0, ["matches"]).select("package", "file", "matches")
+
+
+@query("LA34_backfilled_components", """WITH d AS (SELECT package, regexp_replace(source, '/[^/]*$', '') AS dir, count(DISTINCT purl) AS n, min(id) AS id FROM package_components WHERE generation = 0 GROUP BY 1, 2),
+  l AS (SELECT m.package, regexp_replace(f.filename, '/[^/]*$', '') AS dir, min(p.spdx) AS low, max(p.spdx) AS high FROM pattern_matches m JOIN license_patterns p ON p.id = m.pattern JOIN matched_files f ON f.id = m.file WHERE m.generation = 0 AND NOT m.ignored AND p.spdx <> '' GROUP BY 1, 2)
+  SELECT d.id, l.low AS license FROM d JOIN l ON l.package = d.package AND l.dir = d.dir WHERE d.n = 1 AND l.low = l.high""")
+def _(t: Tables) -> DataFrame:
+    d = t.package_components.where("generation = 0").groupBy("package", dir_key(F.col("source")).alias("dir")).agg(F.countDistinct("purl").alias("n"), F.min("id").alias("id")).where("n = 1")
+    p = t.license_patterns.where("spdx <> ''").select(F.col("id").alias("pattern"), "spdx")
+    f = t.matched_files.select(F.col("id").alias("file"), dir_key(F.col("filename")).alias("dir"))
+    l = t.pattern_matches.where("generation = 0 AND NOT ignored").join(p, "pattern").join(f, "file").groupBy("package", "dir").agg(F.min("spdx").alias("low"), F.max("spdx").alias("high")).where("low = high")
+    return d.join(l, ["package", "dir"]).select("id", F.col("low").alias("license"))
+
+
+@query("LA36_delta_score", """WITH r AS (SELECT DISTINCT m.package, p.license, max(p.risk) OVER (PARTITION BY m.package, p.license) AS risk FROM pattern_matches m JOIN license_patterns p ON p.id = m.pattern WHERE m.generation = 0 AND NOT m.ignored AND coalesce(p.license, '') <> ''),
+  b AS (SELECT id, lag(id) OVER (PARTITION BY name ORDER BY id) AS before FROM bot_packages) SELECT b.id, CAST(sum(10 * r.risk) AS BIGINT) AS score FROM b JOIN r ON r.package = b.id WHERE b.before IS NOT NULL AND NOT EXISTS (SELECT 1 FROM r o WHERE o.package = b.before AND o.license = r.license) GROUP BY b.id""")
+def _(t: Tables) -> DataFrame:
+    p = t.license_patterns.where("coalesce(license, '') <> ''").select(F.col("id").alias("pattern"), "license", "risk")
+    r = t.pattern_matches.where("generation = 0 AND NOT ignored").join(p, "pattern").groupBy("package", "license").agg(F.max("risk").alias("risk"))
+    b = t.bot_packages.select("id", F.lag("id").over(Window.partitionBy("name").orderBy("id")).alias("before")).where("before is not null")
+    new = b.join(r, F.col("id") == F.col("package")).select("id", "before", "license", "risk")
+    known = r.select(F.col("package").alias("before"), "license")
+    return new.join(known, ["before", "license"], "left_anti").groupBy("id").agg(F.sum(F.col("risk") * 10).alias("score"))

@@ -1 +1,126 @@
-"""To come."""
+"""Text search, normalization and harvest."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessellum.functions import legal_text
+from tessellum.functions.similarity import trigram_similarity, trigrams
+from tessellum.functions.text import words
+from tessellum.operators.expressions import canonical_expression
+from tessellum.plans.catalog import Tables, query
+
+_TRIGRAMS = """t AS (SELECT DISTINCT s, substr('  ' || w || ' ', CAST(i AS BIGINT), 3) AS g FROM (SELECT s, w, unnest(generate_series(1, length(w) + 1)) AS i FROM (SELECT s, unnest(regexp_extract_all(lower(s), '[\\p{L}\\p{N}]+')) AS w FROM (SELECT DISTINCT name AS s FROM bot_packages)))),
+  n AS (SELECT s, count(*) AS n FROM t GROUP BY s)"""
+
+
+def similar_names(names: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of names, a < b, that share a trigram, from an inverted index."""
+    listed = names.select(F.col("name").alias("s"), trigrams(F.col("name")).alias("g")).where("s is not null").distinct()
+    long = listed.select("s", F.explode("g").alias("gram"))
+    pairs = long.select(F.col("s").alias("a"), "gram").join(long.select(F.col("s").alias("b"), "gram"), "gram").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+    n = listed.select("s", F.size("g").alias("n"))
+    sized = pairs.join(n.select(F.col("s").alias("a"), F.col("n").alias("n_a")), "a").join(n.select(F.col("s").alias("b"), F.col("n").alias("n_b")), "b")
+    return sized.select("a", "b", F.round(F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")), 9).alias("similarity")).where(F.col("similarity") >= least)
+
+
+@query("ST01_trigram_similarity", f"WITH {_TRIGRAMS}, p AS (SELECT x.s AS a, y.s AS b, count(*) AS k FROM t x JOIN t y ON x.g = y.g AND x.s < y.s GROUP BY 1, 2) SELECT a, b, round(k / (na.n + nb.n - k), 9) AS similarity FROM p JOIN n na ON na.s = a JOIN n nb ON nb.s = b WHERE round(k / (na.n + nb.n - k), 9) >= 0.3")
+def _(t: Tables) -> DataFrame:
+    return similar_names(t.bot_packages, 0.3)
+
+
+@query("ST02_like_name", None)
+def _(t: Tables) -> DataFrame:
+    wanted = trigrams(F.lit("python-vinedax"))
+    return t.bot_packages.select("id", "name", F.round(trigram_similarity(trigrams(F.col("name")), wanted), 9).alias("similarity")).where("similarity > 0.3")
+
+
+@query("ST03_full_text", r"SELECT id FROM snippets WHERE text IS NOT NULL AND list_has_all(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ['license', 'terms']) AND NOT list_contains(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 'patent')")
+def _(t: Tables) -> DataFrame:
+    """All of some words, none of others; words are compared as they stand, without stemming."""
+    w = words(F.col("text"))
+    return t.snippets.where(F.array_contains(w, "license") & F.array_contains(w, "terms") & ~F.array_contains(w, "patent")).select("id")
+
+
+@query("ST03_phrase", r"SELECT id FROM snippets WHERE contains(' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ', ' charging for help ')")
+def _(t: Tables) -> DataFrame:
+    flat = F.concat(F.lit(" "), F.array_join(words(F.col("text")), " "), F.lit(" "))
+    return t.snippets.where(F.contains(flat, F.lit(" charging for help "))).select("id")
+
+
+@query("ST04_normalized_text", r"""SELECT id, trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+  '(?m)^[ \t]*(?://+|/?\*+/?|#+|;+|--+|\.\\"|dnl\b)[ \t]?', '', 'g'), '(?im)^.*(?:copyright|\(c\)) .*$', '', 'g'), '<[^<>\n]{1,200}>', ' ', 'g'), '&[a-z]{2,8};|&#[0-9]{1,6};', ' ', 'g'), 'https?://[^\s,;)>"''`]{1,200}', ' ', 'g'), '[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,4}', ' ', 'g')), '\s+', ' ', 'g'), ' ') AS normalized FROM snippets WHERE text IS NOT NULL""")
+def _(t: Tables) -> DataFrame:
+    return t.snippets.where("text is not null").select("id", legal_text.normalized_license_text(F.col("text")).alias("normalized"))
+
+
+@query("ST05_normalized_expression", r"""WITH e AS (SELECT DISTINCT license, replace(replace(regexp_replace(lower(trim(license, ' ')), '\s+', ' ', 'g'), 'licenseref-', ''), '+', '-or-later') AS x FROM license_patterns WHERE license IS NOT NULL)
+  SELECT license, CASE WHEN regexp_matches(x, ' or ') AND NOT regexp_matches(x, ' and | with |[()]') THEN array_to_string(list_sort(list_distinct(string_split(x, ' or '))), ' or ') ELSE x END AS normalized FROM e""")
+def _(t: Tables) -> DataFrame:
+    return t.license_patterns.where("license is not null").select("license").distinct().select("license", legal_text.normalized_expression(F.col("license")).alias("normalized"))
+
+
+@query("ST06_known_ids", r"SELECT p.id, l.license_id FROM (SELECT DISTINCT id, ' ' || regexp_replace(license, '[^\w.+-]+', ' ', 'g') || ' ' AS x FROM license_patterns WHERE license IS NOT NULL) p JOIN license_list l ON contains(lower(p.x), ' ' || lower(l.license_id) || ' ')")
+def _(t: Tables) -> DataFrame:
+    atoms = t.license_patterns.where("license is not null").select("id", F.explode(F.split(F.regexp_replace("license", r"[^\w.+-]+", " "), " ")).alias("atom")).select("id", F.lower("atom").alias("atom")).distinct()
+    known = t.license_list.select("license_id", F.lower("license_id").alias("atom"))
+    return atoms.join(F.broadcast(known), "atom").select("id", "license_id")  # the list has a fixed size
+
+
+@query("ST07_only_expression", r"SELECT DISTINCT license, regexp_matches(license, '^[\w.+-]+(?: (?:AND|OR|WITH) [\w.+-]+)*$') AS expression FROM license_patterns WHERE license IS NOT NULL")
+def _(t: Tables) -> DataFrame:
+    return t.license_patterns.where("license is not null").select("license").distinct().select("license", F.col("license").rlike(r"^[\w.+-]+(?: (?:AND|OR|WITH) [\w.+-]+)*$").alias("expression"))
+
+
+@query("ST08_canonical_expression", None)
+def _(t: Tables) -> DataFrame:
+    return t.license_patterns.where("license is not null").select("license").distinct().select("license", canonical_expression(F.col("license")).alias("canonical"))
+
+
+@query("ST11_urls_and_emails", r"SELECT doc_id, len(regexp_extract_all(text, 'https?://[^\s,;)>\x22''`]{1,200}')) AS urls, len(regexp_extract_all(lower(text), '[a-z0-9._%+-]{1,64}@[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,4}')) AS emails FROM documents WHERE text IS NOT NULL")
+def _(t: Tables) -> DataFrame:
+    return t.documents.where("text is not null").select("doc_id", F.size(legal_text.urls(F.col("text"))).cast("long").alias("urls"), F.size(legal_text.emails(F.col("text"))).cast("long").alias("emails"))
+
+
+@query("ST12_copyrights", None)
+def _(t: Tables) -> DataFrame:
+    return t.documents.where("text is not null").select("doc_id", F.explode(legal_text.copyrights(F.col("text"))).alias("notice"))
+
+
+@query("ST15_skips", r"SELECT id, regexp_matches(pattern, '\$SKIP\d*') AS has_skip, regexp_matches(trim(pattern), '^\$SKIP\d*|\$SKIP\d*$') AS redundant FROM license_patterns WHERE pattern IS NOT NULL")
+def _(t: Tables) -> DataFrame:
+    return t.license_patterns.where("pattern is not null").select("id", F.col("pattern").rlike(r"\$SKIP\d*").alias("has_skip"), F.trim("pattern").rlike(r"^\$SKIP\d*|\$SKIP\d*$").alias("redundant"))
+
+
+@query("ST17_unexplained_lines", """WITH n AS (SELECT file, sum(eline - sline + 1) AS lines FROM (SELECT DISTINCT file, sline, eline FROM file_snippets WHERE generation = 0) GROUP BY file)
+  SELECT file, CAST(lines AS BIGINT) AS lines FROM n""")
+def _(t: Tables) -> DataFrame:
+    spans = t.file_snippets.where("generation = 0").select("file", "sline", "eline").distinct()
+    return spans.groupBy("file").agg(F.sum(F.col("eline") - F.col("sline") + 1).alias("lines"))
+
+
+@query("ST18_markup", r"SELECT id, regexp_matches(filename, '(?i)\.(?:html?|xml|xhtml|svg)$') AS markup FROM matched_files")
+def _(t: Tables) -> DataFrame:
+    return t.matched_files.select("id", F.col("filename").rlike(r"(?i)\.(?:html?|xml|xhtml|svg)$").alias("markup"))
+
+
+@query("ST19_long_lines", "SELECT doc_id, count(*) AS long_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 115 GROUP BY doc_id")
+def _(t: Tables) -> DataFrame:
+    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.where(F.length("line") > 115).groupBy("doc_id").agg(F.count("*").alias("long_lines"))
+
+
+@query("ST21_original_name", r"SELECT id, regexp_replace(filename, '\.processed(\.[^./]+)?$', '\1') AS filename FROM matched_files")
+def _(t: Tables) -> DataFrame:
+    return t.matched_files.select("id", F.regexp_replace("filename", r"\.processed(\.[^./]+)?$", "$1").alias("filename"))
+
+
+@query("ST22_escaped", "SELECT id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM snippets WHERE text IS NOT NULL")
+def _(t: Tables) -> DataFrame:
+    return t.snippets.where("text is not null").select("id", F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")).alias("html"))
+
+
+@query("ST23_preview", "SELECT id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' || (length(text) - 80) ELSE text END AS preview FROM snippets WHERE text IS NOT NULL")
+def _(t: Tables) -> DataFrame:
+    return t.snippets.where("text is not null").select("id", F.when(F.length("text") > 80, F.concat(F.substring("text", 1, 80), F.lit("..."), (F.length("text") - 80).cast("string"))).otherwise(F.col("text")).alias("preview"))
