@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellum.functions.paths import depth
+from tessellum.operators.ranking import global_rank
 from tessellum.plans.catalog import Tables, query
 
 
@@ -46,7 +47,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("SRT06_byte_order", "SELECT license, row_number() OVER (ORDER BY license) AS place FROM (SELECT DISTINCT license FROM license_patterns WHERE license IS NOT NULL)")
 def _(t: Tables) -> DataFrame:
-    return t.license_patterns.where("license is not null").select("license").distinct().withColumn("place", F.row_number().over(Window.orderBy("license")).cast("long"))  # the distinct licenses of the corpus
+    return global_rank(t.license_patterns.where("license is not null").select("license").distinct(), [F.col("license")])
 
 
 @query("SRT07_top_unresolved", "SELECT package, snippet, n FROM (SELECT package, snippet, count(*) AS n, row_number() OVER (PARTITION BY package ORDER BY count(*) DESC, snippet) AS k FROM file_snippets WHERE generation = 0 AND resolution IS NULL GROUP BY package, snippet) WHERE k <= 10")
@@ -76,8 +77,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("SRT13_keyset_batches", "SELECT (n - 1) // 400 AS batch, min(id) AS first, max(id) AS last, count(*) AS rows FROM (SELECT id, row_number() OVER (ORDER BY id) AS n FROM bot_packages) GROUP BY 1")
 def _(t: Tables, size: int = 400) -> DataFrame:
-    n = t.bot_packages.select("id", F.row_number().over(Window.orderBy("id")).alias("n"))
-    return n.groupBy(F.floor((F.col("n") - 1) / size).cast("long").alias("batch")).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("rows"))
+    n = global_rank(t.bot_packages.select("id"), [F.col("id")], "n")
+    return n.groupBy(F.expr(f"(n - 1) div {size}").alias("batch")).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("rows"))
 
 
 @query("SET01_unsettled", "SELECT DISTINCT package FROM (SELECT package FROM matched_files WHERE generation <> 0 UNION SELECT package FROM pattern_matches WHERE generation <> 0 UNION SELECT package FROM file_snippets WHERE generation <> 0 UNION SELECT package FROM package_components WHERE generation <> 0)")

@@ -1 +1,121 @@
-"""To come."""
+"""Imports, upserts and exports, as the tables that they leave."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessellum.functions import legal_text
+from tessellum.plans.catalog import Tables, query
+
+_BLACKLIST = r"^(?:audio|image|video)/|octet-stream|x-executable|x-sharedlib"
+
+
+@query("SRC01_unpacked_files", f"SELECT id, package, filename FROM matched_files WHERE NOT coalesce(regexp_matches(mimetype, '{_BLACKLIST}'), false) AND NOT contains(filename, '.report.')")
+def _(t: Tables) -> DataFrame:
+    return t.matched_files.where(~F.coalesce(F.col("mimetype").rlike(_BLACKLIST), F.lit(False)) & ~F.contains("filename", F.lit(".report."))).select("id", "package", "filename")
+
+
+@query("SRC02_file_stats", "SELECT package_name, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS size FROM documents GROUP BY package_name")
+def _(t: Tables) -> DataFrame:
+    return t.documents.groupBy("package_name").agg(F.count("*").alias("files"), F.sum("n_chars").alias("size"))
+
+
+@query("SRC03_decoded_head", "SELECT doc_id, substr(text, 1, 300) AS head FROM documents")
+def _(t: Tables) -> DataFrame:
+    """The first characters of a file, strict UTF-8 or else Latin-1."""
+    raw = F.encode("text", "UTF-8")
+    decoded = F.coalesce(F.try_validate_utf8(raw.cast("string")), F.decode(raw, "ISO-8859-1"))
+    return t.documents.select("doc_id", F.when(F.col("text").isNotNull(), F.substring(decoded, 1, 300)).alias("head"))
+
+
+@query("SRC04_lines", "SELECT doc_id, n AS line, printf('%6d  ', n) || substr(lines[n], 1, 8000) AS numbered FROM (SELECT doc_id, lines, unnest(generate_series(1, least(3, len(lines)))) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))")
+def _(t: Tables, first: int = 1, last: int = 3) -> DataFrame:
+    rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
+    rows = rows.withColumn("line", (F.col("at") + 1).cast("long")).where(F.col("line").between(first, last))
+    return rows.select("doc_id", "line", F.concat(F.format_string("%6d  ", "line"), F.substring("text", 1, 8000)).alias("numbered"))
+
+
+@query("SRC07_uploads", "SELECT name, checkout_dir, min(id) AS id FROM bot_packages GROUP BY name, checkout_dir")
+def _(t: Tables) -> DataFrame:
+    return t.bot_packages.groupBy("name", "checkout_dir").agg(F.min("id").alias("id"))
+
+
+@query("SRC09_new_patterns", "SELECT min(id) AS id, token_hexsum FROM license_patterns WHERE token_hexsum IS NOT NULL GROUP BY token_hexsum")
+def _(t: Tables) -> DataFrame:
+    return t.license_patterns.where("token_hexsum is not null").groupBy("token_hexsum").agg(F.min("id").alias("id"))
+
+
+@query("SRC10_labels", "SELECT s.id, CASE WHEN s.confidence >= 50 THEN true ELSE s.license IS NOT NULL END AS license FROM snippets s WHERE NOT s.approved")
+def _(t: Tables) -> DataFrame:
+    return t.snippets.where(~F.col("approved")).select("id", F.when(F.col("confidence") >= 50, True).otherwise(F.col("license").isNotNull()).alias("license"))
+
+
+@query("SRC11_spec_fields", r"SELECT doc_id, regexp_extract(text, '(?m)^License:\s*(.+)$', 1) AS license, regexp_extract(text, '(?m)^Version:\s*(.+)$', 1) AS version, len(regexp_extract_all(text, '(?m)^BuildRequires:')) AS requires FROM documents WHERE source = 'spec_file' AND text IS NOT NULL")
+def _(t: Tables) -> DataFrame:
+    spec = t.documents.where("source = 'spec_file' AND text IS NOT NULL")
+    return spec.select("doc_id", F.regexp_extract("text", r"(?m)^License:\s*(.+)$", 1).alias("license"), F.regexp_extract("text", r"(?m)^Version:\s*(.+)$", 1).alias("version"), F.size(F.regexp_extract_all("text", F.lit(r"(?m)^BuildRequires:"), F.lit(0))).cast("long").alias("requires"))
+
+
+@query("SRC13_expanded_macros", r"SELECT doc_id, replace(replace(text, '%{name}', regexp_extract(text, '(?m)^Name:\s*(\S+)', 1)), '%{version}', regexp_extract(text, '(?m)^Version:\s*(\S+)', 1)) AS expanded FROM documents WHERE source = 'spec_file' AND text IS NOT NULL")
+def _(t: Tables) -> DataFrame:
+    spec = t.documents.where("source = 'spec_file' AND text IS NOT NULL")
+    name, version = F.regexp_extract("text", r"(?m)^Name:\s*(\S+)", 1), F.regexp_extract("text", r"(?m)^Version:\s*(\S+)", 1)
+    return spec.select("doc_id", F.replace(F.replace("text", F.lit("%{name}"), name), F.lit("%{version}"), version).alias("expanded"))
+
+
+@query("SNK01_promoted_build", """WITH g AS (SELECT package, max(generation) AS generation FROM pattern_matches GROUP BY package)
+  SELECT m.id, m.package, 0 AS generation FROM pattern_matches m JOIN g ON g.package = m.package AND g.generation = m.generation""")
+def _(t: Tables) -> DataFrame:
+    """What readers see after every unfinished build has been promoted: the newest generation, relabelled."""
+    newest = t.pattern_matches.groupBy("package").agg(F.max("generation").alias("generation"))
+    return t.pattern_matches.select("id", "package", "generation").join(newest, ["package", "generation"]).select("id", "package", F.lit(0).alias("generation"))
+
+
+@query("SNK02_merged_urls", r"SELECT package_name, url, count(*) AS hits FROM (SELECT package_name, unnest(regexp_extract_all(text, 'https?://[^\s,;)>\x22''`]{1,200}')) AS url FROM documents) GROUP BY 1, 2")
+def _(t: Tables) -> DataFrame:
+    return t.documents.select("package_name", F.explode(legal_text.urls(F.col("text"))).alias("url")).groupBy("package_name", "url").agg(F.count("*").alias("hits"))
+
+
+@query("SNK03_merged_files", "SELECT pattern, package, list_sort(list(DISTINCT file)) AS files FROM pattern_matches WHERE generation = 0 GROUP BY pattern, package")
+def _(t: Tables) -> DataFrame:
+    return t.pattern_matches.where("generation = 0").groupBy("pattern", "package").agg(F.array_sort(F.collect_set("file")).alias("files"))
+
+
+@query("SNK04_merged_components", "SELECT package, purl, min_by(license, id) FILTER (WHERE license IS NOT NULL) AS license FROM package_components WHERE generation = 0 GROUP BY package, purl")
+def _(t: Tables) -> DataFrame:
+    first = F.min(F.when(F.col("license").isNotNull(), F.struct("id", "license")))
+    return t.package_components.where("generation = 0").groupBy("package", "purl").agg(first.alias("m")).select("package", "purl", "m.license")
+
+
+@query("SNK05_sbom_elements", "SELECT id, CAST(json_object('type', 'software_Package', 'spdxId', 'pkg-' || id, 'name', name, 'purl', purl) AS VARCHAR) AS element FROM package_components WHERE generation = 0 AND trim(name) <> ''")
+def _(t: Tables) -> DataFrame:
+    element = F.to_json(F.struct(F.lit("software_Package").alias("type"), F.concat(F.lit("pkg-"), "id").alias("spdxId"), "name", "purl"))
+    return t.package_components.where("generation = 0 AND trim(name) <> ''").select("id", element.alias("element"))
+
+
+@query("SNK06_notice_lines", "SELECT p.license, string_agg(DISTINCT f.filename, chr(10) ORDER BY f.filename) AS files FROM pattern_matches m JOIN license_patterns p ON p.id = m.pattern JOIN matched_files f ON f.id = m.file WHERE m.generation = 0 AND NOT m.ignored AND p.risk >= 6 AND p.license IS NOT NULL GROUP BY p.license")
+def _(t: Tables) -> DataFrame:
+    p = t.license_patterns.where("risk >= 6 AND license IS NOT NULL").select(F.col("id").alias("pattern"), "license")
+    f = t.matched_files.select(F.col("id").alias("file"), "filename")
+    rows = t.pattern_matches.where("generation = 0 AND NOT ignored").join(p, "pattern").join(f, "file").select("license", "filename").distinct()
+    return rows.groupBy("license").agg(F.array_join(F.array_sort(F.collect_list("filename")), "\n").alias("files"))
+
+
+@query("SNK07_component_export", "SELECT CAST(json_object('package', b.name, 'type', c.type, 'name', c.name, 'version', c.version) AS VARCHAR) AS line FROM package_components c JOIN bot_packages b ON b.id = c.package WHERE c.generation = 0 AND NOT b.embargoed AND NOT b.obsolete AND c.name IS NOT NULL AND c.version IS NOT NULL")
+def _(t: Tables) -> DataFrame:
+    b = t.bot_packages.where(~F.col("embargoed") & ~F.col("obsolete")).select(F.col("id").alias("p"), F.col("name").alias("owner"))
+    c = t.package_components.where("generation = 0 AND name IS NOT NULL AND version IS NOT NULL")
+    return c.join(b, F.col("package") == F.col("p")).select(F.to_json(F.struct(F.col("owner").alias("package"), "type", "name", "version")).alias("line"))
+
+
+@query("SNK08_pattern_export", "SELECT unique_id, CAST(json_object('license', license, 'risk', risk) AS VARCHAR) AS line FROM license_patterns WHERE license IS NOT NULL")
+def _(t: Tables) -> DataFrame:
+    return t.license_patterns.where("license is not null").select("unique_id", F.to_json(F.struct("license", "risk")).alias("line"))
+
+
+@query("SNK09_training_export", r"SELECT CASE WHEN s.license IS NOT NULL THEN 'good' ELSE 'bad' END AS label, s.id, regexp_replace(s.text, '\$SKIP\d+', '', 'g') AS text FROM snippets s LEFT JOIN bot_packages b ON b.id = s.package WHERE s.approved AND NOT coalesce(b.embargoed, false)")
+def _(t: Tables) -> DataFrame:
+    b = t.bot_packages.select(F.col("id").alias("package"), "embargoed")
+    rows = t.snippets.where("approved").join(b, "package", "left").where(~F.coalesce("embargoed", F.lit(False)))
+    return rows.select(F.when(F.col("license").isNotNull(), "good").otherwise("bad").alias("label"), "id", F.regexp_replace("text", r"\$SKIP\d+", "").alias("text"))
