@@ -66,9 +66,9 @@ def choose(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 def matches(texts: DataFrame, patterns: DataFrame, id_col: str, text_col: str, pattern_id: str = "id", pattern_col: str = "pattern", resolve: bool = True) -> DataFrame:
     """(text_id, pattern_id, start, end): word positions from 0, end exclusive. With `resolve`, overlaps are decided."""
 
-    @F.udf("array<string>")
-    def tokens(pattern: str) -> list[str]:
-        return pattern_tokens(pattern)
+    @F.pandas_udf("array<string>")
+    def tokens(pattern: pd.Series) -> pd.Series:
+        return pattern.map(pattern_tokens)
 
     coded = patterns.where(F.col(pattern_col).isNotNull()).select(F.col(pattern_id).cast("long").alias("pattern_id"), tokens(pattern_col).alias("tokens")).where(F.size("tokens") > 0)
     gap = F.array_position(F.transform("tokens", lambda x: F.substring(x, 1, 1)), "#")
