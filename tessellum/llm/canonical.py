@@ -181,9 +181,9 @@ def resolve(values: DataFrame, reference: DataFrame, value_col: str = "license",
     parsed = typed.mapInPandas(split, "value string, name string, version string, qualifier string")
     entries = name_forms(reference, id_col, title_col, aliases_col)
 
-    @F.udf("array<string>")
-    def letters(name: str) -> list[str]:
-        return tokens(name)
+    @F.pandas_udf("array<string>")
+    def letters(name: pd.Series) -> pd.Series:
+        return name.map(tokens)
 
     @F.pandas_udf("int")
     def errors(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -208,7 +208,7 @@ def resolve(values: DataFrame, reference: DataFrame, value_col: str = "license",
     )
     listed = entries.select("family", "license_id", F.col("version").alias("has_version"), F.col("qualifier").alias("has_qualifier")).distinct()
     fits = choices.join(bounded_broadcast(listed), "family").where(
-        ((F.col("version") == "") | (F.col("version") == F.col("has_version"))) & ((F.col("qualifier") == "") | (F.col("qualifier") == F.col("has_qualifier")) | (F.col("has_qualifier") == "") & (F.col("has_version") == "") & (F.col("qualifier") == ""))
+        ((F.col("version") == "") | (F.col("version") == F.col("has_version"))) & ((F.col("qualifier") == "") | (F.col("qualifier") == F.col("has_qualifier")))
     )
     single = fits.groupBy("value").agg(F.min("license_id").alias("low"), F.max("license_id").alias("high")).where("low = high").select("value", F.col("low").alias("license_id"))
     verbatim = bounded_broadcast(reference.select(F.col(id_col).alias("value"), F.lit(True).alias("verbatim")).distinct())

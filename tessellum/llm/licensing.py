@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellum.functions.text import basename, directory
+from tessellum.functions.paths import is_license_filename
+from tessellum.functions.text import directory
 from tessellum.llm import canonical
 from tessellum.session import cut, salted_join, shuffled
 
@@ -28,20 +29,6 @@ CONFLICT, UNKNOWN = "CONFLICT", "UNKNOWN"
 #: Parts over which rows of one pattern, package or directory are spread before a join with unique keys.
 SALTS = 16
 
-# The reference's endings of source files, which are never license files, and its names of license files.
-SOURCE_EXTENSIONS = (
-    "asm awk bash c cc cjs cpp cs cxx dart el go gradle groovy h hh hpp java jl js jsx kt lua mjs mm "
-    "php pl pm py rb rs scala sh sql swift tcl ts tsx vim"
-).split()
-LICENSE_NAMES = r"^(?:LICEN[CS]E|COPYING|COPYRIGHT|NOTICE|EULA|LEGAL|UNLICENSE|THIRD[_-]?PARTY)(?:[.\-]|$)"
-
-
-def is_license_file(filename: Column) -> Column:
-    """Whether the last part of a path names a license file."""
-    base = basename(filename)
-    return F.coalesce(base.rlike(f"(?i){LICENSE_NAMES}") & ~base.rlike(rf"(?i)\.(?:{'|'.join(SOURCE_EXTENSIONS)})$"), F.lit(False))
-
-
 def phrase_automaton(entries: list[tuple[str, str, str, str]]):
     """An Aho-Corasick automaton over the word forms of a license list; a hit carries the families of the form."""
     import ahocorasick
@@ -109,7 +96,7 @@ def licenses(matched_files: DataFrame, pattern_matches: DataFrame, license_patte
         matched_files.where("generation = 0 and id is not null")
         .select(F.col("package").cast("long").alias("package"), F.col("id").cast("long").alias("file"), "filename")
         .distinct()
-        .withColumn("license_file", is_license_file(F.col("filename")))
+        .withColumn("license_file", is_license_filename(F.col("filename")))
         .withColumn("dir", directory(F.col("filename")))
         .withColumn("depth", F.size(F.split("filename", "/")) - 1)
     )
