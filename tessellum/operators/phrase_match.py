@@ -75,7 +75,10 @@ def matches(texts: DataFrame, patterns: DataFrame, id_col: str, text_col: str, p
     run = F.least(F.when(gap > 0, gap - 1).otherwise(F.size("tokens")), F.lit(RUN)).cast("int")
     filed = coded.withColumn("run", run).withColumn("key", F.xxhash64("run", F.array_join(F.slice("tokens", F.lit(1), F.col("run")), " ")))
     listed = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("text_id"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
-    placed = listed.select("text_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("start")).select("text_id", "start", F.explode(F.array(*[F.struct(F.lit(k).alias("run"), F.xxhash64(F.lit(k), F.array_join(F.slice("w", F.col("start") + 1, F.lit(k)), " ")).alias("key")) for k in range(1, RUN + 1)])).alias("r"))
+    # all runs of a text in one array, so that no exploded row carries the text
+    run_at = lambda i, k: F.struct((i - 1).alias("start"), F.lit(k).alias("run"), F.xxhash64(F.lit(k), F.array_join(F.slice("w", i, F.lit(k)), " ")).alias("key"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array(*[run_at(i, k) for k in range(1, RUN + 1)])))
+    placed = listed.select("text_id", F.explode(runs).alias("r")).select("text_id", F.col("r.start").alias("start"), "r")
     candidates = placed.select("text_id", "start", F.col("r.run").alias("run"), F.col("r.key").alias("key")).join(shuffled(filed), ["run", "key"]).select("text_id", "start", "pattern_id", "tokens")
 
     @F.pandas_udf("int")
