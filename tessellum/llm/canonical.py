@@ -118,7 +118,8 @@ def prefix_join(left: DataFrame, right: DataFrame, threshold: Fraction) -> DataF
     t_num, t_den = threshold.numerator, threshold.denominator
 
     def long(df: DataFrame, key: str) -> DataFrame:
-        return df.select(F.col(key), F.explode(F.array_distinct("tokens")).alias("token"), F.size(F.array_distinct("tokens")).alias("n"))
+        once = df.select(F.col(key), F.array_distinct("tokens").alias("tokens")).withColumn("n", F.size("tokens"))  # before the explode, not once per row
+        return once.select(F.col(key), F.explode("tokens").alias("token"), "n")
 
     a, b = long(left, "l"), long(right, "r")
     order = a.select("token").union(b.select("token")).groupBy("token").agg(F.count("*").alias("df"))
