@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.llm import canonical, layout_dedup, licensing, mixing, near_dup, origin, packing, residue, shared_spans
+from tessellum.llm import canonical, layout_dedup, licensing, mixing, near_dup, oracle, origin, packing, residue, shared_spans
 from tessellum.sources.tables import table
 
 #: Near-duplicates as TESTDATA.md states them for problem 2: three words, a similarity of 0.7.
@@ -93,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
