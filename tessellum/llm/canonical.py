@@ -98,16 +98,25 @@ def typing_errors(a: str, b: str, most: int) -> int:
     """Edit distance with swaps of neighbouring letters; most + 1 if it is larger than most."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    two, one = [], list(range(len(b) + 1))
+    if a == b:
+        return 0
+    # only cells at most `most` off the diagonal can hold a small enough distance
+    far = most + 1
+    two, one = [], [min(j, far) for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
+        low, high = max(1, i - most), min(len(b), i + most)
+        row = [far] * (len(b) + 1)
+        row[0] = min(i, far)
+        for j in range(low, high + 1):
+            y = b[j - 1]
             best = min(row[j - 1] + 1, one[j] + 1, one[j - 1] + (x != y))
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 best = min(best, two[j - 2] + 1)
-            row.append(best)
+            row[j] = min(best, far)
+        if min(row[low - 1 : high + 1]) > most:
+            return far
         two, one = one, row
-    return min(one[-1], most + 1)
+    return one[-1]
 
 
 def prefix_join(left: DataFrame, right: DataFrame, threshold: Fraction) -> DataFrame:
@@ -192,7 +201,9 @@ def resolve(values: DataFrame, reference: DataFrame, value_col: str = "license",
 
     names = parsed.select(F.col("name").alias("l")).distinct().withColumn("tokens", letters("l"))
     forms = entries.select(F.col("form").alias("r")).distinct().withColumn("tokens", letters("r"))
-    near = prefix_join(names, forms, THRESHOLD).withColumn("errors", errors("l", "r"))
+    # few bytes but much work a row: spread by rows, which the planner would join to one task by their bytes
+    tasks = values.sparkSession.sparkContext.defaultParallelism
+    near = prefix_join(names, forms, THRESHOLD).repartition(tasks, "l", "r").withColumn("errors", errors("l", "r"))
     # abbreviations are too short for typing errors
     near = near.where((F.col("errors") <= ERRORS) & ((F.length("r") > 5) | (F.col("errors") == 0)))
     families = bounded_broadcast(entries.select(F.col("form").alias("r"), "family").distinct())
