@@ -10,6 +10,9 @@ step (the cycle lemma), so that each prefix of the chain stays within a budget p
   intersection. No true pair is lost. Segments hold about two or three shingles, so most are listed just once.
 * candidates are pruned by the chains of two and four segments that go on from there, and by the whole ring, with
   bit sketches whose differences never exceed the true ones;
+* a signature that many records share, such as one of boilerplate alone, is not compared as it is: its records are listed again
+  under the signature together with the remainders of the chain of two segments that begins there, which is in its budget
+  for every true pair, too;
 * what is left is compared in full.
 
 m depends on the size of the set in powers of two. The larger of two records that can be similar is at most one power
@@ -33,10 +36,12 @@ from pyspark.sql import functions as F
 
 from tessellum.functions.text import shingle_hashes, words
 from tessellum.operators.components import connected_components
-from tessellum.session import cut, shuffled
+from tessellum.session import bounded_broadcast, cut, shuffled
 
 #: A ring has as many segments as a set has shingles divided by this number, rounded down to a power of two.
 SEGMENT = 1.5
+#: Records that may share a signature before its chain is lengthened, and the segments of the longer chain.
+HOT, LONGER = 256, 2
 SIGNATURES = "sig long, rec long, n int, ring long, chain long"
 
 
@@ -94,7 +99,7 @@ def _signatures(rec: np.ndarray, sizes: np.ndarray, shingles: np.ndarray, levels
             listed.append(np.full(len(rest), k))
             sums.append((total[k] - np.array([v & 0xFFFFFFFFFFFFFFFF for v in rest], np.uint64)).astype(np.uint64))
     at, value = np.concatenate(listed), np.concatenate(sums)
-    return {"sig": _mix(value ^ seed[at]).view(np.int64), "rec": rec[of[at]], "n": sizes[of[at]].astype(np.int32), "ring": ring_bits[of[at]].view(np.int64), "chain": chain[at].view(np.int64)}
+    return {"sig": _mix(value ^ seed[at]).view(np.int64), "rec": rec[of[at]], "n": sizes[of[at]].astype(np.int32), "ring": ring_bits[of[at]].view(np.int64), "chain": chain[at].view(np.int64), "place": place[at]}
 
 
 def _signer(threshold: Fraction):
@@ -114,11 +119,44 @@ def _signer(threshold: Fraction):
                 if (low := least != own).any():
                     parts.append(_signatures(rec[low], sizes[low], shingles[np.repeat(low, sizes)], least[low], slack))
                 for part in parts:
-                    yield pa.RecordBatch.from_pydict(part)
+                    yield pa.RecordBatch.from_pydict({c: part[c] for c in ("sig", "rec", "n", "ring", "chain")})
 
     return sign
 
 
+def _longer(threshold: Fraction):
+    """Rows (rec, shingles, sigs) to signature rows for the longer chains of those signatures."""
+    slack = float(1 - threshold)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[dict[str, np.ndarray]] = []
+            held_rows = 0
+            for rec, held, wanted in zip(batch.column("rec").to_pylist(), batch.column("shingles"), batch.column("sigs"), strict=True):
+                shingles, wanted = np.array(held.as_py(), np.int64), np.array(wanted.as_py(), np.int64)
+                sizes = np.array([len(shingles)], np.int64)
+                x = _mix(shingles.view(np.uint64))
+                for level in sorted({int(_level(sizes)[0]), int(_level(np.ceil(sizes * float(threshold) - 1e-9))[0])}):
+                    rows = _signatures(np.array([rec]), sizes, shingles, np.array([level]), slack)
+                    m, place = 1 << level, (x & np.uint64((1 << level) - 1)).astype(np.int64)
+                    hit = np.isin(rows["sig"], wanted)
+                    for k in np.flatnonzero(hit):
+                        start = rows["place"][k]
+                        block = [int(v) for v in x[(place - start) % m < LONGER]]
+                        total, losing = sum(block), int(slack * len(block) + 1e-9)
+                        rest = [total - sum(gone) for r in range(losing + 1) for gone in combinations(block, r)]
+                        keys = _mix(np.array([v & 0xFFFFFFFFFFFFFFFF for v in rest], np.uint64) ^ rows["sig"][k : k + 1].view(np.uint64)).view(np.int64)
+                        out.append({"sig": keys, **{c: np.repeat(rows[c][k], len(keys)) for c in ("rec", "n", "ring", "chain")}})
+                        held_rows += len(keys)
+                if held_rows > 50_000:
+                    yield pa.RecordBatch.from_pydict({c: np.concatenate([o[c] for o in out]) for c in out[0]})
+                    out, held_rows = [], 0
+            if out:
+                yield pa.RecordBatch.from_pydict({c: np.concatenate([o[c] for o in out]) for c in out[0]})
+
+    return of
+
+
 def _within(a: Column, b: Column, size_a: Column, size_b: Column, ratio: float) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= (size_a + size_b) * F.lit(ratio) + F.lit(1e-9)
 
@@ -130,7 +168,14 @@ def _chain(side: str, at: int, bits: int) -> Column:
 def similar_sets(sets: DataFrame, threshold: Fraction) -> DataFrame:
     """(a, b), a < b: all pairs of rows (rec, shingles) whose sets have a Jaccard similarity of at least `threshold`."""
     ratio = float((1 - threshold) / (1 + threshold))
-    signed = sets.where(F.size("shingles") > 0).mapInArrow(_signer(threshold), SIGNATURES)
+    signed = cut(sets.where(F.size("shingles") > 0).mapInArrow(_signer(threshold), SIGNATURES))
+    hot = cut(signed.groupBy("sig").agg(F.count("*").alias("many")).where(F.col("many") > HOT).select("sig"))
+    if not hot.isEmpty():
+        listed = bounded_broadcast(hot)
+        # signatures of one record: bounded by its own size
+        again = signed.select("sig", "rec").join(listed, "sig", "left_semi").groupBy("rec").agg(F.collect_set("sig").alias("sigs")).join(shuffled(sets), "rec")
+        refined = again.select("rec", "shingles", "sigs").mapInArrow(_longer(threshold), SIGNATURES)
+        signed = cut(signed.join(listed, "sig", "left_anti").select("sig", "rec", "n", "ring", "chain").union(refined))
     x, y = signed.alias("x"), signed.alias("y")
     chains = [
         (size_x >= full) | (size_y >= full) | _within(_chain("x", at, 24), _chain("y", at, 24), size_x, size_y, ratio)
