@@ -247,3 +247,69 @@ def _(t: Tables) -> DataFrame:
     new = b.join(r, F.col("id") == F.col("package")).select("id", "before", "license", "risk")
     known = r.select(F.col("package").alias("before"), "license")
     return new.join(known, ["before", "license"], "left_anti").groupBy("id").agg(F.sum(F.col("risk") * 10).alias("score"))
+
+
+@query("JN15_inverted_index", f"WITH {_SIGNATURES}, own AS {_sql_shingles('snippets', 'text', 'id', 'text IS NOT NULL')} SELECT own.id, sig.license, count(*) AS shared FROM own JOIN sig ON sig.s = own.s GROUP BY 1, 2")
+def _(t: Tables) -> DataFrame:
+    own = t.snippets.where("text is not null").select("id", F.explode(shingles(words(F.col("text")))).alias("s"))
+    return own.join(signatures(t.license_patterns), "s").groupBy("id", "license").agg(F.count("*").alias("shared"))
+
+
+@query("WIN12_rarest_shingles", f"WITH {_SIGNATURES}, own AS {_sql_shingles('snippets', 'text', 'id', 'text IS NOT NULL')}, r AS (SELECT own.id, own.s, row_number() OVER (PARTITION BY own.id ORDER BY idf.w DESC, own.s) AS k FROM own JOIN idf ON idf.s = own.s) SELECT id, s, k FROM r WHERE k <= {PROBE}")
+def _(t: Tables) -> DataFrame:
+    own = t.snippets.where("text is not null").select("id", F.explode(shingles(words(F.col("text")))).alias("s"))
+    known = own.join(weights(signatures(t.license_patterns)), "s")
+    return known.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("w"), "s")).cast("long")).where(F.col("k") <= PROBE).select("id", "s", "k")
+
+
+@query("LA12_closest_pattern", f"""WITH {_SCORES}, best AS (SELECT id, license FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, first, license) AS k FROM sc) WHERE k = 1),
+  ps AS {_sql_shingles('license_patterns', 'pattern', 'id AS pattern, license', _NAMED)},
+  c AS (SELECT best.id, ps.pattern, round(sum(idf.w), 6) AS w FROM best JOIN own ON own.id = best.id JOIN ps ON ps.s = own.s AND ps.license = best.license JOIN idf ON idf.s = own.s GROUP BY 1, 2)
+  SELECT id, pattern FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, pattern) AS k FROM c) WHERE k = 1""")
+def _(t: Tables) -> DataFrame:
+    best = best_licenses(license_scores(t.snippets, t.license_patterns)).select("id", "license")
+    own = t.snippets.where("text is not null").select("id", F.explode(shingles(words(F.col("text")))).alias("s")).join(weights(signatures(t.license_patterns)), "s").join(best, "id")
+    of = t.license_patterns.where("license is not null and license <> ''").select("id", "license", F.explode(shingles(words(F.col("pattern")))).alias("s")).withColumnRenamed("id", "pattern")
+    weighed = own.join(of, ["license", "s"]).groupBy("id", "pattern").agg(F.round(F.sum("w"), 6).alias("w"))
+    return weighed.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("less"), "pattern")).alias("m")).select("id", "m.pattern")
+
+
+@query("JN16_pairs_present", """WITH f AS (SELECT DISTINCT m.package, p.spdx FROM pattern_matches m JOIN license_patterns p ON p.id = m.pattern WHERE m.generation = 0 AND NOT m.ignored AND p.spdx <> ''),
+  x(a, b) AS (SELECT a.license_id, b.license_id FROM license_list a JOIN license_list b ON a.license_id LIKE '%-only' AND b.license_id LIKE '%-or-later' AND split_part(a.license_id, '-', 1) <> split_part(b.license_id, '-', 1))
+  SELECT f.package, x.a, x.b FROM f JOIN x ON x.a = f.spdx JOIN f g ON g.package = f.package AND g.spdx = x.b""")
+def _(t: Tables) -> DataFrame:
+    """Licenses that a package has at the same time, through a directed matrix of pairs; the one here is made up of the list."""
+    p = t.license_patterns.where("spdx <> ''").select(F.col("id").alias("pattern"), "spdx")
+    f = t.pattern_matches.where("generation = 0 AND NOT ignored").join(p, "pattern").select("package", "spdx").distinct()
+    family = F.split_part("license_id", F.lit("-"), F.lit(1))
+    only, later = t.license_list.where("license_id LIKE '%-only'").select(F.col("license_id").alias("a"), family.alias("x")), t.license_list.where("license_id LIKE '%-or-later'").select(F.col("license_id").alias("b"), family.alias("y"))
+    matrix = only.join(F.broadcast(later), F.col("x") != F.col("y")).select("a", "b")  # two parts of a list of fixed size
+    return f.withColumnRenamed("spdx", "a").join(F.broadcast(matrix), "a").join(f.withColumnRenamed("spdx", "b"), ["package", "b"]).select("package", "a", "b")
+
+
+@query("LA40_deterministic_occurrence", "SELECT snippet, package, file, sline, eline FROM (SELECT *, row_number() OVER (PARTITION BY snippet ORDER BY package, file, sline, eline, id) AS k FROM file_snippets WHERE generation = 0) WHERE k = 1")
+def _(t: Tables) -> DataFrame:
+    first = F.min(F.struct("package", "file", "sline", "eline")).alias("m")
+    return t.file_snippets.where("generation = 0").groupBy("snippet").agg(first).select("snippet", "m.package", "m.file", "m.sline", "m.eline")
+
+
+@query("LA39_overlap_positions", "SELECT o.id AS occurrence, m.id AS match, CASE WHEN m.sline <= o.sline AND m.eline >= o.eline THEN 'contains' WHEN m.sline >= o.sline AND m.eline <= o.eline THEN 'inside' WHEN m.sline < o.sline THEN 'head' ELSE 'tail' END AS position FROM file_snippets o JOIN pattern_matches m ON m.file = o.file AND m.sline <= o.eline AND m.eline >= o.sline WHERE o.generation = 0 AND m.generation = 0")
+def _(t: Tables) -> DataFrame:
+    o = t.file_snippets.where("generation = 0").select(F.col("id").alias("occurrence"), "file", F.col("sline").alias("s"), F.col("eline").alias("e"))
+    m = t.pattern_matches.where("generation = 0").select(F.col("id").alias("match"), "file", "sline", "eline")
+    rows = o.join(m, "file").where("sline <= e AND eline >= s")
+    where = F.when((F.col("sline") <= F.col("s")) & (F.col("eline") >= F.col("e")), "contains").when((F.col("sline") >= F.col("s")) & (F.col("eline") <= F.col("e")), "inside").when(F.col("sline") < F.col("s"), "head").otherwise("tail")
+    return rows.select("occurrence", "match", where.alias("position"))
+
+
+@query("LA42_fold_calibration", "SELECT x.threshold, s.id % 5 AS fold, count(*) FILTER (WHERE s.m >= x.threshold AND s.m - s.second >= 0.15) AS accepted, count(*) AS snippets FROM (SELECT id, CAST(likelyness AS DOUBLE) AS m, coalesce(CAST(second_match AS DOUBLE), 0.0) AS second FROM snippets WHERE likelyness IS NOT NULL) s, (VALUES (0.80::DOUBLE), (0.90::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) x(threshold) GROUP BY 1, 2")
+def _(t: Tables, folds: int = 5, margin: float = 0.15) -> DataFrame:
+    """Accepted snippets per held-out part and threshold; every snippet is in one of the parts."""
+    s = t.snippets.where("likelyness is not null").select((F.col("id") % folds).alias("fold"), F.col("likelyness").cast("double").alias("m"), F.coalesce(F.col("second_match").cast("double"), F.lit(0.0)).alias("second"), F.explode(F.array(*[F.lit(x) for x in (0.80, 0.90, 0.95, 0.99)])).alias("threshold"))
+    return s.groupBy("threshold", "fold").agg(F.count_if((F.col("m") >= F.col("threshold")) & (F.col("m") - F.col("second") >= margin)).alias("accepted"), F.count("*").alias("snippets"))
+
+
+@query("LA46_risk_by_license", "SELECT p.id, max(p.risk) OVER (PARTITION BY p.license) AS risk FROM license_patterns p WHERE p.license IS NOT NULL")
+def _(t: Tables) -> DataFrame:
+    named = t.license_patterns.where("license is not null").select("id", "license", "risk")
+    return named.join(named.groupBy("license").agg(F.max("risk").alias("highest")), "license").select("id", F.col("highest").alias("risk"))
