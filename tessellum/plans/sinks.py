@@ -96,8 +96,10 @@ def _(t: Tables) -> DataFrame:
 
 @query("SNK06_notice_lines", "SELECT p.license, string_agg(DISTINCT f.filename, chr(10) ORDER BY f.filename) AS files FROM pattern_matches m JOIN license_patterns p ON p.id = m.pattern JOIN matched_files f ON f.id = m.file WHERE m.generation = 0 AND NOT m.ignored AND p.risk >= 6 AND p.license IS NOT NULL GROUP BY p.license")
 def _(t: Tables) -> DataFrame:
-    p = t.license_patterns.where("risk >= 6 AND license IS NOT NULL").select(F.col("id").alias("pattern"), "license")
-    f = t.matched_files.select(F.col("id").alias("file"), "filename")
+    """The files of every license in the live reports, whatever its risk; catch-alls name no license."""
+    name = F.coalesce(F.nullif("spdx", F.lit("")), "license")
+    p = t.license_patterns.where(~F.col("catch_all")).select(F.col("id").alias("pattern"), name.alias("license")).where("license <> ''")
+    f = t.matched_files.where("generation = 0").select(F.col("id").alias("file"), "filename")
     rows = t.pattern_matches.where("generation = 0 AND NOT ignored").join(p, "pattern").join(f, "file").select("license", "filename").distinct()
     return rows.groupBy("license").agg(F.array_join(F.array_sort(F.collect_list("filename")), "\n").alias("files"))
 
