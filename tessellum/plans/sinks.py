@@ -9,6 +9,8 @@ from tessellum.functions import legal_text
 from tessellum.plans.catalog import Tables, query
 
 _BLACKLIST = r"^(?:audio|image|video)/|octet-stream|x-executable|x-sharedlib"
+#: A character that the end of a cut text breaks off, byte by byte.
+_PARTIAL_UTF8 = r"(?:[\xc2-\xdf]|[\xe0-\xef][\x80-\xbf]?|[\xf0-\xf4][\x80-\xbf]{0,2})\z"
 
 
 @query("SRC01_unpacked_files", f"SELECT id, package, filename FROM matched_files WHERE NOT coalesce(regexp_matches(mimetype, '{_BLACKLIST}'), false) AND NOT contains(filename, '.report.')")
@@ -22,17 +24,19 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("SRC03_decoded_head", "SELECT doc_id, substr(text, 1, 300) AS head FROM documents")
-def _(t: Tables) -> DataFrame:
-    """The first characters of a file, strict UTF-8 or else Latin-1."""
-    raw = F.encode("text", "UTF-8")
-    decoded = F.coalesce(F.try_validate_utf8(raw.cast("string")), F.decode(raw, "ISO-8859-1"))
-    return t.documents.select("doc_id", F.when(F.col("text").isNotNull(), F.substring(decoded, 1, 300)).alias("head"))
+def _(t: Tables, most: int = 30_000) -> DataFrame:
+    """The first bytes of a file without a character that they cut, strict UTF-8 or else Latin-1."""
+    latin = F.decode(F.substring(F.col("text").cast("binary"), 1, most), "ISO-8859-1")  # a character per byte
+    whole = F.regexp_replace(latin, _PARTIAL_UTF8, "")
+    return t.documents.select("doc_id", F.coalesce(F.try_validate_utf8(F.encode(whole, "ISO-8859-1").cast("string")), whole).alias("head"))
 
 
 @query("SRC04_lines", "SELECT doc_id, n AS line, printf('%6d  ', n) || substr(lines[n], 1, 8000) AS numbered FROM (SELECT doc_id, lines, unnest(generate_series(1, least(3, len(lines)))) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))")
-def _(t: Tables, first: int = 1, last: int = 3) -> DataFrame:
+def _(t: Tables, first: int = 1, last: int | None = None) -> DataFrame:
+    """Numbered lines from the first to the last of a range, or to the end."""
     rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
-    rows = rows.withColumn("line", (F.col("at") + 1).cast("long")).where(F.col("line").between(first, last))
+    rows = rows.withColumn("line", (F.col("at") + 1).cast("long")).where(F.col("line") >= first)
+    rows = rows if last is None else rows.where(F.col("line") <= last)
     return rows.select("doc_id", "line", F.concat(F.format_string("%6d  ", "line"), F.substring("text", 1, 8000)).alias("numbered"))
 
 

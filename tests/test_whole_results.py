@@ -28,3 +28,18 @@ def test_notice_has_licenses_of_every_risk(run):
     matches = [(k, file, 1, pattern, 1, 1, ignored, generation) for k, (file, pattern, ignored, generation) in enumerate(found)]
     got = run("SNK06_notice_lines", license_patterns=(patterns, PATTERNS), matched_files=(files, FILES), pattern_matches=(matches, MATCHES))
     assert got == [("MIT", "a\nb"), ("Own", "b")]
+
+
+def test_head_has_the_first_bytes_and_no_broken_character(run):
+    texts = [(1, "x" * 30_005), (2, "é" * 301), (3, "x" * 29_999 + "é"), (4, "x" * 29_998 + "é"), (5, "x" * 29_997 + "😀"), (6, None), (7, "")]
+    want = [(1, "x" * 30_000), (2, "é" * 301), (3, "x" * 29_999), (4, "x" * 29_998 + "é"), (5, "x" * 29_997), (6, None), (7, "")]
+    assert run("SRC03_decoded_head", documents=(texts, "doc_id long, text string")) == want
+
+
+def test_head_that_is_not_utf8_is_latin1(run):
+    assert run("SRC03_decoded_head", documents=([(1, bytearray(b"caf\xe9 au lait"))], "doc_id long, text binary")) == [(1, "café au lait")]
+
+
+def test_every_line_is_read(run):
+    texts = [(1, "\n".join("abcdef")), (2, None), (3, "")]
+    assert run("SRC04_lines", documents=(texts, "doc_id long, text string")) == [*((1, k + 1, f"{k + 1:6d}  {c}") for k, c in enumerate("abcdef")), (3, 1, "     1  ")]
