@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellum.functions import legal_text
+from tessellum.functions import legal_text, spec_macros
 from tessellum.plans.catalog import Tables, query
 
 _BLACKLIST = r"^(?:audio|image|video)/|octet-stream|x-executable|x-sharedlib"
@@ -64,8 +64,7 @@ def _(t: Tables) -> DataFrame:
 @query("SRC13_expanded_macros", r"SELECT doc_id, replace(replace(text, '%{name}', regexp_extract(text, '(?m)^Name:\s*(\S+)', 1)), '%{version}', regexp_extract(text, '(?m)^Version:\s*(\S+)', 1)) AS expanded FROM documents WHERE source = 'spec_file' AND text IS NOT NULL")
 def _(t: Tables) -> DataFrame:
     spec = t.documents.where("source = 'spec_file' AND text IS NOT NULL")
-    name, version = F.regexp_extract("text", r"(?m)^Name:\s*(\S+)", 1), F.regexp_extract("text", r"(?m)^Version:\s*(\S+)", 1)
-    return spec.select("doc_id", F.replace(F.replace("text", F.lit("%{name}"), name), F.lit("%{version}"), version).alias("expanded"))
+    return spec.select("doc_id", spec_macros.expanded(F.col("text")).alias("expanded"))
 
 
 @query("SNK01_promoted_build", """WITH g AS (SELECT package, max(generation) AS generation FROM pattern_matches GROUP BY package)

@@ -43,3 +43,46 @@ def test_head_that_is_not_utf8_is_latin1(run):
 def test_every_line_is_read(run):
     texts = [(1, "\n".join("abcdef")), (2, None), (3, "")]
     assert run("SRC04_lines", documents=(texts, "doc_id long, text string")) == [*((1, k + 1, f"{k + 1:6d}  {c}") for k, c in enumerate("abcdef")), (3, 1, "     1  ")]
+
+
+SPECS = {
+    "%define major 3\n%global mainver %{major}.1\nName: x\nVersion: %{mainver}\nSource: %{name}-%version.tar": "%define major 3\n%global mainver 3.1\nName: x\nVersion: 3.1\nSource: x-3.1.tar",
+    "Source: %{name}-%{version}-%{release}": "Source: %{name}-%{version}-%{release}",
+    "Release: 7 \nVersion: 1 beta\nx %release %{version} %%{version} %%version %{?version} %{unknown} %unknown": "Release: 7 \nVersion: 1 beta\nx 7 1 beta %%{version} %%version %{?version} %{unknown} %unknown",
+    "  %define a 1\n%define a 2\n%define version 9\nVersion: 1\n%a %{version}": "  %define a 1\n%define a 2\n%define version 9\nVersion: 1\n1 9",
+    "%define none\n%define a %{b}\n%define b %{a}\n%a": None,
+}
+
+
+def literal(text):
+    """The substitutions one reference at a time, character by character, for at most ten rounds."""
+    macros = {}
+    for line in text.split("\n"):
+        parts = line.split(None, 2)
+        if len(parts) == 3 and parts[0] in ("%define", "%global"):
+            macros.setdefault(parts[1], parts[2].strip())
+    for line in text.split("\n"):
+        for tag in ("Name:", "Version:", "Release:"):
+            if line.startswith(tag) and line[len(tag) :].strip():
+                macros.setdefault(tag[:-1].lower(), line[len(tag) :].strip())
+    for _ in range(10):
+        for left, right in (("%{", "}"), ("%", "")):
+            out, at = "", 0
+            while at < len(text):
+                end = at + len(left)
+                while end < len(text) and (text[end].isalnum() or text[end] == "_"):
+                    end += 1
+                name = text[at + len(left) : end]
+                if text.startswith(left, at) and name and text.startswith(right, end) and text[at - 1 : at] != "%":
+                    out, at = out + macros.get(name, left + name + right), end + len(right)
+                else:
+                    out, at = out + text[at], at + 1
+            text = out
+    return text
+
+
+def test_spec_macros_are_expanded(run):
+    rows = [(k, text, "spec_file") for k, text in enumerate(SPECS)]
+    got = dict(run("SRC13_expanded_macros", documents=([*rows, (98, None, "spec_file"), (99, "%{name}", "readme")], "doc_id long, text string, source string")))
+    assert got == {k: literal(text) for k, text, _ in rows}
+    assert all(want is None or got[k] == want for k, want in enumerate(SPECS.values()))
