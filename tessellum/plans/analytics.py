@@ -9,7 +9,7 @@ from tessellum.functions.paths import dir_key, is_license_filename
 from tessellum.functions.text import words
 from tessellum.operators import phrase_match
 from tessellum.plans.catalog import Tables, query
-from tessellum.plans.windows import islands
+from tessellum.plans.windows import closure
 
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 #: Words per shingle, rarest shingles that choose candidates, shared rare shingles that a winner needs, and their weight.
@@ -45,13 +45,8 @@ def _(t: Tables) -> DataFrame:
   b AS (SELECT *, sum(CASE WHEN reach IS NULL OR sline > reach + 6 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY sline, eline) AS block FROM r)
   SELECT file, min(sline) AS sline, max(eline) AS eline FROM b GROUP BY file, block""")
 def _(t: Tables) -> DataFrame:
-    """Blocks around keyword lines that no licensed span explains; blocks at most six lines apart are one."""
-    p = t.license_patterns.select(F.col("id").alias("pattern"), (F.coalesce("license", F.lit("")) != "").alias("licensed"))
-    m = t.pattern_matches.where("generation = 0 AND NOT ignored").select("file", "pattern", "sline", "eline").join(p, "pattern")
-    spans = m.where("licensed").select(F.col("file").alias("f"), F.col("sline").alias("s"), F.col("eline").alias("e"))
-    keywords = m.where(~F.col("licensed")).join(spans, (F.col("file") == F.col("f")) & (F.col("s") <= F.col("sline")) & (F.col("e") >= F.col("eline")), "left_anti")
-    marked = keywords.select("file", F.greatest(F.col("sline") - 1, F.lit(1)).alias("sline"), (F.col("eline") + 1).alias("eline")).distinct()
-    return islands(marked, 6)
+    """Blocks around keyword lines that no licensed span explains, grown through all matches at most six lines away."""
+    return closure(t.pattern_matches, t.license_patterns)
 
 
 @query("LA06_content_hash", "SELECT id, md5(text || chr(10)) AS content, coalesce(lower(hash) = md5(text || chr(10)), false) AS agrees FROM snippets WHERE text IS NOT NULL")

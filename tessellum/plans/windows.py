@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellum.plans.catalog import NOW, Tables, query
 
+#: Lines between a match and a marked line up to which both are one block.
+DELTA = 6
+
 _NOW = f"TIMESTAMP '{NOW:%Y-%m-%d %H:%M:%S}'"
 
 
@@ -59,6 +63,40 @@ def islands(spans: DataFrame, gap: int) -> DataFrame:
     return starts.withColumn("block", F.sum("new").over(upto)).groupBy("file", "block").agg(F.min("sline").alias("sline"), F.max("eline").alias("eline")).drop("block")
 
 
+def grow(matches: list[tuple[int, int, bool]], delta: int = DELTA) -> list[tuple[int, int]]:
+    """Blocks of lines that one file's matches (sline, eline, licensed) mark: first the keywords outside of licensed spans,
+    one line around them, then again and again what lies between a match and a marked line at most delta lines away."""
+    spans = [m for m in matches if m[2]]
+    marked: set[int] = set()
+    for s, e, licensed in matches:
+        if not licensed and not any(a <= s and e <= b for a, b, _ in spans):
+            marked.update(range(max(s - 1, 1), e + 2))
+    before = 0
+    while len(marked) > before:
+        before = len(marked)
+        for s, e, _ in matches:
+            if (line := next((x for x in range(s - delta, s + 1) if x in marked), None)) is not None:
+                marked.update(range(line, e + 1))
+            if (line := next((x for x in range(e, e + delta + 1) if x in marked), None)) is not None:
+                marked.update(range(s, line + 1))
+    lines = sorted(marked)
+    return list(zip([x for x in lines if x - 1 not in marked], [x for x in lines if x + 1 not in marked], strict=True))
+
+
+def closure(matches: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(file, sline, eline): the blocks of grow() in the live matches of each file, in the order of their lines."""
+
+    @F.pandas_udf("array<struct<sline: int, eline: int>>")
+    def blocks(matches: pd.Series) -> pd.Series:
+        return matches.map(lambda of: [{"sline": s, "eline": e} for s, e in grow([(int(m["sline"]), int(m["eline"]), bool(m["licensed"])) for m in of])])
+
+    p = patterns.select(F.col("id").alias("pattern"), (F.coalesce("license", F.lit("")) != "").alias("licensed"))
+    m = matches.where("generation = 0 AND NOT ignored").select("file", "pattern", "sline", "eline").join(p, "pattern")
+    # the matches of one file
+    of = m.groupBy("file").agg(F.array_sort(F.collect_set(F.struct("sline", "eline", "licensed"))).alias("matches")).where(F.exists("matches", lambda x: ~x["licensed"]))
+    return of.select("file", F.explode(blocks("matches")).alias("b")).select("file", "b.sline", "b.eline")
+
+
 _ISLANDS = """WITH s AS (SELECT DISTINCT file, sline, eline FROM {table}), r AS (SELECT *, max(eline) OVER (PARTITION BY file ORDER BY sline, eline ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
   b AS (SELECT *, sum(CASE WHEN reach IS NULL OR sline > reach + {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY sline, eline) AS block FROM r)
   SELECT file, min(sline) AS sline, max(eline) AS eline FROM b GROUP BY file, block"""
@@ -71,8 +109,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("WIN08_closure", _ISLANDS.format(table="pattern_matches WHERE generation = 0 AND NOT ignored", gap=6))
 def _(t: Tables) -> DataFrame:
-    """The closure over all matches within six lines, which needs no iteration once spans are sorted."""
-    return islands(t.pattern_matches.where("generation = 0 AND NOT ignored").select("file", "sline", "eline").distinct(), 6)
+    """The closure over all matches within six lines of what the keywords mark."""
+    return closure(t.pattern_matches, t.license_patterns)
 
 
 @query("WIN09_line_context", "SELECT id, lag(eline) OVER w AS before, lead(sline) OVER w AS after, coalesce(lead(sline) OVER w - eline > 6, false) AS gap FROM file_snippets WHERE generation = 0 WINDOW w AS (PARTITION BY file ORDER BY sline, id)")

@@ -1,5 +1,7 @@
 """Whole results on small tables, written out or computed by brute force."""
 
+import random
+
 import pytest
 
 from tessellum.plans import catalog
@@ -86,3 +88,51 @@ def test_spec_macros_are_expanded(run):
     got = dict(run("SRC13_expanded_macros", documents=([*rows, (98, None, "spec_file"), (99, "%{name}", "readme")], "doc_id long, text string, source string")))
     assert got == {k: literal(text) for k, text, _ in rows}
     assert all(want is None or got[k] == want for k, want in enumerate(SPECS.values()))
+
+
+KEYWORD, LICENSE = 1, 2
+
+
+def blocks_by_lines(matches):
+    """Lines painted one by one until nothing changes, with a flag per line of the file."""
+    size = max(e for _, e, _ in matches) + 20
+    on = [False] * size
+    for s, e, pattern in matches:
+        if pattern == KEYWORD and not any(q == LICENSE and a <= s and e <= b for a, b, q in matches):
+            for x in range(s - 1, e + 2):
+                on[x] = x > 0
+    while True:
+        old = list(on)
+        for s, e, _ in matches:
+            for x in range(max(s - 6, 1), s + 1):
+                if on[x]:
+                    on[x : e + 1] = [True] * (e + 1 - x)
+                    break
+            for x in range(e, e + 7):
+                if on[x]:
+                    on[s : x + 1] = [True] * (x + 1 - s)
+                    break
+        if on == old:
+            break
+    starts = [x for x in range(1, size) if on[x] and not on[x - 1]]
+    return [(s, next(x for x in range(s, size) if x + 1 == size or not on[x + 1])) for s in starts]
+
+
+@pytest.mark.parametrize("name", ["LA05_snippet_blocks", "WIN08_closure"])
+def test_blocks_grow_through_all_matches(run, name):
+    files = {
+        1: [(10, 10, KEYWORD), (17, 20, LICENSE), (26, 26, KEYWORD)],  # a license between two keywords
+        2: [(10, 10, KEYWORD), (18, 20, LICENSE)],  # seven lines away
+        3: [(1, 5, LICENSE), (2, 2, KEYWORD), (40, 41, LICENSE)],  # no keyword outside of a license
+        4: [(1, 1, KEYWORD), (9, 9, KEYWORD), (30, 30, LICENSE)],  # keywords whose lines around are seven lines apart
+    }
+    r = random.Random(5)
+    for file in range(5, 60):
+        spans = [(s, s + r.randint(0, 4)) for s in (r.randint(1, 60) for _ in range(r.randint(1, 7)))]
+        files[file] = sorted({(s, e, r.choice([KEYWORD, LICENSE])) for s, e in spans}, key=lambda m: (m[0], m[1], m[2] == LICENSE))
+    matches = [(k, file, 1, pattern, s, e, False, 0) for k, (file, (s, e, pattern)) in enumerate((f, m) for f, of in files.items() for m in of)]
+    matches += [(9001, 1, 1, LICENSE, 30, 60, True, 0), (9002, 1, 1, LICENSE, 30, 60, False, 5)]
+    patterns = [(KEYWORD, "", None, "", 0, False), (LICENSE, "", "MIT", "MIT", 1, False)]
+    got = run(name, license_patterns=(patterns, PATTERNS), pattern_matches=(matches, MATCHES))
+    assert [g[1:] for g in got if g[0] < 5] == [(9, 27), (9, 11), (1, 2), (8, 10)]
+    assert got == sorted((file, *b) for file, of in files.items() for b in blocks_by_lines(of))
