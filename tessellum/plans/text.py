@@ -96,8 +96,17 @@ def _(t: Tables) -> DataFrame:
 @query("ST17_unexplained_lines", """WITH n AS (SELECT file, sum(eline - sline + 1) AS lines FROM (SELECT DISTINCT file, sline, eline FROM file_snippets WHERE generation = 0) GROUP BY file)
   SELECT file, CAST(lines AS BIGINT) AS lines FROM n""")
 def _(t: Tables) -> DataFrame:
-    spans = t.file_snippets.where("generation = 0").select("file", "sline", "eline").distinct()
-    return spans.groupBy("file").agg(F.sum(F.col("eline") - F.col("sline") + 1).alias("lines"))
+    """Lines of the live snippets of a file that are not blank and in no licensed span, each once. A file whose lines are
+    all explained has 0. Catch-alls explain, keywords and ignored matches do not."""
+    texts = t.snippets.select(F.col("id").alias("snippet"), F.split("text", "\n").alias("text"))
+    spans = t.file_snippets.where("generation = 0").select("file", "snippet", "sline", "eline").distinct().join(texts, "snippet", "left")
+    lines = spans.where("eline >= sline").select("file", "sline", "text", F.explode(F.sequence("sline", "eline")).alias("line"))
+    blank = F.coalesce(~F.get("text", F.col("line") - F.col("sline")).rlike(r"\S"), F.lit(False))  # a line without text is not known to be blank
+    here = lines.groupBy("file", "line").agg(F.min(blank).alias("blank"))
+    p = t.license_patterns.where("license <> ''").select(F.col("id").alias("pattern"))
+    m = t.pattern_matches.where("generation = 0 AND NOT ignored AND eline >= sline").join(p, "pattern").select("file", "sline", "eline").distinct()
+    covered = m.select("file", F.explode(F.sequence("sline", "eline")).alias("line")).distinct().withColumn("covered", F.lit(True))
+    return here.join(covered, ["file", "line"], "left").groupBy("file").agg(F.count_if(~F.col("blank") & F.col("covered").isNull()).alias("lines"))
 
 
 @query("ST18_markup", r"SELECT id, regexp_matches(filename, '(?i)\.(?:html?|xml|xhtml|svg)$') AS markup FROM matched_files")

@@ -136,3 +136,14 @@ def test_blocks_grow_through_all_matches(run, name):
     got = run(name, license_patterns=(patterns, PATTERNS), pattern_matches=(matches, MATCHES))
     assert [g[1:] for g in got if g[0] < 5] == [(9, 27), (9, 11), (1, 2), (8, 10)]
     assert got == sorted((file, *b) for file, of in files.items() for b in blocks_by_lines(of))
+
+
+def test_unexplained_lines_are_counted_once_and_without_licenses(run):
+    snippets = [(1, "a\nb\n \nd"), (2, "c\nd"), (3, None), (4, "only")]
+    spans = [(1, 1, 1, 4), (1, 2, 4, 5), (1, 1, 1, 4), (2, 4, 7, 7), (3, 3, 2, 4), (4, 4, 1, 1), (4, 99, 8, 9), (5, 4, 1, 1)]
+    occurrences = [(k, 1, file, snippet, s, e, 5 if file == 5 else 0) for k, (file, snippet, s, e) in enumerate(spans)]
+    patterns = [(1, "", None, "", 0, False), (2, "", "MIT", "", 1, False), (3, "", "Any", "", 1, True), (4, "", "", "", 1, False)]
+    found = [(1, 2, 2, 2, False, 0), (1, 2, 1, 2, True, 0), (1, 1, 4, 5, False, 0), (1, 4, 4, 5, False, 0), (1, 2, 5, 5, False, 7), (2, 3, 1, 90, False, 0), (3, 2, 3, 3, False, 0)]
+    matches = [(k, file, 1, pattern, s, e, ignored, generation) for k, (file, pattern, s, e, ignored, generation) in enumerate(found)]
+    tables = {"snippets": (snippets, "id long, text string"), "file_snippets": (occurrences, "id long, package long, file long, snippet long, sline int, eline int, generation int"), "license_patterns": (patterns, PATTERNS), "pattern_matches": (matches, MATCHES)}
+    assert run("ST17_unexplained_lines", **tables) == [(1, 3), (2, 0), (3, 2), (4, 3)]
