@@ -38,10 +38,11 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int, by: list[str], how: str = "inner") -> DataFrame:
     """Equi join with a left side whose keys may be very uneven: left rows are spread over `salts` parts by a hash
-    of the columns `by`, the right side is repeated once per part. Right keys are expected to be unique or few."""
+    of the columns `by`, the right side is repeated once per part. Right keys are expected to be unique or few. Both sides
+    may grow, so both are shuffled and merged: the planner's size of a checkpointed or Python side is a guess."""
     spread = left.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
     many = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return spread.join(many, [*on, "_salt"], how).drop("_salt")
+    return spread.join(shuffled(many), [*on, "_salt"], how).drop("_salt")
 
 
 def shuffled(df: DataFrame) -> DataFrame:
