@@ -41,6 +41,23 @@ def test_empty(spark):
     assert shared_spans.found(a, b).count() == 0 and shared_spans.per_file(a, b).count() == 0
 
 
+def test_index_too_large_for_one_filter(spark):
+    r = random.Random(7)
+    part = "".join(r.choice("abcdef ") for _ in range(60))
+    texts = {k: "".join(r.choice("uvwxyz") for _ in range(r.randint(0, 90))) + part[k % 7 :] + str(k) * 30 for k in range(1, 60)}
+    df = spark.createDataFrame([(k, t, k % 9, k % 9) for k, t in texts.items()], "text_id long, text string, first_file long, last_file long")
+    want = {(k, n) for _, k, n in brute([(k % 9, k) for k in texts], texts, 40)}
+    assert want and set(map(tuple, shared_spans.shared_characters(df, 40, most=1 << 10).collect())) == want
+
+
+def test_no_growing_side_is_broadcast(spark, data):
+    from tessellum.llm import queries
+
+    for name in ("p1_found", "p4_found", "p4_files"):
+        plan = queries.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_rolling_hashes():
     h = shared_spans.rolling_hashes("abcabcabx", 3)
     assert len(h) == 7 and h[0] == h[3] and h[1] == h[4] and len(set(h.tolist())) == 4
