@@ -3,8 +3,9 @@
 Distinct values are cleaned and split into a name, a version and a qualifier. Names are matched to the name forms of the
 list by a prefix-filter set-similarity join over letter tokens: tokens are ordered by global rarity, only the rarest
 tokens of a name, as many as its length and the threshold require, are joined, pairs are filtered by length and by the
-position of the shared token, and the Jaccard similarity of the rest is computed in full. The best form that is also
-within a small number of typing errors is kept. Version and qualifier then choose the entry.
+position of the shared token, and the Jaccard similarity of the rest is computed in full. The most similar form is kept.
+An exact check of that one pair follows: it must be within a small number of typing errors, and abbreviations (forms of at
+most SHORT letters, where one letter makes another name) must be equal. Version and qualifier then choose the entry.
 
 Defined results: null and blank values are no cases; values that are verbatim an id are returned as that id by
 `resolve` and left out by `found`; ties between names of different families leave a value unmatched; an empty list leaves
@@ -22,19 +23,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellum.session import bounded_broadcast, shuffled
+from tessellum.session import bounded_broadcast, cut, shuffled
 
 UNMATCHED = "UNMATCHED"
-#: Least Jaccard similarity of the letter tokens of two names. Two typing errors in eight letters leave more.
-THRESHOLD = Fraction(3, 10)
-#: Most typing errors (inserted, lost, wrong or swapped neighbouring letters) in a name, and in an abbreviation.
-ERRORS = 2
+#: Least Jaccard similarity of the letter tokens of two names. Two typing errors in nine letters leave more than that.
+THRESHOLD = Fraction(1, 2)
+#: Most typing errors (inserted, lost, wrong or swapped neighbouring letters) in a name, and letters of an abbreviation.
+ERRORS, SHORT = 2, 5
 
 #: Words that say how a version binds. Longest first where one begins another.
 ONLY = ("and no other version", "this version only", "only")
 LATER = ("or if you wish any later version", "or any later version", "or later", "or newer", "plus")
 #: Words beside a name that do not identify it.
-DECORATION = ("license", "licence", "lic", "terms", "see copying", "declared", "licenseref", "family", "unspecified", "the")
+DECORATION = ("license", "licence", "lic", "terms", "declared", "licenseref", "family", "unspecified", "the")
 
 
 def _plain(value: str) -> str:
@@ -119,6 +120,12 @@ def typing_errors(a: str, b: str, most: int) -> int:
     return one[-1]
 
 
+def _sized(df: DataFrame) -> DataFrame:
+    """Broadcast if the rows are few enough by count, else shuffled."""
+    hinted = bounded_broadcast(df)
+    return hinted if hinted is not df else shuffled(df)
+
+
 def prefix_join(left: DataFrame, right: DataFrame, threshold: Fraction) -> DataFrame:
     """(l, r, similarity): all pairs of rows (l, tokens) and (r, tokens) with a Jaccard similarity of at least `threshold`.
 
@@ -131,19 +138,19 @@ def prefix_join(left: DataFrame, right: DataFrame, threshold: Fraction) -> DataF
         return once.select(F.col(key), F.explode("tokens").alias("token"), "n")
 
     a, b = long(left, "l"), long(right, "r")
-    order = a.select("token").union(b.select("token")).groupBy("token").agg(F.count("*").alias("df"))
+    ranks = _sized(cut(a.select("token").union(b.select("token")).groupBy("token").agg(F.count("*").alias("df"))))
 
     def prefixed(df: DataFrame, key: str) -> DataFrame:
-        ranked = df.join(shuffled(order), "token").withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("df", "token")))
+        ranked = df.join(ranks, "token").withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("df", "token")))
         return ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * t_num / t_den) + 1)
 
     x = prefixed(a, "l").select("l", "token", F.col("n").alias("n_l"), F.col("at").alias("at_l"))
-    y = prefixed(b, "r").select("r", "token", F.col("n").alias("n_r"), F.col("at").alias("at_r"))
+    y = _sized(cut(prefixed(b, "r").select("r", "token", F.col("n").alias("n_r"), F.col("at").alias("at_r"))))
     needed = (F.col("n_l") + F.col("n_r")) * t_num / (t_num + t_den)
     by_length = (F.least("n_l", "n_r") * t_den >= F.greatest("n_l", "n_r") * t_num)
     by_position = F.lit(1) + F.least(F.col("n_l") - F.col("at_l"), F.col("n_r") - F.col("at_r"))
     # the first shared token of a pair is the one with the smallest positions: only there is the bound valid
-    met = x.join(shuffled(y), "token").where(by_length).groupBy("l", "r", "n_l", "n_r").agg(F.max(by_position).alias("bound")).where(F.col("bound") >= needed - 1e-9)
+    met = x.join(y, "token").where(by_length).groupBy("l", "r", "n_l", "n_r").agg(F.max(by_position).alias("bound")).where(F.col("bound") >= needed - 1e-9)
     sets_l, sets_r = left.select("l", F.array_distinct("tokens").alias("of_l")), right.select("r", F.array_distinct("tokens").alias("of_r"))
     overlap = F.size(F.array_intersect("of_l", "of_r"))
     union = F.size("of_l") + F.size("of_r") - overlap
@@ -201,16 +208,12 @@ def resolve(values: DataFrame, reference: DataFrame, value_col: str = "license",
 
     names = parsed.select(F.col("name").alias("l")).distinct().withColumn("tokens", letters("l"))
     forms = entries.select(F.col("form").alias("r")).distinct().withColumn("tokens", letters("r"))
-    # few bytes but much work a row: spread by rows, which the planner would join to one task by their bytes
-    tasks = values.sparkSession.sparkContext.defaultParallelism
-    near = prefix_join(names, forms, THRESHOLD).repartition(tasks, "l", "r").withColumn("errors", errors("l", "r"))
-    # abbreviations are too short for typing errors
-    near = near.where((F.col("errors") <= ERRORS) & ((F.length("r") > 5) | (F.col("errors") == 0)))
     families = bounded_broadcast(entries.select(F.col("form").alias("r"), "family").distinct())
-    best = near.join(families, "r").groupBy("l").agg(F.min(F.struct("errors", -F.col("similarity"))).alias("best"), F.collect_list(F.struct("errors", (-F.col("similarity")).alias("s"), "family")).alias("all"))
-    # families within reach of a name: at most as many as the list has
-    tied = F.array_distinct(F.transform(F.filter("all", lambda c: c["errors"] == F.col("best.errors")), lambda c: c["family"]))
-    named = best.select(F.col("l").alias("name"), F.col("best.errors").alias("errors"), tied.alias("families"))
+    # forms within reach of a name: at most as many as the list has
+    near = prefix_join(names, forms, THRESHOLD).join(families, "r").groupBy("l").agg(F.max("similarity").alias("similarity"), F.collect_list(F.struct("similarity", "r", "family")).alias("all"))
+    tied = near.select("l", "similarity", F.array_sort(F.filter("all", lambda c: c["similarity"] == F.col("similarity"))).alias("best"))
+    checked = tied.withColumn("r", F.col("best")[0]["r"]).withColumn("errors", errors("l", "r")).where((F.col("errors") <= ERRORS) & ((F.length("r") > SHORT) | (F.col("errors") == 0)))
+    named = checked.select(F.col("l").alias("name"), "errors", F.array_distinct(F.transform("best", lambda c: c["family"])).alias("families"))
     choices = (
         parsed.join(shuffled(named), "name")
         .groupBy("value", "version", "qualifier")
