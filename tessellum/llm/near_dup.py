@@ -12,7 +12,8 @@ step (the cycle lemma), so that each prefix of the chain stays within a budget p
   bit sketches whose differences never exceed the true ones;
 * a signature that many records share, such as one of boilerplate alone, is not compared as it is: its records are listed again
   under the signature together with the remainders of the chain of two segments that begins there, which is in its budget
-  for every true pair, too;
+  for every true pair, too. What is still shared by many is split into blocks of records, and every pair of blocks is a
+  key of its own;
 * what is left is compared in full.
 
 m depends on the size of the set in powers of two. The larger of two records that can be similar is at most one power
@@ -43,6 +44,7 @@ SEGMENT = 1.5
 #: Records that may share a signature before its chain is lengthened, and the segments of the longer chain.
 HOT, LONGER = 256, 2
 SIGNATURES = "sig long, rec long, n int, ring long, chain long"
+SIGNATURE = ("sig", "rec", "n", "ring", "chain")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -119,7 +121,7 @@ def _signer(threshold: Fraction):
                 if (low := least != own).any():
                     parts.append(_signatures(rec[low], sizes[low], shingles[np.repeat(low, sizes)], least[low], slack))
                 for part in parts:
-                    yield pa.RecordBatch.from_pydict({c: part[c] for c in ("sig", "rec", "n", "ring", "chain")})
+                    yield pa.RecordBatch.from_pydict({c: part[c] for c in SIGNATURE})
 
     return sign
 
@@ -165,6 +167,26 @@ def _chain(side: str, at: int, bits: int) -> Column:
     return F.shiftright(F.col(f"{side}.chain"), at).bitwiseAND(F.lit((1 << bits) - 1))
 
 
+def _blocked(signed: DataFrame, many: DataFrame, left: bool) -> DataFrame:
+    """signed with a pair of blocks (i, j), i <= j, per row: a signature in (sig, blocks) has so many blocks, any other one. A record
+    of block b stands on the left side in the pairs (b, j) and on the right side in the pairs (i, b). Pairs of records meet
+    exactly once."""
+    rows = signed.join(shuffled(many), "sig", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("rec"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.col("b"), F.col("blocks") - 1) if left else F.sequence(F.lit(0), F.col("b"))).alias("o")
+    rows = rows.select(*SIGNATURE, "b", other)
+    return rows.select(*SIGNATURE, *((F.col("b").alias("i"), F.col("o").alias("j")) if left else (F.col("o").alias("i"), F.col("b").alias("j"))))
+
+
+def _sides(signed: DataFrame, may_be_hot: bool) -> tuple[DataFrame, DataFrame]:
+    """The two sides of the join on (sig, i, j)."""
+    if may_be_hot:
+        many = cut(signed.groupBy("sig").agg(F.count("*").alias("many")).where(F.col("many") > HOT).select("sig", F.ceil(F.col("many") / HOT).cast("int").alias("blocks")))
+        if not many.isEmpty():
+            return _blocked(signed, many, True), _blocked(signed, many, False)
+    plain = signed.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+    return plain, plain
+
+
 def similar_sets(sets: DataFrame, threshold: Fraction) -> DataFrame:
     """(a, b), a < b: all pairs of rows (rec, shingles) whose sets have a Jaccard similarity of at least `threshold`."""
     ratio = float((1 - threshold) / (1 + threshold))
@@ -175,18 +197,18 @@ def similar_sets(sets: DataFrame, threshold: Fraction) -> DataFrame:
         # signatures of one record: bounded by its own size
         again = signed.select("sig", "rec").join(listed, "sig", "left_semi").groupBy("rec").agg(F.collect_set("sig").alias("sigs")).join(shuffled(sets), "rec")
         refined = again.select("rec", "shingles", "sigs").mapInArrow(_longer(threshold), SIGNATURES)
-        signed = cut(signed.join(listed, "sig", "left_anti").select("sig", "rec", "n", "ring", "chain").union(refined))
-    x, y = signed.alias("x"), signed.alias("y")
+        signed = cut(signed.join(listed, "sig", "left_anti").select(*SIGNATURE).union(refined))
+    x, y = (df.alias(side) for df, side in zip(_sides(signed, not hot.isEmpty()), "xy", strict=True))
     chains = [
         (size_x >= full) | (size_y >= full) | _within(_chain("x", at, 24), _chain("y", at, 24), size_x, size_y, ratio)
         for at, size_at, width, full in ((0, 48, 8, 255), (24, 56, 7, 127))
         for size_x, size_y in [(_chain("x", size_at, width), _chain("y", size_at, width))]
     ]
     candidates = (
-        x.join(shuffled(y), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.rec") < F.col("y.rec")))
+        x.join(shuffled(y), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & ((F.col("x.i") < F.col("x.j")) | (F.col("x.rec") < F.col("y.rec"))))
         .where(F.least("x.n", "y.n") * F.lit(threshold.denominator) >= F.greatest("x.n", "y.n") * F.lit(threshold.numerator))
         .where(chains[0] & chains[1] & _within(F.col("x.ring"), F.col("y.ring"), F.col("x.n"), F.col("y.n"), ratio))
-        .select(F.col("x.rec").alias("a"), F.col("y.rec").alias("b"))
+        .select(F.least("x.rec", "y.rec").alias("a"), F.greatest("x.rec", "y.rec").alias("b"))
         .distinct()
     )
     left, right = sets.select(F.col("rec").alias("a"), F.col("shingles").alias("of_a")), sets.select(F.col("rec").alias("b"), F.col("shingles").alias("of_b"))

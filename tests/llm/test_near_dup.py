@@ -55,6 +55,14 @@ def test_no_pair_is_lost_when_all_shared_signatures_are_lengthened(spark, rows,
     assert got == {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if x is not None and y is not None and jaccard(x, y, 3) >= Fraction(7, 10)}
 
 
+def test_a_signature_of_many_is_split_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "HOT", 5)
+    base = " ".join(f"w{k}" for k in range(30))
+    rows = [(k, f"{base} e{k} f{k % 3}") for k in range(40)] + [(100 + k, f"z{k} y x w v u t") for k in range(9)]
+    got = set(map(tuple, near_dup.found(spark.createDataFrame(rows, "id long, text string"), "id", "text", Fraction(7, 10), 3).collect()))
+    assert got == {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if jaccard(x, y, 3) >= Fraction(7, 10)}
+
+
 def test_groups(spark):
     text = " ".join(f"w{k}" for k in range(40))
     rows = [(1, text), (2, text + " x"), (3, text + " x"), (4, "other words entirely here"), (5, "a b"), (6, None)]
