@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,15 +33,30 @@ SEED = 42
 
 
 def sainte_lague(weights: list[float], seats: int) -> list[int]:
-    """Seats by the highest quotients weight / 1, 3, 5, ...; ties go to the earlier weight."""
-    given = [0] * len(weights)
-    heap = [(-w, k) for k, w in enumerate(weights) if w > 0]
+    """Seats by the highest quotients weight / 1, 3, 5, ...; ties go to the earlier weight.
+
+    The quotients above a bar d are floor(weight / d + 1/2) for each weight. The bar is halved in until the seats given are at
+    most `seats` and few are left; only these, about one for each weight, are given one by one."""
+    w = np.maximum(np.array(weights, float), 0.0)
+    given = np.zeros(len(w), np.int64)
+    if seats <= 0 or not (w > 0).any():
+        return given.tolist()
+    above = lambda bar: np.floor(w / bar + 0.5 - 1e-9).astype(np.int64)
+    low, high = w.sum() / (seats + len(w)) / 2, 4 * w.sum()
+    for _ in range(80):
+        bar = (low + high) / 2
+        if above(bar).sum() <= seats:
+            high = bar
+        else:
+            low = bar
+    given = np.maximum(above(high) - 1, 0)
+    heap = [(-w[k] / (2 * int(given[k]) + 1), k) for k in np.flatnonzero(w > 0).tolist()]
     heapq.heapify(heap)
-    for _ in range(seats if heap else 0):
+    for _ in range(seats - int(given.sum())):
         _, k = heap[0]
         given[k] += 1
-        heapq.heapreplace(heap, (-weights[k] / (2 * given[k] + 1), k))
-    return given
+        heapq.heapreplace(heap, (-w[k] / (2 * int(given[k]) + 1), k))
+    return given.tolist()
 
 
 def quotas(supply: dict[tuple[str, int], int], targets: dict[str, tuple[float, int]], blocks: int = BLOCKS) -> dict[tuple[str, int], int]:

@@ -60,6 +60,15 @@ def test_ranks_in_parts(spark, monkeypatch):
 
 def test_sainte_lague():
     assert mixing.sainte_lague([53, 24, 23], 7) == [3, 2, 2]
+    r = random.Random(3)
+    for _ in range(60):
+        weights, seats = [r.choice([0, 1, 1, 2.5, 7, 1000, r.random()]) for _ in range(r.randint(1, 30))], r.randint(0, 300)
+        given = [0] * len(weights)
+        for _ in range(seats if any(weights) else 0):
+            k = max(range(len(weights)), key=lambda k: (weights[k] / (2 * given[k] + 1), -k))
+            given[k] += 1
+        assert mixing.sainte_lague(weights, seats) == given
+    assert sum(mixing.sainte_lague([1.0 + k % 7 for k in range(100_000)], 10**9)) == 10**9
     assert mixing.sainte_lague([1, 0, 1], 3) == [2, 0, 1] and mixing.sainte_lague([], 5) == [] and mixing.sainte_lague([0.0], 5) == [0]
 
 
