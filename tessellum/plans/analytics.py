@@ -9,7 +9,7 @@ from tessellum.functions.paths import dir_key, is_license_filename
 from tessellum.functions.text import words
 from tessellum.operators import phrase_match
 from tessellum.plans.catalog import Tables, query
-from tessellum.plans.windows import closure
+from tessellum.plans.windows import BLOCKS_SQL, closure
 
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 #: Words per shingle, rarest shingles that choose candidates, shared rare shingles that a winner needs, and their weight.
@@ -39,11 +39,7 @@ def _(t: Tables) -> DataFrame:
     return t.bot_packages.select(F.col("id").alias("package"), "name").join(scoped, "name").select("package", "patterns")
 
 
-@query("LA05_snippet_blocks", """WITH m AS (SELECT m.file, m.sline, m.eline, coalesce(p.license, '') <> '' AS licensed FROM pattern_matches m JOIN license_patterns p ON p.id = m.pattern WHERE m.generation = 0 AND NOT m.ignored),
-  k AS (SELECT DISTINCT file, greatest(sline - 1, 1) AS sline, eline + 1 AS eline FROM m WHERE NOT licensed AND NOT EXISTS (SELECT 1 FROM m l WHERE l.licensed AND l.file = m.file AND l.sline <= m.sline AND l.eline >= m.eline)),
-  r AS (SELECT *, max(eline) OVER (PARTITION BY file ORDER BY sline, eline ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM k),
-  b AS (SELECT *, sum(CASE WHEN reach IS NULL OR sline > reach + 6 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY sline, eline) AS block FROM r)
-  SELECT file, min(sline) AS sline, max(eline) AS eline FROM b GROUP BY file, block""")
+@query("LA05_snippet_blocks", BLOCKS_SQL)
 def _(t: Tables) -> DataFrame:
     """Blocks around keyword lines that no licensed span explains, grown through all matches at most six lines away."""
     return closure(t.pattern_matches, t.license_patterns)

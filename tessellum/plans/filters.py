@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellum.functions.paths import dir_key, glob_regex, is_license_filename
+from tessellum.functions.paths import dir_key, glob_regex, is_license_filename, peripheral_kind
+from tessellum.plans import path_sql
 from tessellum.plans.catalog import NOW, Tables, query
 
 _NOW = f"TIMESTAMP '{NOW:%Y-%m-%d %H:%M:%S}'"
@@ -81,9 +82,11 @@ def _(t: Tables) -> DataFrame:
     return t.snippets.where(~F.col("score_version").eqNullSafe(2)).select("id")
 
 
-@query("FLT11_array_contains_all", "SELECT license_id FROM license_list WHERE len(aliases) >= 1 AND list_has_all(aliases, [aliases[1]])")
-def _(t: Tables) -> DataFrame:
-    return t.license_list.where((F.size("aliases") >= 1) & (F.size(F.array_except(F.slice("aliases", 1, 1), "aliases")) == 0)).select("license_id")
+@query("FLT11_array_contains_all", "SELECT license_id FROM license_list WHERE list_has_all(aliases, ['TAFL-1.0+']) OR list_has_all(aliases, ['QUDL-1.0', 'TAFL-1.0+'])")
+def _(t: Tables, wanted: tuple[tuple[str, ...], ...] = (("TAFL-1.0+",), ("QUDL-1.0", "TAFL-1.0+"))) -> DataFrame:
+    """Rows whose array holds all values of one of the wanted sets."""
+    has = [F.size(F.array_except(F.array(*map(F.lit, w)), "aliases")) == 0 for w in wanted]
+    return t.license_list.where(F.coalesce(has[0] | has[1], F.lit(False))).select("license_id")
 
 
 @query("FLT12_any_of", "SELECT id, type FROM package_components WHERE type = ANY(['npm', 'gem'])")
@@ -143,16 +146,14 @@ def _(t: Tables) -> DataFrame:
     return t.package_components.where(F.length("purl") <= 30).select("id", F.length("purl").cast("long").alias("n"))
 
 
-@query("FLT22_document_candidates", r"""WITH c AS (SELECT package, filename, len(filename) - len(replace(filename, '/', '')) AS depth FROM matched_files WHERE generation = 0
-  AND regexp_matches(regexp_extract(filename, '[^/]*$'), '(?i)^(?:LICEN[CS]E|COPYING|COPYRIGHT|NOTICE|EULA|LEGAL|UNLICENSE|THIRD[_-]?PARTY)(?:[.\-]|$)')
-  AND NOT regexp_matches(filename, '(?i)\.(?:asm|awk|bash|c|cc|cjs|cpp|cs|cxx|dart|el|go|gradle|groovy|h|hh|hpp|java|jl|js|jsx|kt|lua|mjs|mm|php|pl|pm|py|rb|rs|scala|sh|sql|swift|tcl|ts|tsx|vim)$')),
+@query("FLT22_document_candidates", f"""WITH c AS (SELECT package, filename, len(filename) - len(replace(filename, '/', '')) AS depth FROM matched_files WHERE generation = 0 AND {path_sql.license_file('filename')} AND {path_sql.kind('filename')} IS NULL),
   r AS (SELECT *, row_number() OVER (PARTITION BY package ORDER BY depth, filename) AS n, count(*) OVER (PARTITION BY package) AS total FROM c)
   SELECT package, filename, CAST(greatest(total - 10, 0) AS BIGINT) AS dropped FROM r WHERE n <= 10""")
 def _(t: Tables, most: int = 10) -> DataFrame:
     from pyspark.sql import Window
 
     by = Window.partitionBy("package")
-    rows = t.matched_files.where("generation = 0").where(is_license_filename(F.col("filename"))).withColumn("depth", F.size(F.split("filename", "/")))
+    rows = t.matched_files.where("generation = 0").where(is_license_filename(F.col("filename")) & peripheral_kind(F.col("filename")).isNull()).withColumn("depth", F.size(F.split("filename", "/")))
     rows = rows.withColumn("n", F.row_number().over(by.orderBy("depth", "filename"))).withColumn("total", F.count("*").over(by))
     return rows.where(F.col("n") <= most).select("package", "filename", F.greatest(F.col("total") - most, F.lit(0)).alias("dropped"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessellum.functions import paths
 from tessellum.functions.risk import clamp_priority, estimated_risk, percent
+from tessellum.plans import path_sql
 from tessellum.plans.catalog import NOW, Tables, query
 
 _NOW = f"TIMESTAMP '{NOW:%Y-%m-%d %H:%M:%S}'"
@@ -86,14 +87,21 @@ def _(t: Tables) -> DataFrame:
     return t.package_components.select("id", F.md5("purl").alias("identity"))
 
 
-@query("SC17_sha512_length", "SELECT id, sha256(text) AS digest FROM snippets WHERE text IS NOT NULL")
+@query("SC17_sha512")
 def _(t: Tables) -> DataFrame:
-    return t.snippets.where("text is not null").select("id", F.sha2("text", 256).alias("digest"))
+    return t.snippets.where("text is not null").select("id", F.sha2("text", 512).alias("digest"))
 
 
-@query("SC18_short_name", "SELECT id, coalesce(result, 'Unknown') || '-' || priority || ':' || substr(md5(checksum), 1, 6) AS short FROM bot_packages WHERE checksum IS NOT NULL")
+@query("SC18_short_name", """WITH r AS (SELECT m.package, p.risk, coalesce(nullif(p.spdx, ''), p.license) AS name FROM pattern_matches m JOIN license_patterns p ON p.id = m.pattern WHERE m.generation = 0 AND NOT m.ignored AND coalesce(p.license, '') <> ''),
+  k AS (SELECT package, max(risk) AS risk FROM r GROUP BY package) SELECT b.id, coalesce(min(r.name), 'Unknown') || '-' || coalesce(k.risk, 0) || ':' || substr(md5(coalesce(b.checksum, '')), 1, 4) AS short
+  FROM bot_packages b LEFT JOIN k ON k.package = b.id LEFT JOIN r ON r.package = b.id AND r.risk = k.risk GROUP BY b.id, k.risk, b.checksum""")
 def _(t: Tables) -> DataFrame:
-    return t.bot_packages.where("checksum is not null").select("id", F.concat(F.coalesce("result", F.lit("Unknown")), F.lit("-"), F.col("priority"), F.lit(":"), F.substring(F.md5("checksum"), 1, 6)).alias("short"))
+    """The license and risk that stand out in a package's live report, and four digits of its checksum in place of random ones."""
+    p = t.license_patterns.where("coalesce(license, '') <> ''").select(F.col("id").alias("pattern"), "risk", F.coalesce(F.nullif("spdx", F.lit("")), "license").alias("name"))
+    live = t.pattern_matches.where("generation = 0 AND NOT ignored").join(p, "pattern")
+    worst = live.groupBy(F.col("package").alias("id")).agg(F.min(F.struct((-F.col("risk")).alias("less"), "name")).alias("w"))
+    rows = t.bot_packages.select("id", "checksum").join(worst, "id", "left")
+    return rows.select("id", F.concat(F.coalesce("w.name", F.lit("Unknown")), F.lit("-"), F.coalesce(-F.col("w.less"), F.lit(0)), F.lit(":"), F.substring(F.md5(F.coalesce("checksum", F.lit(""))), 1, 4)).alias("short"))
 
 
 @query("SC19_report_checksum", """WITH l AS (SELECT DISTINCT m.package, 'LIC:' || p.license AS line FROM pattern_matches m JOIN license_patterns p ON p.id = m.pattern WHERE m.generation = 0 AND NOT m.ignored AND p.risk <> 0 AND p.license IS NOT NULL),
@@ -148,17 +156,12 @@ def _(t: Tables) -> DataFrame:
     return t.matched_files.select("id", F.posexplode(paths.ancestors(F.col("filename"))).alias("depth", "dir"))
 
 
-@query("SC25_peripheral", """SELECT id, CASE WHEN NOT contains(filename, '/') THEN NULL
-  WHEN regexp_matches(regexp_replace(filename, '[^/]*$', ''), '(?i)(?:^|/)(?:vendor|vendored|third_party|3rdparty|node_modules|bower_components|bundled|externals?)(?:/|$)') THEN 'vendored'
-  WHEN regexp_matches(regexp_replace(filename, '[^/]*$', ''), '(?i)(?:^|/)(?:licenses?|licences?|legal)(?:/|$)') THEN 'license_catalog'
-  WHEN regexp_matches(regexp_replace(filename, '[^/]*$', ''), '(?i)(?:^|/)(?:docs?|documentation|man)(?:/|$)') THEN 'documentation'
-  WHEN regexp_matches(regexp_replace(filename, '[^/]*$', ''), '(?i)(?:^|/)(?:tests?|testing|spec|fixtures?)(?:/|$)') THEN 'test'
-  WHEN regexp_matches(regexp_replace(filename, '[^/]*$', ''), '(?i)(?:^|/)(?:examples?|samples?|demos?)(?:/|$)') THEN 'example' END AS kind FROM matched_files""")
+@query("SC25_peripheral", f"SELECT id, {path_sql.kind('filename')} AS kind, {path_sql.tier('filename')} AS tier FROM matched_files")
 def _(t: Tables) -> DataFrame:
-    return t.matched_files.select("id", paths.peripheral_kind(F.col("filename")).alias("kind"))
+    return t.matched_files.select("id", paths.peripheral_kind(F.col("filename")).alias("kind"), paths.tier(F.col("filename")).alias("tier"))
 
 
-@query("SC26_license_filename", r"SELECT id, regexp_matches(regexp_extract(filename, '[^/]*$'), '(?i)^(?:LICEN[CS]E|COPYING|COPYRIGHT|NOTICE|EULA|LEGAL|UNLICENSE|THIRD[_-]?PARTY)(?:[.\-]|$)') AND NOT regexp_matches(filename, '(?i)\.(?:asm|awk|bash|c|cc|cjs|cpp|cs|cxx|dart|el|go|gradle|groovy|h|hh|hpp|java|jl|js|jsx|kt|lua|mjs|mm|php|pl|pm|py|rb|rs|scala|sh|sql|swift|tcl|ts|tsx|vim)$') AS license_file FROM matched_files")
+@query("SC26_license_filename", f"SELECT id, {path_sql.license_file('filename')} AS license_file FROM matched_files")
 def _(t: Tables) -> DataFrame:
     return t.matched_files.select("id", paths.is_license_filename(F.col("filename")).alias("license_file"))
 

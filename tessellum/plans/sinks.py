@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessellum.functions import legal_text, spec_macros
 from tessellum.plans.catalog import Tables, query
+from tessellum.plans.text import _URLS
+from tessellum.session import shuffled
 
 _BLACKLIST = r"^(?:audio|image|video)/|octet-stream|x-executable|x-sharedlib"
 #: A character that the end of a cut text breaks off, byte by byte.
@@ -23,7 +25,7 @@ def _(t: Tables) -> DataFrame:
     return t.documents.groupBy("package_name").agg(F.count("*").alias("files"), F.sum("n_chars").alias("size"))
 
 
-@query("SRC03_decoded_head", "SELECT doc_id, substr(text, 1, 300) AS head FROM documents")
+@query("SRC03_decoded_head", "SELECT doc_id, CASE WHEN strlen(text) <= 30000 THEN text ELSE substr(text, 1, list_max([n FOR n IN generate_series(7500, 30000) IF strlen(substr(text, 1, n)) <= 30000])) END AS head FROM documents")
 def _(t: Tables, most: int = 30_000) -> DataFrame:
     """The first bytes of a file without a character that they cut, strict UTF-8 or else Latin-1."""
     latin = F.decode(F.substring(F.col("text").cast("binary"), 1, most), "ISO-8859-1")  # a character per byte
@@ -31,7 +33,7 @@ def _(t: Tables, most: int = 30_000) -> DataFrame:
     return t.documents.select("doc_id", F.coalesce(F.try_validate_utf8(F.encode(whole, "ISO-8859-1").cast("string")), whole).alias("head"))
 
 
-@query("SRC04_lines", "SELECT doc_id, n AS line, printf('%6d  ', n) || substr(lines[n], 1, 8000) AS numbered FROM (SELECT doc_id, lines, unnest(generate_series(1, least(3, len(lines)))) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))")
+@query("SRC04_lines", "SELECT doc_id, n AS line, printf('%6d  ', n) || substr(lines[n], 1, 8000) AS numbered FROM (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))")
 def _(t: Tables, first: int = 1, last: int | None = None) -> DataFrame:
     """Numbered lines from the first to the last of a range, or to the end."""
     rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
@@ -61,21 +63,30 @@ def _(t: Tables) -> DataFrame:
     return spec.select("doc_id", F.regexp_extract("text", r"(?m)^License:\s*(.+)$", 1).alias("license"), F.regexp_extract("text", r"(?m)^Version:\s*(.+)$", 1).alias("version"), F.size(F.regexp_extract_all("text", F.lit(r"(?m)^BuildRequires:"), F.lit(0))).cast("long").alias("requires"))
 
 
-@query("SRC13_expanded_macros", r"SELECT doc_id, replace(replace(text, '%{name}', regexp_extract(text, '(?m)^Name:\s*(\S+)', 1)), '%{version}', regexp_extract(text, '(?m)^Version:\s*(\S+)', 1)) AS expanded FROM documents WHERE source = 'spec_file' AND text IS NOT NULL")
+@query("SRC13_expanded_macros")
 def _(t: Tables) -> DataFrame:
     spec = t.documents.where("source = 'spec_file' AND text IS NOT NULL")
     return spec.select("doc_id", spec_macros.expanded(F.col("text")).alias("expanded"))
 
 
-@query("SNK01_promoted_build", """WITH g AS (SELECT package, max(generation) AS generation FROM pattern_matches GROUP BY package)
-  SELECT m.id, m.package, 0 AS generation FROM pattern_matches m JOIN g ON g.package = m.package AND g.generation = m.generation""")
+def promoted(rows: DataFrame, builds: DataFrame) -> DataFrame:
+    """rows after the given builds (package, build) went live: their rows become generation 0 in place of the package's older
+    ones, every other row stays as it is, other unfinished builds too."""
+    marked = rows.join(shuffled(builds), "package", "left")
+    return marked.where("build IS NULL OR generation <> 0").withColumn("generation", F.when(F.col("generation") == F.col("build"), 0).otherwise(F.col("generation"))).drop("build")
+
+
+@query("SNK01_promoted_build", """WITH g AS (SELECT m.package, max(m.generation) AS build FROM pattern_matches m JOIN bot_packages b ON b.id = m.package WHERE m.generation <> 0 AND b.indexed IS NOT NULL GROUP BY 1)
+  SELECT m.id, m.package, 0 AS generation FROM pattern_matches m LEFT JOIN g ON g.package = m.package WHERE CASE WHEN g.build IS NULL THEN m.generation = 0 ELSE m.generation = g.build END
+  UNION ALL SELECT m.id, m.package, m.generation FROM pattern_matches m LEFT JOIN g ON g.package = m.package WHERE m.generation <> 0 AND m.generation IS DISTINCT FROM g.build""")
 def _(t: Tables) -> DataFrame:
-    """What readers see after every unfinished build has been promoted: the newest generation, relabelled."""
-    newest = t.pattern_matches.groupBy("package").agg(F.max("generation").alias("generation"))
-    return t.pattern_matches.select("id", "package", "generation").join(newest, ["package", "generation"]).select("id", "package", F.lit(0).alias("generation"))
+    """The newest build of each package whose indexing ended is promoted; builds that are still being made stay hidden."""
+    done = t.bot_packages.where("indexed is not null").select(F.col("id").alias("package"))
+    builds = t.pattern_matches.where("generation <> 0").join(shuffled(done), "package", "left_semi").groupBy("package").agg(F.max("generation").alias("build"))
+    return promoted(t.pattern_matches.select("id", "package", "generation"), builds).select("id", "package", "generation")
 
 
-@query("SNK02_merged_urls", r"SELECT package_name, url, count(*) AS hits FROM (SELECT package_name, unnest(regexp_extract_all(text, 'https?://[^\s,;)>\x22''`]{1,200}')) AS url FROM documents) GROUP BY 1, 2")
+@query("SNK02_merged_urls", f"SELECT package_name, url, count(*) AS hits FROM (SELECT package_name, unnest({_URLS}) AS url FROM documents) GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
     return t.documents.select("package_name", F.explode(legal_text.urls(F.col("text"))).alias("url")).groupBy("package_name", "url").agg(F.count("*").alias("hits"))
 
@@ -97,7 +108,7 @@ def _(t: Tables) -> DataFrame:
     return t.package_components.where("generation = 0 AND trim(name) <> ''").select("id", element.alias("element"))
 
 
-@query("SNK06_notice_lines", "SELECT p.license, string_agg(DISTINCT f.filename, chr(10) ORDER BY f.filename) AS files FROM pattern_matches m JOIN license_patterns p ON p.id = m.pattern JOIN matched_files f ON f.id = m.file WHERE m.generation = 0 AND NOT m.ignored AND p.risk >= 6 AND p.license IS NOT NULL GROUP BY p.license")
+@query("SNK06_notice_lines", "SELECT coalesce(nullif(p.spdx, ''), p.license) AS license, string_agg(DISTINCT f.filename, chr(10) ORDER BY f.filename) AS files FROM pattern_matches m JOIN license_patterns p ON p.id = m.pattern JOIN matched_files f ON f.id = m.file AND f.generation = 0 WHERE m.generation = 0 AND NOT m.ignored AND NOT p.catch_all AND coalesce(nullif(p.spdx, ''), p.license) <> '' GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     """The files of every license in the live reports, whatever its risk; catch-alls name no license."""
     name = F.coalesce(F.nullif("spdx", F.lit("")), "license")

@@ -49,8 +49,13 @@ def _(t: Tables) -> DataFrame:
     return t.snippets.where(F.contains(flat, F.lit(" charging for help "))).select("id")
 
 
-@query("ST04_normalized_text", r"""SELECT id, trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-  '(?m)^[ \t]*(?://+|/?\*+/?|#+|;+|--+|\.\\"|dnl\b)[ \t]?', '', 'g'), '(?im)^.*(?:copyright|\(c\)) .*$', '', 'g'), '<[^<>\n]{1,200}>', ' ', 'g'), '&[a-z]{2,8};|&#[0-9]{1,6};', ' ', 'g'), 'https?://[^\s,;)>"''`]{1,200}', ' ', 'g'), '[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,4}', ' ', 'g')), '\s+', ' ', 'g'), ' ') AS normalized FROM snippets WHERE text IS NOT NULL""")
+def _sql_normalized(text: str) -> str:
+    for pattern, instead in legal_text.NORMALIZING:
+        text = f"regexp_replace({text}, '{pattern}', '{instead}', 'g')"
+    return f"trim(regexp_replace(array_to_string([x FOR x IN string_split({text}, chr(10)) IF NOT regexp_matches(x, '{legal_text.DROPPED_LINE}')], chr(10)), '\\s+', ' ', 'g'), ' ')"
+
+
+@query("ST04_normalized_text", f"SELECT id, {_sql_normalized('text')} AS normalized FROM snippets WHERE text IS NOT NULL")
 def _(t: Tables) -> DataFrame:
     return t.snippets.where("text is not null").select("id", legal_text.normalized_license_text(F.col("text")).alias("normalized"))
 
@@ -78,14 +83,28 @@ def _(t: Tables) -> DataFrame:
     return t.license_patterns.where("license is not null").select("license").distinct().select("license", canonical_expression(F.col("license")).alias("canonical"))
 
 
-@query("ST11_urls_and_emails", r"SELECT doc_id, len(regexp_extract_all(text, 'https?://[^\s,;)>\x22''`]{1,200}')) AS urls, len(regexp_extract_all(lower(text), '[a-z0-9._%+-]{1,64}@[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,4}')) AS emails FROM documents WHERE text IS NOT NULL")
+def _sql_addresses(text: str, pattern: str, longest: int) -> str:
+    return f"[x FOR x IN regexp_extract_all({text}, '{pattern}') IF length(x) <= {longest} AND NOT regexp_matches(x, '{legal_text.RESERVED}')]"
+
+
+_URLS, _EMAILS = _sql_addresses("text", legal_text.URL.replace("'", "''"), legal_text.LONGEST_URL), _sql_addresses("lower(text)", legal_text.EMAIL, legal_text.LONGEST_EMAIL)
+
+
+@query("ST11_urls_and_emails", f"SELECT doc_id, len({_URLS}) AS urls, len({_EMAILS}) AS emails FROM documents WHERE text IS NOT NULL")
 def _(t: Tables) -> DataFrame:
     return t.documents.where("text is not null").select("doc_id", F.size(legal_text.urls(F.col("text"))).cast("long").alias("urls"), F.size(legal_text.emails(F.col("text"))).cast("long").alias("emails"))
 
 
 @query("ST12_copyrights", None)
 def _(t: Tables) -> DataFrame:
-    return t.documents.where("text is not null").select("doc_id", F.explode(legal_text.copyrights(F.col("text"))).alias("notice"))
+    """Each notice of a document with the number of times that it stands there."""
+    found = t.documents.where("text is not null").select("doc_id", F.explode(legal_text.copyrights(F.col("text"))).alias("notice"))
+    return found.groupBy("doc_id", "notice").agg(F.count("*").alias("hits"))
+
+
+@query("ST13_review_notices")
+def _(t: Tables) -> DataFrame:
+    return t.documents.where("text is not null").select("doc_id", F.posexplode(legal_text.legal_review_notices(F.col("text"))).alias("n", "notice"))
 
 
 @query("ST15_skips", r"SELECT id, regexp_matches(pattern, '\$SKIP\d*') AS has_skip, regexp_matches(trim(pattern), '^\$SKIP\d*|\$SKIP\d*$') AS redundant FROM license_patterns WHERE pattern IS NOT NULL")
@@ -93,8 +112,11 @@ def _(t: Tables) -> DataFrame:
     return t.license_patterns.where("pattern is not null").select("id", F.col("pattern").rlike(r"\$SKIP\d*").alias("has_skip"), F.trim("pattern").rlike(r"^\$SKIP\d*|\$SKIP\d*$").alias("redundant"))
 
 
-@query("ST17_unexplained_lines", """WITH n AS (SELECT file, sum(eline - sline + 1) AS lines FROM (SELECT DISTINCT file, sline, eline FROM file_snippets WHERE generation = 0) GROUP BY file)
-  SELECT file, CAST(lines AS BIGINT) AS lines FROM n""")
+@query("ST17_unexplained_lines", r"""WITH o AS (SELECT DISTINCT o.file, o.sline, o.eline, s.text FROM file_snippets o LEFT JOIN snippets s ON s.id = o.snippet WHERE o.generation = 0 AND o.eline >= o.sline),
+  l AS (SELECT file, string_split(text, chr(10))[line - sline + 1] AS text, line FROM (SELECT *, unnest(generate_series(sline, eline)) AS line FROM o)),
+  h AS (SELECT file, line, bool_and(coalesce(NOT regexp_matches(text, '\S'), false)) AS blank FROM l GROUP BY 1, 2),
+  c AS (SELECT DISTINCT file, unnest(generate_series(m.sline, m.eline)) AS line FROM pattern_matches m JOIN license_patterns p ON p.id = m.pattern WHERE m.generation = 0 AND NOT m.ignored AND p.license <> '')
+  SELECT h.file, count(*) FILTER (WHERE NOT blank AND c.line IS NULL) AS lines FROM h LEFT JOIN c ON c.file = h.file AND c.line = h.line GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
     """Lines of the live snippets of a file that are not blank and in no licensed span, each once. A file whose lines are
     all explained has 0. Catch-alls explain, keywords and ignored matches do not."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,38 +62,30 @@ def islands(spans: DataFrame, gap: int) -> DataFrame:
     return starts.withColumn("block", F.sum("new").over(upto)).groupBy("file", "block").agg(F.min("sline").alias("sline"), F.max("eline").alias("eline")).drop("block")
 
 
-def grow(matches: list[tuple[int, int, bool]], delta: int = DELTA) -> list[tuple[int, int]]:
-    """Blocks of lines that one file's matches (sline, eline, licensed) mark: first the keywords outside of licensed spans,
-    one line around them, then again and again what lies between a match and a marked line at most delta lines away."""
-    spans = [m for m in matches if m[2]]
-    marked: set[int] = set()
-    for s, e, licensed in matches:
-        if not licensed and not any(a <= s and e <= b for a, b, _ in spans):
-            marked.update(range(max(s - 1, 1), e + 2))
-    before = 0
-    while len(marked) > before:
-        before = len(marked)
-        for s, e, _ in matches:
-            if (line := next((x for x in range(s - delta, s + 1) if x in marked), None)) is not None:
-                marked.update(range(line, e + 1))
-            if (line := next((x for x in range(e, e + delta + 1) if x in marked), None)) is not None:
-                marked.update(range(s, line + 1))
-    lines = sorted(marked)
-    return list(zip([x for x in lines if x - 1 not in marked], [x for x in lines if x + 1 not in marked], strict=True))
-
-
-def closure(matches: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(file, sline, eline): the blocks of grow() in the live matches of each file, in the order of their lines."""
-
-    @F.pandas_udf("array<struct<sline: int, eline: int>>")
-    def blocks(matches: pd.Series) -> pd.Series:
-        return matches.map(lambda of: [{"sline": s, "eline": e} for s, e in grow([(int(m["sline"]), int(m["eline"]), bool(m["licensed"])) for m in of])])
-
+def closure(matches: DataFrame, patterns: DataFrame, delta: int = DELTA) -> DataFrame:
+    """(file, sline, eline): blocks of lines. Seeds are the keyword matches in no licensed span, with a line around each;
+    a block takes in every match at most delta lines away from its lines, again and again. Blocks are the runs of matches in
+    the order of their lines that reach each other, if a seed is among them: two running maxima and a running sum per file."""
     p = patterns.select(F.col("id").alias("pattern"), (F.coalesce("license", F.lit("")) != "").alias("licensed"))
-    m = matches.where("generation = 0 AND NOT ignored").select("file", "pattern", "sline", "eline").join(p, "pattern")
-    # the matches of one file
-    of = m.groupBy("file").agg(F.array_sort(F.collect_set(F.struct("sline", "eline", "licensed"))).alias("matches")).where(F.exists("matches", lambda x: ~x["licensed"]))
-    return of.select("file", F.explode(blocks("matches")).alias("b")).select("file", "b.sline", "b.eline")
+    m = matches.where("generation = 0 AND NOT ignored").select("file", "pattern", "sline", "eline").join(p, "pattern").select("file", "sline", "eline", "licensed").distinct()
+    upto = Window.partitionBy("file").orderBy("sline")
+    reach = F.max(F.when(F.col("licensed"), F.col("eline"))).over(upto.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    m = m.withColumn("seed", (~F.col("licensed") & (F.coalesce(reach, F.lit(-1)) < F.col("eline"))).cast("int"))
+    order = Window.partitionBy("file").orderBy("sline", "eline", "seed")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    end, marked = F.max("eline").over(before), F.max(F.col("eline") + F.col("seed")).over(before)
+    near = F.coalesce((F.col("sline") <= marked + delta) | ((F.col("seed") == 1) & (F.col("sline") <= end + delta + 1)), F.lit(False))
+    runs = m.withColumn("new", F.when(near, 0).otherwise(1)).withColumn("block", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    blocks = runs.groupBy("file", "block").agg(F.max("seed").alias("seed"), F.greatest(F.min(F.col("sline") - F.col("seed")), F.lit(1)).alias("sline"), F.max(F.col("eline") + F.col("seed")).alias("eline"))
+    return blocks.where("seed = 1").select("file", "sline", "eline")
+
+
+#: Statement of the blocks: the licensed span that reaches farthest from a line at or above a keyword decides whether it is a seed.
+BLOCKS_SQL = f"""WITH m AS (SELECT DISTINCT m.file, m.sline, m.eline, coalesce(p.license, '') <> '' AS licensed FROM pattern_matches m JOIN license_patterns p ON p.id = m.pattern WHERE m.generation = 0 AND NOT m.ignored),
+  s AS (SELECT m.*, CASE WHEN licensed OR EXISTS (SELECT 1 FROM m l WHERE l.licensed AND l.file = m.file AND l.sline <= m.sline AND l.eline >= m.eline) THEN 0 ELSE 1 END AS seed FROM m),
+  r AS (SELECT *, max(eline + seed) OVER w AS marked, max(eline) OVER w AS reach FROM s WINDOW w AS (PARTITION BY file ORDER BY sline, eline, seed ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  b AS (SELECT *, sum(CASE WHEN sline <= marked + {DELTA} OR seed = 1 AND sline <= reach + {DELTA + 1} THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY sline, eline, seed ROWS UNBOUNDED PRECEDING) AS block FROM r)
+  SELECT file, greatest(min(sline - seed), 1) AS sline, max(eline + seed) AS eline FROM b GROUP BY file, block HAVING max(seed) = 1"""
 
 
 _ISLANDS = """WITH s AS (SELECT DISTINCT file, sline, eline FROM {table}), r AS (SELECT *, max(eline) OVER (PARTITION BY file ORDER BY sline, eline ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
@@ -107,7 +98,7 @@ def _(t: Tables) -> DataFrame:
     return islands(t.pattern_matches.where("generation = 0").select("file", "sline", "eline").distinct(), 1)
 
 
-@query("WIN08_closure", _ISLANDS.format(table="pattern_matches WHERE generation = 0 AND NOT ignored", gap=6))
+@query("WIN08_closure", BLOCKS_SQL)
 def _(t: Tables) -> DataFrame:
     """The closure over all matches within six lines of what the keywords mark."""
     return closure(t.pattern_matches, t.license_patterns)

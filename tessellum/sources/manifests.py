@@ -17,7 +17,7 @@ Found = tuple[str | None, str | None, str | None]  # name, version, license
 
 
 def _header(text: str) -> dict[str, str]:
-    return {k.lower(): v.strip() for k, v in re.findall(r"(?m)^([A-Za-z-]{1,40})\s*[:=]\s*(.{1,600})$", text)}
+    return {k.lower(): v.strip() for k, v in re.findall(r"(?m)^([A-Za-z-]+)[ \t]*[:=][ \t]*(.+)$", text)}
 
 
 def _npm(text: str) -> Found:

@@ -41,13 +41,63 @@ def test_ancestors(spark):
     assert one(spark, paths.ancestors(F.col("a")), a="c.py") == [""]
 
 
-def test_normalized_license_text(spark):
-    text = " * Copyright 2020 X\n * You  MAY <b>use</b> it &amp; see https://x.example/y or a@b.example\n"
-    assert one(spark, legal_text.normalized_license_text(F.col("a")), a=text) == "you may use it see or"
+NORMAL = {
+    " * You  MAY <b>use</b> it &amp; go\n * Copyright 2020 X\n * see https://x.example/y\nmail a@b.example\n// All Rights Reserved": "You MAY use it go",
+    "  12 first line\n 4. clause\n00017 rest": "first line 4. clause rest", "/* block */\n\\fBbold\\fR \\&x": "block bold x", ".\\\" man text\n# - a\ndnl b\nREM c": "man text - a b c", "": "",
+}
 
 
-def test_copyrights(spark):
-    assert one(spark, legal_text.copyrights(F.col("a")), a="// Copyright 2013 Duvunam Group, released\n// with x. More") == ["Copyright 2013 Duvunam Group, released with x"]
+@pytest.mark.parametrize("text", NORMAL)
+def test_normalized_license_text(spark, text):
+    assert one(spark, legal_text.normalized_license_text(F.col("a")), a=text) == NORMAL[text]
+
+
+NOTICES = {
+    "// Copyright 2013 Duvunam Group,\n// released with x. More\nother": ["Copyright 2013 Duvunam Group, released with x. More"],
+    "Copyright (c) 2019\n    One Author <one@x.example>\n    Two Author\n\nMIT": ["Copyright (c) 2019 One Author <one@x.example> Two Author"],
+    "Copyright and related rights are waived\nCopyright Holder means\ncopyright 2020 x\nCOPYRIGHT 2020 X": [], "(c) You must retain\n(c) 2020 Foo, Inc. and others": ["(c) 2020 Foo, Inc. and others"],
+    "Copyright (C) YEAR Name\nCopyright [name of copyright owner]\nCopyright <year> X": [], "© 2020 A\nAll rights reserved.\nRedistribution and use": ["© 2020 A All rights reserved."],
+    "/* Copyright 2020 A */": ["Copyright 2020 A"], "Copyright 2020 A\nCopyright 2020 A": ["Copyright 2020 A"] * 2, "SPDX-FileCopyrightText: 2020 A": ["SPDX-FileCopyrightText: 2020 A"],
+    "Copyright 2020 A,\n B,\n C,\n D,\n E,\n F": ["Copyright 2020 A, B, C, D, E,"], "Copyright 2020 " + "x" * 280: ["Copyright 2020 " + "x" * 280], "Copyright 2020 " + "x" * 290: [], "a\n" * 25_000 + "Copyright 2020 Z": ["Copyright 2020 Z"],
+}
+
+
+@pytest.mark.parametrize("text", NOTICES, ids=range(len(NOTICES)))
+def test_copyrights(spark, text):
+    assert one(spark, legal_text.copyrights(F.col("a")), a=text) == NOTICES[text]
+
+
+def test_copyrights_of_nothing(spark):
+    assert one(spark, legal_text.copyrights(F.col("a")), a="") == [] and legal_text.notices(None) == []
+
+
+def test_addresses(spark):
+    long = "https://x.test/" + "a" * 900
+    text = f"see {long}, ftp://no http://www.example.com/x https://k.example/y;\nmail A.b@x.test, c@example.org d@sub.example.com <{'l' * 100}@y.test>"
+    assert one(spark, legal_text.urls(F.col("a")), a=text) == [long, "https://k.example/y"]
+    assert one(spark, legal_text.emails(F.col("a")), a=text) == ["a.b@x.test", "l" * 100 + "@y.test"]
+    assert one(spark, legal_text.urls(F.col("a")), a="https://x.test/" + "a" * 5000) == [] and one(spark, legal_text.emails(F.col("a")), a="a" * 200_000 + " b@x.test") == ["b@x.test"]
+
+
+REVIEWS = {
+    "# Legal-Review-Notice: one\n# two\n#\n# three\nName: x": ["one\ntwo"], "## legal-review-notice: a  \n# Legal-Review-Notice: b\n###\n# c": ["a", "b"], "Legal-Review-Notice: none": [], "# x\n# Legal-Review-Notice: last": ["last"], "": [],
+}
+
+
+@pytest.mark.parametrize("text", REVIEWS)
+def test_review_notices(spark, text):
+    assert one(spark, legal_text.legal_review_notices(F.col("a")), a=text) == REVIEWS[text]
+
+
+KINDS = {
+    "src/a.c": (None, 0), "vendor/x/a.c": ("vendored", 1), "vendor/x/tests/a.c": ("test", 2), "a/Docs/vendor/b": ("documentation", 2), "docs": (None, 0), "vendor.obscpio._./x/y": ("vendored", 1), "lib/external/x": (None, 0), "licenses/MIT": ("license catalog", 2),
+    "samples/testdata/x": ("example", 2), "x/contrib/fixtures/y/z": ("test", 2),
+}
+
+
+@pytest.mark.parametrize("path", KINDS)
+def test_peripheral(spark, path):
+    assert (one(spark, paths.peripheral_kind(F.col("a")), a=path), one(spark, paths.tier(F.col("a")), a=path)) == KINDS[path]
 
 
 def test_trigram_similarity(spark):

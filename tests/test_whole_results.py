@@ -147,3 +147,17 @@ def test_unexplained_lines_are_counted_once_and_without_licenses(run):
     matches = [(k, file, 1, pattern, s, e, ignored, generation) for k, (file, pattern, s, e, ignored, generation) in enumerate(found)]
     tables = {"snippets": (snippets, "id long, text string"), "file_snippets": (occurrences, "id long, package long, file long, snippet long, sline int, eline int, generation int"), "license_patterns": (patterns, PATTERNS), "pattern_matches": (matches, MATCHES)}
     assert run("ST17_unexplained_lines", **tables) == [(1, 3), (2, 0), (3, 2), (4, 3)]
+
+
+def test_only_the_given_builds_are_promoted(run):
+    rows = [(1, 1, 0), (2, 1, 5), (3, 1, 7), (4, 2, 0), (5, 2, 9), (6, 3, 4)]
+    matches = [(k, 1, package, 1, 1, 1, False, generation) for k, package, generation in rows]
+    packages = [(1, "2025-01-01"), (2, None), (3, None)]
+    got = run("SNK01_promoted_build", pattern_matches=(matches, MATCHES), bot_packages=(packages, "id long, indexed string"))
+    assert got == [(2, 1, 5), (3, 1, 0), (4, 2, 0), (5, 2, 9), (6, 3, 4)]
+
+
+def test_sha512(run):
+    import hashlib
+
+    assert run("SC17_sha512", snippets=([(1, "é"), (2, None)], "id long, text string")) == [(1, hashlib.sha512("é".encode()).hexdigest())]
