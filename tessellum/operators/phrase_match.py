@@ -10,11 +10,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellum.functions.text import words
-from tessellum.session import shuffled
+from tessellum.session import bounded_broadcast, cut, shuffled
 
 #: Words of the run that a pattern is filed under.
 RUN = 3
@@ -63,8 +63,15 @@ def choose(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return sorted(kept)
 
 
+def words_of_lines(text: Column) -> Column:
+    """Array of (w, line): the words of a text with their lines from 1."""
+    of_line = lambda line, at: F.transform(words(line), lambda w: F.struct(w.alias("w"), (at + 1).alias("line")))
+    return F.flatten(F.transform(F.split(text, "\n"), of_line))
+
+
 def matches(texts: DataFrame, patterns: DataFrame, id_col: str, text_col: str, pattern_id: str = "id", pattern_col: str = "pattern", resolve: bool = True) -> DataFrame:
-    """(text_id, pattern_id, start, end): word positions from 0, end exclusive. With `resolve`, overlaps are decided."""
+    """(text_id, pattern_id, start, end, sline, eline): word positions from 0, end exclusive, and lines from 1. With `resolve`,
+    overlaps are decided."""
 
     @F.pandas_udf("array<string>")
     def tokens(pattern: pd.Series) -> pd.Series:
@@ -73,28 +80,36 @@ def matches(texts: DataFrame, patterns: DataFrame, id_col: str, text_col: str, p
     coded = patterns.where(F.col(pattern_col).isNotNull()).select(F.col(pattern_id).cast("long").alias("pattern_id"), tokens(pattern_col).alias("tokens")).where(F.size("tokens") > 0)
     gap = F.array_position(F.transform("tokens", lambda x: F.substring(x, 1, 1)), "#")
     run = F.least(F.when(gap > 0, gap - 1).otherwise(F.size("tokens")), F.lit(RUN)).cast("int")
-    filed = coded.withColumn("run", run).withColumn("key", F.xxhash64("run", F.array_join(F.slice("tokens", F.lit(1), F.col("run")), " ")))
-    listed = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("text_id"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    filed = cut(coded.withColumn("run", run).withColumn("key", F.xxhash64("run", F.array_join(F.slice("tokens", F.lit(1), F.col("run")), " "))))
+    # the keys that patterns begin with: where they are few by count, runs that begin no pattern are not shuffled
+    keys = filed.select("key").distinct()
+    listed = cut(texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("text_id"), words_of_lines(F.col(text_col)).alias("of")).where(F.size("of") > 0).select("text_id", F.col("of.w").alias("w"), F.col("of.line").alias("lines")))
     # all runs of a text in one array, so that no exploded row carries the text
-    run_at = lambda i, k: F.struct((i - 1).alias("start"), F.lit(k).alias("run"), F.xxhash64(F.lit(k), F.array_join(F.slice("w", i, F.lit(k)), " ")).alias("key"))
+    run_at = lambda i, k: F.struct((i - 1).alias("start"), F.xxhash64(F.lit(k), F.array_join(F.slice("w", i, F.lit(k)), " ")).alias("key"))
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array(*[run_at(i, k) for k in range(1, RUN + 1)])))
-    placed = listed.select("text_id", F.explode(runs).alias("r")).select("text_id", F.col("r.start").alias("start"), "r")
-    candidates = placed.select("text_id", "start", F.col("r.run").alias("run"), F.col("r.key").alias("key")).join(shuffled(filed), ["run", "key"]).select("text_id", "start", "pattern_id", "tokens")
+    placed = listed.select("text_id", F.explode(runs).alias("r")).select("text_id", F.col("r.start").alias("start"), F.col("r.key").alias("key")).join(bounded_broadcast(keys), "key", "left_semi")
+    candidates = placed.join(shuffled(filed), "key").select("text_id", "start", "pattern_id", "tokens")
 
     @F.pandas_udf("int")
     def end(tokens: pd.Series, rest: pd.Series) -> pd.Series:
         return pd.Series([match_end(list(p), list(w), 0) for p, w in zip(tokens, rest, strict=True)], dtype="int32")
 
     longest = F.aggregate("tokens", F.lit(0), lambda n, x: n + F.when(F.substring(x, 1, 1) == "#", F.substring(x, 2, 3).cast("int")).otherwise(1))
-    compared = candidates.join(shuffled(listed), "text_id").select("text_id", "pattern_id", "start", end("tokens", F.slice("w", F.col("start") + 1, longest)).alias("length")).where("length > 0")
-    spans = compared.select("text_id", "pattern_id", "start", (F.col("start") + F.col("length")).alias("end"))
+    compared = candidates.join(shuffled(listed), "text_id").select("text_id", "pattern_id", "start", "lines", end("tokens", F.slice("w", F.col("start") + 1, longest)).alias("length")).where("length > 0")
+    spans = compared.select("text_id", "pattern_id", "start", (F.col("start") + F.col("length")).alias("end"), F.get("lines", F.col("start")).alias("sline"), F.get("lines", F.col("start") + F.col("length") - 1).alias("eline"))
     if not resolve:
         return spans
 
-    @F.pandas_udf("array<struct<start: int, end: int, pattern_id: long>>")
+    @F.pandas_udf("array<int>")
     def chosen(spans: pd.Series) -> pd.Series:
-        return spans.map(lambda of: [dict(zip(("start", "end", "pattern_id"), map(int, s), strict=True)) for s in choose([(s["start"], s["end"], s["pattern_id"]) for s in of])])
+        def places(of: list) -> list[int]:
+            at = {(s["start"], s["end"], s["pattern_id"]): k for k, s in enumerate(of)}
+            return [at[s] for s in choose(list(at))]
+
+        return spans.map(places)
 
     # the matches of one text
-    kept = spans.groupBy("text_id").agg(F.collect_list(F.struct("start", "end", "pattern_id")).alias("all")).select("text_id", F.explode(chosen("all")).alias("m"))
-    return kept.select("text_id", "m.pattern_id", "m.start", "m.end")
+    span = F.struct("start", "end", "pattern_id", "sline", "eline")
+    gathered = spans.groupBy("text_id").agg(F.collect_list(span).alias("all"))
+    kept = gathered.select("text_id", "all", F.explode(chosen("all")).alias("k")).select("text_id", F.get("all", F.col("k")).alias("m"))
+    return kept.select("text_id", "m.pattern_id", "m.start", "m.end", "m.sline", "m.eline")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellum.functions.paths import dir_key, is_license_filename
+from tessellum.functions.paths import dir_key, glob_regex, is_license_filename
 from tessellum.functions.text import words
 from tessellum.operators import phrase_match
+from tessellum.operators.intervals import overlaps
 from tessellum.plans.catalog import Tables, query
 from tessellum.plans.windows import BLOCKS_SQL, closure
+from tessellum.session import cut, shuffled
 
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 #: Words per shingle, rarest shingles that choose candidates, shared rare shingles that a winner needs, and their weight.
@@ -21,16 +23,34 @@ def _(t: Tables) -> DataFrame:
     return t.license_patterns.where("pattern is not null").select("id", F.size(words(F.col("pattern"))).cast("long").alias("tokens"))
 
 
+def catalogue_as_files(t: Tables) -> DataFrame:
+    """(id, filename, text): the texts of the catalogue as the files to be matched, named by their package. The tables hold no
+    other text in which its patterns stand."""
+    name = F.concat(F.coalesce(F.nullif("packname", F.lit("")), F.lit("common")), F.lit("/"), F.col("id").cast("string"), F.when(F.col("license") != "", ".txt").otherwise(".kw"))
+    return t.license_patterns.where("pattern is not null").select("id", name.alias("filename"), F.col("pattern").alias("text"))
+
+
 @query("LA02_matches")
 def _(t: Tables) -> DataFrame:
-    return phrase_match.matches(t.documents, t.license_patterns, "doc_id", "text")
+    """Pattern and lines of the matches that win where they overlap."""
+    return phrase_match.matches(catalogue_as_files(t), t.license_patterns, "id", "text").select(F.col("text_id").alias("file"), F.col("pattern_id").alias("pattern"), "sline", "eline")
 
 
-@query("LA02_texts_with_pattern", rf"""SELECT DISTINCT s.id AS text_id, p.id AS pattern_id FROM (SELECT id, ' ' || array_to_string({_WORDS.format('text')}, ' ') || ' ' AS x FROM snippets WHERE text IS NOT NULL) s
-  JOIN (SELECT id, ' ' || array_to_string({_WORDS.format('pattern')}, ' ') || ' ' AS x FROM license_patterns WHERE NOT regexp_matches(pattern, '(?i)\$SKIP') AND len({_WORDS.format('pattern')}) > 0) p ON contains(s.x, p.x)""")
+@query("LA02_texts_with_pattern", rf"""WITH w AS (SELECT id, ' ' || array_to_string({_WORDS.format('pattern')}, ' ') || ' ' AS x, regexp_matches(pattern, '(?i)\$SKIP') AS gaps FROM license_patterns WHERE len({_WORDS.format('pattern')}) > 0)
+  SELECT s.id AS text_id, p.id AS pattern_id FROM w s JOIN w p ON NOT p.gaps AND contains(s.x, p.x)""")
 def _(t: Tables) -> DataFrame:
     plain = t.license_patterns.where(~F.col("pattern").rlike(r"(?i)\$SKIP"))
-    return phrase_match.matches(t.snippets, plain, "id", "text", resolve=False).select("text_id", "pattern_id").distinct()
+    return phrase_match.matches(catalogue_as_files(t), plain, "id", "text", resolve=False).select("text_id", "pattern_id").distinct()
+
+
+@query("LA04_indexed_files")
+def _(t: Tables, ignored: tuple[str, ...] = ("*.kw",)) -> DataFrame:
+    """What indexing leaves of each file with a match: its matches, or only the first one, ignored, if a glob takes the file out."""
+    files = catalogue_as_files(t)
+    named = files.select(F.col("id").alias("file"), F.col("filename").rlike("|".join(f"(?:{glob_regex(g)})" for g in ignored)).alias("ignored"))
+    m = phrase_match.matches(files, t.license_patterns, "id", "text").select(F.col("text_id").alias("file"), F.col("pattern_id").alias("pattern"), "sline", "eline").join(shuffled(named), "file")
+    first = m.where("ignored").groupBy("file").agg(F.min(F.struct("sline", "eline", "pattern")).alias("m")).select("file", "m.pattern", "m.sline", "m.eline", F.lit(True).alias("ignored"))
+    return m.where(~F.col("ignored")).select("file", "pattern", "sline", "eline", "ignored").union(first)
 
 
 @query("LA03_scoped_patterns", "SELECT b.id AS package, count(*) AS patterns FROM bot_packages b JOIN license_patterns p ON p.packname = b.name GROUP BY b.id")
@@ -112,18 +132,18 @@ def _(t: Tables) -> DataFrame:
 def license_scores(snippets: DataFrame, patterns: DataFrame) -> DataFrame:
     """(id, license, score, first): per snippet and license with enough rare shared shingles, the weight of the shared
     shingles by that of all; first is the license's smallest pattern. Candidates come from the rarest shingles."""
-    sig = signatures(patterns)
-    idf = weights(sig)
+    sig = cut(signatures(patterns))
     own = snippets.where("text is not null").select("id", F.explode(shingles(words(F.col("text")))).alias("s"))
-    weighed = own.join(idf, "s", "left").withColumn("known", F.col("w").isNotNull()).withColumn("w", F.coalesce("w", F.lit(1.0)))
-    total = weighed.groupBy("id").agg(F.sum("w").alias("all"))
-    known = weighed.where("known")
+    weighed = own.join(shuffled(weights(sig)), "s", "left")
+    total = weighed.groupBy("id").agg(F.sum(F.coalesce("w", F.lit(1.0))).alias("all"))
+    known = cut(weighed.where("w is not null"))
+    # the gate first: few licenses have two rare shingles of a snippet, many have one of any kind
+    rare = known.where(F.col("w") >= RARE).join(shuffled(sig), "s").groupBy("id", "license").agg(F.count("*").alias("rare")).where(F.col("rare") >= SHARED)
     rarest = known.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("w"), "s"))).where(F.col("k") <= PROBE)
-    probed = rarest.join(sig, "s").select("id", "license").distinct()
-    shared = known.join(sig, "s").groupBy("id", "license").agg(F.sum("w").alias("both"), F.count_if(F.col("w") >= RARE).alias("rare"))
-    scored = shared.where(F.col("rare") >= SHARED).join(probed, ["id", "license"], "left_semi").join(total, "id")
+    candidates = cut(rare.join(shuffled(rarest.join(shuffled(sig), "s").select("id", "license").distinct()), ["id", "license"], "left_semi").select("id", "license"))
+    shared = known.join(shuffled(candidates), "id").join(shuffled(sig), ["s", "license"]).groupBy("id", "license").agg(F.sum("w").alias("both"))
     first = patterns.where("license is not null and license <> ''").groupBy("license").agg(F.min("id").alias("first"))
-    return scored.join(first, "license").select("id", "license", F.round(F.col("both") / F.col("all"), 9).alias("score"), "first")
+    return shared.join(shuffled(total), "id").join(first, "license").select("id", "license", F.round(F.col("both") / F.col("all"), 9).alias("score"), "first")
 
 
 _SCORES = f"""{_SIGNATURES}, own AS {_sql_shingles('snippets', 'text', 'id', 'text IS NOT NULL')}, wd AS (SELECT own.id, own.s, coalesce(idf.w, 1.0) AS w, idf.w IS NOT NULL AS known FROM own LEFT JOIN idf ON idf.s = own.s),
@@ -159,7 +179,7 @@ def gates(t: Tables, threshold: float = 0.95, margin: float = 0.15, most_risk: i
     rows = o.join(s, "snippet")
     q = t.license_patterns.where("license is not null and license <> ''").where(~F.col("catch_all")).select(F.col("id").alias("pattern"), F.col("license").alias("found"), "risk")
     m = t.pattern_matches.where("generation = 0 AND NOT ignored").select("file", "pattern", F.col("sline").alias("s"), F.col("eline").alias("e")).join(q, "pattern")
-    over = o.select("id", "file", "sline", "eline").join(m, "file").where("s <= eline AND e >= sline").groupBy("id").agg(F.collect_set("found").alias("overlapping"))
+    over = overlaps(o.select("id", "file", "sline", "eline"), m, "file", ("sline", "eline"), ("s", "e")).groupBy("id").agg(F.collect_set("found").alias("overlapping"))
     f = t.matched_files.select(F.col("id").alias("file"), dir_key(F.col("filename")).alias("dir"))
     cover = m.join(f, "file").join(t.matched_files.select(F.col("id").alias("file"), "package"), "file").groupBy("package", "dir").agg(F.max("risk").alias("cover"))
     rows = rows.join(over, "id", "left").join(f, "file", "left").join(cover, ["package", "dir"], "left")
@@ -288,7 +308,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     o = t.file_snippets.where("generation = 0").select(F.col("id").alias("occurrence"), "file", F.col("sline").alias("s"), F.col("eline").alias("e"))
     m = t.pattern_matches.where("generation = 0").select(F.col("id").alias("match"), "file", "sline", "eline")
-    rows = o.join(m, "file").where("sline <= e AND eline >= s")
+    rows = overlaps(o, m, "file", ("s", "e"), ("sline", "eline"))
     where = F.when((F.col("sline") <= F.col("s")) & (F.col("eline") >= F.col("e")), "contains").when((F.col("sline") >= F.col("s")) & (F.col("eline") <= F.col("e")), "inside").when(F.col("sline") < F.col("s"), "head").otherwise("tail")
     return rows.select("occurrence", "match", where.alias("position"))
 

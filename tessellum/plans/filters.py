@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellum.functions.paths import dir_key, glob_regex, is_license_filename, peripheral_kind
+from tessellum.operators.intervals import overlaps
 from tessellum.plans import path_sql
 from tessellum.plans.catalog import NOW, Tables, query
 
@@ -125,7 +126,8 @@ def _(t: Tables) -> DataFrame:
 @query("FLT18_line_range", "SELECT m.id AS match, o.id AS occurrence FROM pattern_matches m JOIN file_snippets o ON m.file = o.file WHERE m.eline >= o.sline - 1 AND m.sline <= o.eline + 1")
 def _(t: Tables) -> DataFrame:
     o = t.file_snippets.select(F.col("id").alias("occurrence"), "file", F.col("sline").alias("s"), F.col("eline").alias("e"))
-    return t.pattern_matches.join(o, "file").where("eline >= s - 1 AND sline <= e + 1").select(F.col("id").alias("match"), "occurrence")
+    m = t.pattern_matches.select(F.col("id").alias("match"), "file", "sline", "eline")
+    return overlaps(o, m, "file", ("s", "e"), ("sline", "eline"), margin=1).select("match", "occurrence")
 
 
 @query("FLT19_same_directory", "SELECT id, regexp_replace(filename, '/[^/]*$', '') AS dir FROM matched_files")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessellum.operators.intervals import inside, overlaps
 from tessellum.plans.catalog import Tables, query
 
 
@@ -53,7 +54,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     o = t.file_snippets.where("generation = 0").select(F.col("id").alias("occurrence"), "file", F.col("sline").alias("s"), F.col("eline").alias("e"))
     m = t.pattern_matches.where("generation = 0 AND NOT ignored").select(F.col("id").alias("match"), "file", "sline", "eline")
-    return o.join(m, "file").where("sline <= e AND eline >= s").select("occurrence", "match", F.greatest("s", "sline").alias("first"), F.least("e", "eline").alias("last"))
+    return overlaps(o, m, "file", ("s", "e"), ("sline", "eline")).select("occurrence", "match", F.greatest("s", "sline").alias("first"), F.least("e", "eline").alias("last"))
 
 
 @query("JN09_outside_licensed_spans", "SELECT k.id FROM pattern_matches k JOIN license_patterns kp ON k.pattern = kp.id AND coalesce(kp.license, '') = '' WHERE NOT EXISTS (SELECT 1 FROM pattern_matches l JOIN license_patterns lp ON l.pattern = lp.id AND coalesce(lp.license, '') <> '' WHERE l.file = k.file AND l.sline <= k.sline AND l.eline >= k.eline)")
@@ -61,8 +62,7 @@ def _(t: Tables) -> DataFrame:
     p = t.license_patterns.select(F.col("id").alias("pattern"), (F.coalesce("license", F.lit("")) != "").alias("licensed"))
     m = t.pattern_matches.select("id", "file", "pattern", "sline", "eline").join(p, "pattern")
     spans = m.where("licensed").select("file", F.col("sline").alias("s"), F.col("eline").alias("e"))
-    keywords = m.where(~F.col("licensed")).select("id", F.col("file").alias("k"), "sline", "eline")
-    return keywords.join(spans, (F.col("k") == F.col("file")) & (F.col("s") <= F.col("sline")) & (F.col("e") >= F.col("eline")), "left_anti").select("id")
+    return inside(m.where(~F.col("licensed")), spans, "file", ("sline", "eline"), ("s", "e"), "left_anti").select("id")
 
 
 @query("JN10_array_membership", "SELECT p.id, l.license_id FROM license_patterns p JOIN (SELECT license_id, unnest(aliases) AS alias FROM license_list) l ON p.license = l.alias")
@@ -93,7 +93,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     m = t.pattern_matches.select("id", "file", "sline", "eline", "ignored")
     cleared = t.file_snippets.where("resolution = 'clear'").select("file", F.col("sline").alias("s"), F.col("eline").alias("e"))
-    hit = m.join(cleared, "file").where("s <= sline AND e >= eline").select("id").distinct().withColumn("hit", F.lit(True))
+    hit = inside(m, cleared, "file", ("sline", "eline"), ("s", "e"), "left_semi").select("id").distinct().withColumn("hit", F.lit(True))
     return m.join(hit, "id", "left").select("id", (F.col("ignored") | F.coalesce("hit", F.lit(False))).alias("ignored"))
 
 

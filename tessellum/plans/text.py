@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,28 +11,27 @@ from tessellum.functions import legal_text
 from tessellum.functions.similarity import trigram_similarity, trigrams
 from tessellum.functions.text import words
 from tessellum.operators.expressions import canonical_expression
+from tessellum.operators.set_join import prefix_join
 from tessellum.plans.catalog import Tables, query
+from tessellum.session import cut
 
 _TRIGRAMS = """t AS (SELECT DISTINCT s, substr('  ' || w || ' ', CAST(i AS BIGINT), 3) AS g FROM (SELECT s, w, unnest(generate_series(1, length(w) + 1)) AS i FROM (SELECT s, unnest(regexp_extract_all(lower(s), '[\\p{L}\\p{N}]+')) AS w FROM (SELECT DISTINCT name AS s FROM bot_packages)))),
   n AS (SELECT s, count(*) AS n FROM t GROUP BY s)"""
 
 
-def similar_names(names: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) of names, a < b, that share a trigram, from an inverted index."""
-    listed = names.select(F.col("name").alias("s"), trigrams(F.col("name")).alias("g")).where("s is not null").distinct()
-    long = listed.select("s", F.explode("g").alias("gram"))
-    pairs = long.select(F.col("s").alias("a"), "gram").join(long.select(F.col("s").alias("b"), "gram"), "gram").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
-    n = listed.select("s", F.size("g").alias("n"))
-    sized = pairs.join(n.select(F.col("s").alias("a"), F.col("n").alias("n_a")), "a").join(n.select(F.col("s").alias("b"), F.col("n").alias("n_b")), "b")
-    return sized.select("a", "b", F.round(F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")), 9).alias("similarity")).where(F.col("similarity") >= least)
+def similar_names(names: DataFrame, least: Fraction) -> DataFrame:
+    """(a, b, similarity) of names, a < b, by a join of their rarest trigrams."""
+    listed = cut(names.select("name", trigrams(F.col("name")).alias("tokens")).where("name is not null").distinct())
+    pairs = prefix_join(listed.withColumnRenamed("name", "l"), listed.withColumnRenamed("name", "r"), least)
+    return pairs.where("l < r").select(F.col("l").alias("a"), F.col("r").alias("b"), F.round("similarity", 9).alias("similarity"))
 
 
 @query("ST01_trigram_similarity", f"WITH {_TRIGRAMS}, p AS (SELECT x.s AS a, y.s AS b, count(*) AS k FROM t x JOIN t y ON x.g = y.g AND x.s < y.s GROUP BY 1, 2) SELECT a, b, round(k / (na.n + nb.n - k), 9) AS similarity FROM p JOIN n na ON na.s = a JOIN n nb ON nb.s = b WHERE round(k / (na.n + nb.n - k), 9) >= 0.3")
 def _(t: Tables) -> DataFrame:
-    return similar_names(t.bot_packages, 0.3)
+    return similar_names(t.bot_packages, Fraction(3, 10))
 
 
-@query("ST02_like_name", None)
+@query("ST02_like_name", f"WITH {_TRIGRAMS}, q AS (SELECT DISTINCT substr('  ' || w || ' ', CAST(i AS BIGINT), 3) AS g FROM (SELECT w, unnest(generate_series(1, length(w) + 1)) AS i FROM (VALUES ('python'), ('vinedax')) v(w))), k AS (SELECT t.s, count(*) AS k FROM t JOIN q ON q.g = t.g GROUP BY 1) SELECT b.id, b.name, round(k / (n + (SELECT count(*) FROM q) - k), 9) AS similarity FROM bot_packages b JOIN k ON k.s = b.name JOIN n ON n.s = b.name WHERE round(k / (n + (SELECT count(*) FROM q) - k), 9) > 0.3")
 def _(t: Tables) -> DataFrame:
     wanted = trigrams(F.lit("python-vinedax"))
     return t.bot_packages.select("id", "name", F.round(trigram_similarity(trigrams(F.col("name")), wanted), 9).alias("similarity")).where("similarity > 0.3")

@@ -1,8 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessellum.operators import phrase_match
+from tessellum.operators.intervals import inside, overlaps
 from tessellum.operators.components import connected_components
 from tessellum.operators.ranking import global_rank
 from tessellum.session import salted_join
@@ -62,3 +64,25 @@ def test_matches_agree_with_brute_force(spark):
             spans = [(at, e, p) for p, pattern in patterns if pattern for at in range(len(w)) if (t := phrase_match.pattern_tokens(pattern)) and (e := phrase_match.match_end(t, w, at)) > at]
             want += [(doc, *s) for s in (phrase_match.choose(spans) if resolve else spans)]
         assert got == sorted(want)
+
+
+def test_lines_of_matches(spark):
+    df = spark.createDataFrame([(1, "x\na b\n\nc d"), (2, "a b c")], "doc long, body string")
+    pf = spark.createDataFrame([(7, "a b c d"), (8, "d"), (9, "b $SKIP1 c")], "id long, pattern string")
+    got = sorted(map(tuple, phrase_match.matches(df, pf, "doc", "body").select("text_id", "pattern_id", "sline", "eline").collect()))
+    assert got == [(1, 7, 2, 4), (2, 9, 1, 1)]
+
+
+@pytest.mark.parametrize("margin", [0, 3])
+def test_overlapping_ranges(spark, margin):
+    r = random.Random(margin)
+    ranges = lambda n: [(k, r.randint(1, 3), s, s + r.choice([0, 1, 5, 90, 700])) for k in range(n) for s in [r.randint(1, 400)]] + [(900, None, 1, 5), (901, 1, 9, 2), (902, 1, None, 4)]
+    a, b = ranges(60), ranges(60)
+    x, y = spark.createDataFrame(a, "i long, file long, s int, e int"), spark.createDataFrame(b, "j long, file long, sline int, eline int")
+    real = lambda rows: [v for v in rows if None not in v and v[2] <= v[3]]
+    want = sorted((i, j) for i, f, s, e in real(a) for j, g, p, q in real(b) if f == g and s - margin <= q and e + margin >= p)
+    assert sorted(map(tuple, overlaps(x, y, "file", ("s", "e"), ("sline", "eline"), margin).select("i", "j").collect())) == want
+    within = {i for i, f, s, e in real(a) for _, g, p, q in real(b) if f == g and p <= s and e <= q}
+    for how in ("left_semi", "left_anti"):
+        got = {v.i for v in inside(x.where("s <= e"), y, "file", ("s", "e"), ("sline", "eline"), how).collect()}
+        assert got & {v[0] for v in real(a)} == (within if how == "left_semi" else {v[0] for v in real(a)} - within)
