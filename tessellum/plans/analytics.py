@@ -83,6 +83,12 @@ def shingles(word_array: Column) -> Column:
     return F.array_distinct(F.when(n >= K, long).otherwise(word_array))
 
 
+def shingle_rows(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+    """One row (keep, s) per distinct shingle of a text. The words stand in a column of their own: inside the shingles they
+    would be found anew for each of them."""
+    return rows.where(F.col(text).isNotNull()).select(*keep, words(F.col(text)).alias("w")).select(*keep, F.explode(shingles(F.col("w"))).alias("s"))
+
+
 def _sql_shingles(table: str, text: str, keep: str, where: str) -> str:
     w = _WORDS.format(text)
     return (
@@ -98,7 +104,7 @@ _SIGNATURES = f"sig AS {_sql_shingles('license_patterns', 'pattern', 'license',
 def signatures(patterns: DataFrame) -> DataFrame:
     """(license, s): the shingles of all patterns of a license; keyword patterns have none."""
     named = patterns.where("license is not null and license <> ''")
-    return named.select("license", F.explode(shingles(words(F.col("pattern")))).alias("s")).distinct()
+    return shingle_rows(named, "pattern", "license").distinct()
 
 
 def weights(sig: DataFrame) -> DataFrame:
@@ -109,12 +115,12 @@ def weights(sig: DataFrame) -> DataFrame:
 
 @query("LA08_shingles", f"SELECT id, count(*) AS n FROM {_sql_shingles('snippets', 'text', 'id', 'text IS NOT NULL')} GROUP BY id")
 def _(t: Tables) -> DataFrame:
-    return t.snippets.select("id", F.explode(shingles(words(F.col("text")))).alias("s")).groupBy("id").agg(F.count("*").alias("n"))
+    return shingle_rows(t.snippets, "text", "id").groupBy("id").agg(F.count("*").alias("n"))
 
 
 @query("LA09_shingle_ids", f"SELECT s AS shingle, CAST('0x' || substr(md5(s), 1, 15) AS BIGINT) AS shingle_id FROM (SELECT DISTINCT s FROM {_sql_shingles('license_patterns', 'pattern', 'license', 'license IS NOT NULL')})")
 def _(t: Tables) -> DataFrame:
-    s = t.license_patterns.where("license is not null").select(F.explode(shingles(words(F.col("pattern")))).alias("shingle")).distinct()
+    s = shingle_rows(t.license_patterns.where("license is not null"), "pattern").select(F.col("s").alias("shingle")).distinct()
     return s.select("shingle", F.conv(F.substring(F.md5("shingle"), 1, 15), 16, 10).cast("long").alias("shingle_id"))
 
 
@@ -133,7 +139,7 @@ def license_scores(snippets: DataFrame, patterns: DataFrame) -> DataFrame:
     """(id, license, score, first): per snippet and license with enough rare shared shingles, the weight of the shared
     shingles by that of all; first is the license's smallest pattern. Candidates come from the rarest shingles."""
     sig = cut(signatures(patterns))
-    own = snippets.where("text is not null").select("id", F.explode(shingles(words(F.col("text")))).alias("s"))
+    own = shingle_rows(snippets, "text", "id")
     weighed = own.join(shuffled(weights(sig)), "s", "left")
     total = weighed.groupBy("id").agg(F.sum(F.coalesce("w", F.lit(1.0))).alias("all"))
     known = cut(weighed.where("w is not null"))
@@ -262,13 +268,13 @@ def _(t: Tables) -> DataFrame:
 
 @query("JN15_inverted_index", f"WITH {_SIGNATURES}, own AS {_sql_shingles('snippets', 'text', 'id', 'text IS NOT NULL')} SELECT own.id, sig.license, count(*) AS shared FROM own JOIN sig ON sig.s = own.s GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
-    own = t.snippets.where("text is not null").select("id", F.explode(shingles(words(F.col("text")))).alias("s"))
+    own = shingle_rows(t.snippets, "text", "id")
     return own.join(signatures(t.license_patterns), "s").groupBy("id", "license").agg(F.count("*").alias("shared"))
 
 
 @query("WIN12_rarest_shingles", f"WITH {_SIGNATURES}, own AS {_sql_shingles('snippets', 'text', 'id', 'text IS NOT NULL')}, r AS (SELECT own.id, own.s, row_number() OVER (PARTITION BY own.id ORDER BY idf.w DESC, own.s) AS k FROM own JOIN idf ON idf.s = own.s) SELECT id, s, k FROM r WHERE k <= {PROBE}")
 def _(t: Tables) -> DataFrame:
-    own = t.snippets.where("text is not null").select("id", F.explode(shingles(words(F.col("text")))).alias("s"))
+    own = shingle_rows(t.snippets, "text", "id")
     known = own.join(weights(signatures(t.license_patterns)), "s")
     return known.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("w"), "s")).cast("long")).where(F.col("k") <= PROBE).select("id", "s", "k")
 
@@ -279,8 +285,8 @@ def _(t: Tables) -> DataFrame:
   SELECT id, pattern FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, pattern) AS k FROM c) WHERE k = 1""")
 def _(t: Tables) -> DataFrame:
     best = best_licenses(license_scores(t.snippets, t.license_patterns)).select("id", "license")
-    own = t.snippets.where("text is not null").select("id", F.explode(shingles(words(F.col("text")))).alias("s")).join(weights(signatures(t.license_patterns)), "s").join(best, "id")
-    of = t.license_patterns.where("license is not null and license <> ''").select("id", "license", F.explode(shingles(words(F.col("pattern")))).alias("s")).withColumnRenamed("id", "pattern")
+    own = shingle_rows(t.snippets, "text", "id").join(weights(signatures(t.license_patterns)), "s").join(best, "id")
+    of = shingle_rows(t.license_patterns.where("license is not null and license <> ''").withColumnRenamed("pattern", "text").withColumnRenamed("id", "pattern"), "text", "pattern", "license")
     weighed = own.join(of, ["license", "s"]).groupBy("id", "pattern").agg(F.round(F.sum("w"), 6).alias("w"))
     return weighed.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("less"), "pattern")).alias("m")).select("id", "m.pattern")
 
