@@ -33,11 +33,13 @@ GENERATED = (
     r"[._-](?:auto)?generated\.\w+$", r"^zz_generated\.", r"[._-]gen\.(?:h|hpp|c|cc|cpp|go|ts|js|rs|java|py)$", r"\.g\.(?:dart|cs)$", r"\.freezed\.dart$",
     r"\.(?:graphql|generated)\.tsx?$", r"\.designer\.(?:cs|vb)$", r"^(?:moc|qrc|ui)_\w+\.(?:cpp|cxx|cc|h)$", r"_wrap\.(?:cxx|cpp|c)$",
     r"\.tab\.[ch](?:pp|c|xx)?$", r"^lex\.\w+\.c(?:c|pp|xx)?$", r"\.yy\.c(?:c|pp|xx)?$", r"^bindata\.go$", r"^aclocal\.m4$", r"^configure$", r"^makefile\.in$", r"^config\.h\.in$",
+    r"\.pb\.(?:dart|swift)$", r"_pb\.(?:js|rb|d\.ts)$", r"\.g\.i\.cs$", r"^ui_\w+\.py$", r"^(?:r|buildconfig)\.java$", r"\.swagger\.json$", r"^(?:config\.guess|config\.sub|ltmain\.sh|depcomp|libtool\.m4)$", r"^y\.output$",
+    r"^(?:package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.yaml|cargo\.lock|composer\.lock|gemfile\.lock|poetry\.lock|pipfile\.lock|go\.sum|flake\.lock)$",
 )
 GENERATED_DIRECTORIES = r"(?:autogen|auto-?generated|__generated__|generated(?:[_-](?:sources?|src|code))?|gen|autom4te\.cache)"
 #: Minified, packed or bundled for delivery, also by a content hash in the name.
 MINIFIED = (
-    r"[._-]min\.(?:m?js|cjs|css)$", r"\.(?:bundle|pack|packed|compressed|compiled|chunk)\.(?:m?js|css)$", r"[.-][0-9a-f]{8,}(?:\.chunk|\.bundle|\.min)?\.(?:m?js|css)$",
+    r"[._-]min\.(?:m?js|cjs|css)$", r"\.(?:bundle|pack|packed|compressed|compiled|chunk)\.(?:m?js|css)$", r"[.-][0-9a-f]{8,}(?:\.chunk|\.bundle|\.min)?\.(?:m?js|css)$", r"\.(?:m?js|css)\.map$",
 )
 #: Tables, images and binaries written as source.
 DATA = (

@@ -25,6 +25,12 @@ def p1_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return origin.classify(*(table(spark, folder, t) for t in ("matched_files", "package_components", "bot_packages")))
 
 
+def p1_layout(spark: SparkSession, folder: str) -> DataFrame:
+    """The layout comparison over the code that the tables hold: source comments and spec files among the documents."""
+    code = table(spark, folder, "documents").where(F.col("source").isin("source_comment", "spec_file"))
+    return origin.source_layout(code, "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     parts = [near_dup.found(table(spark, folder, name), "id", text, P2_SIMILARITY, P2_WORDS).select(F.lit(name).alias("source_table"), "id_a", "id_b") for name, text in P2_TABLES.items()]
     return parts[0].union(parts[1])
@@ -89,7 +95,7 @@ def p9_validation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_groups, p3_found, p3_values, p4_found, p4_files, p5_found, p6_found, p6_collapsed, p7_containers, p7_fill, p8_draws, p8_shares, p9_found, p9_validation)}
+    return {f.__name__: f for f in (p1_found, p1_kinds, p1_layout, p2_found, p2_groups, p3_found, p3_values, p4_found, p4_files, p5_found, p6_found, p6_collapsed, p7_containers, p7_fill, p8_draws, p8_shares, p9_found, p9_validation)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,7 +3,7 @@ import pytest
 from tessellum.llm import origin
 
 PATHS = {
-    "lib/a.pb.go": "generated", "src/autogen/x.c": "generated", "src/regenerate/x.c": None, "pkg/api/zz_generated.x.go": "generated", "configure": "generated", "configure.ac": None, "Makefile.am": None, "src/pb_manual_helpers.py": None, "app/x.proto": None,
+    "lib/a.pb.go": "generated", "src/autogen/x.c": "generated", "src/regenerate/x.c": None, "pkg/api/zz_generated.x.go": "generated", "configure": "generated", "configure.ac": None, "Makefile.am": None, "src/pb_manual_helpers.py": None, "app/x.proto": None, "a/yarn.lock": "generated", "a/x_pb.js": "generated", "a/BuildConfig.java": "generated", "a/x.js.map": "minified", "a/roadmap": None,
     "dist/x.bundle.js": "minified", "lib/x-bundle.js": None, "assets/x-min.css": "minified", "lib/minimal_x.js": None, "lib/admin_x.js": None, "build/static/js/main.9667b862.js": "minified", "tools/minify_x.py": None,
     "data/x_lut_data.c": "data", "tests/blob_x_store.ts": None, "lib/x_bitmap.xpm": "data", "db/x_dump.sql": "data", "src/dump_x.c": None,
     "Vendor/x/y.go": "third_party", "src/vendor_x.go": None, "app/models/vendors.py": None, "vendor.tar.zst._./x/LEGAL": "third_party", "src/third_party_x_notice.go": None,
