@@ -96,3 +96,8 @@ def canonical_expression(expression: Column) -> Column:
         return expressions.map(canonical, na_action="ignore")
 
     return of(expression)
+
+
+def strip_exception(expression: Column, identifier: str, exception: str) -> Column:
+    """The expression without the identifiers that stand WITH such an exception; both are regular expressions."""
+    return F.regexp_replace(expression, rf"(?i)\b{identifier} WITH {exception}\b", "")

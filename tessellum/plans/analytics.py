@@ -227,15 +227,6 @@ def _(t: Tables) -> DataFrame:
     return t.pattern_matches.where("generation = 0 AND NOT ignored").join(p, "pattern").groupBy("package", "license", "risk").agg(F.countDistinct("file").alias("files"), F.count("*").alias("matches"))
 
 
-@query("LA26_pair_proximity", """WITH f AS (SELECT DISTINCT m.package, m.file, p.spdx FROM pattern_matches m JOIN license_patterns p ON p.id = m.pattern WHERE m.generation = 0 AND NOT m.ignored AND p.spdx <> '')
-  SELECT a.package, a.spdx AS a, b.spdx AS b, count(*) AS same_file FROM f a JOIN f b ON a.package = b.package AND a.file = b.file AND a.spdx < b.spdx GROUP BY 1, 2, 3""")
-def _(t: Tables) -> DataFrame:
-    p = t.license_patterns.where("spdx <> ''").select(F.col("id").alias("pattern"), "spdx")
-    f = t.pattern_matches.where("generation = 0 AND NOT ignored").join(p, "pattern").select("package", "file", "spdx").distinct()
-    pairs = f.select("package", "file", F.col("spdx").alias("a")).join(f.select("package", "file", F.col("spdx").alias("b")), ["package", "file"]).where("a < b")
-    return pairs.groupBy("package", "a", "b").agg(F.count("*").alias("same_file"))
-
-
 @query("LA29_legal_documents", """SELECT f.package, f.id AS file, count(m.id) AS matches FROM matched_files f LEFT JOIN pattern_matches m ON m.file = f.id AND m.generation = 0 WHERE f.generation = 0
   AND regexp_matches(regexp_extract(f.filename, '[^/]*$'), '(?i)^(?:LICEN[CS]E|COPYING|COPYRIGHT|NOTICE|EULA|LEGAL|UNLICENSE|THIRD[_-]?PARTY)(?:[.\\-]|$)') AND NOT regexp_matches(f.filename, '(?i)\\.(?:asm|awk|bash|c|cc|cjs|cpp|cs|cxx|dart|el|go|gradle|groovy|h|hh|hpp|java|jl|js|jsx|kt|lua|mjs|mm|php|pl|pm|py|rb|rs|scala|sh|sql|swift|tcl|ts|tsx|vim)$') GROUP BY 1, 2""")
 def _(t: Tables) -> DataFrame:
