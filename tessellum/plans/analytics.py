@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellum.functions.paths import dir_key, glob_regex, is_license_filename
+from tessellum.functions.paths import ancestors, dir_key, glob_regex, is_license_filename, peripheral_kind
 from tessellum.functions.text import words
 from tessellum.operators import phrase_match
 from tessellum.operators.intervals import overlaps
+from tessellum.plans import path_sql
 from tessellum.plans.catalog import Tables, query
+from tessellum.plans.text import UNEXPLAINED_SQL, unexplained
 from tessellum.plans.windows import BLOCKS_SQL, closure
 from tessellum.session import cut, shuffled
 
@@ -227,34 +229,54 @@ def _(t: Tables) -> DataFrame:
     return t.pattern_matches.where("generation = 0 AND NOT ignored").join(p, "pattern").groupBy("package", "license", "risk").agg(F.countDistinct("file").alias("files"), F.count("*").alias("matches"))
 
 
-@query("LA29_legal_documents", """SELECT f.package, f.id AS file, count(m.id) AS matches FROM matched_files f LEFT JOIN pattern_matches m ON m.file = f.id AND m.generation = 0 WHERE f.generation = 0
-  AND regexp_matches(regexp_extract(f.filename, '[^/]*$'), '(?i)^(?:LICEN[CS]E|COPYING|COPYRIGHT|NOTICE|EULA|LEGAL|UNLICENSE|THIRD[_-]?PARTY)(?:[.\\-]|$)') AND NOT regexp_matches(f.filename, '(?i)\\.(?:asm|awk|bash|c|cc|cjs|cpp|cs|cxx|dart|el|go|gradle|groovy|h|hh|hpp|java|jl|js|jsx|kt|lua|mjs|mm|php|pl|pm|py|rb|rs|scala|sh|sql|swift|tcl|ts|tsx|vim)$') GROUP BY 1, 2""")
+@query("LA29_legal_documents", f"""WITH u AS ({UNEXPLAINED_SQL}) SELECT f.package, f.id AS file, count(m.id) AS matches, coalesce(any_value(u.lines), 0) AS unexplained FROM matched_files f LEFT JOIN pattern_matches m ON m.file = f.id AND m.generation = 0 LEFT JOIN u ON u.file = f.id
+  WHERE f.generation = 0 AND {path_sql.license_file('f.filename')} AND {path_sql.kind('f.filename')} IS NULL GROUP BY 1, 2""")
 def _(t: Tables) -> DataFrame:
-    legal = t.matched_files.where("generation = 0").where(is_license_filename(F.col("filename"))).select("package", F.col("id").alias("file"))
+    """The legal documents of each package with their matches and the lines at hand that no license explains."""
+    legal = t.matched_files.where("generation = 0").where(is_license_filename(F.col("filename")) & peripheral_kind(F.col("filename")).isNull()).select("package", F.col("id").alias("file"))
     counts = t.pattern_matches.where("generation = 0").groupBy("file").agg(F.count("*").alias("matches"))
-    return legal.join(counts, "file", "left").na.fill(0, ["matches"]).select("package", "file", "matches")
+    lines = unexplained(t).withColumnRenamed("lines", "unexplained")
+    return legal.distinct().join(shuffled(counts), "file", "left").join(shuffled(lines), "file", "left").na.fill(0, ["matches", "unexplained"]).select("package", "file", "matches", "unexplained")
 
 
-@query("LA34_backfilled_components", """WITH d AS (SELECT package, regexp_replace(source, '/[^/]*$', '') AS dir, count(DISTINCT purl) AS n, min(id) AS id FROM package_components WHERE generation = 0 GROUP BY 1, 2),
-  l AS (SELECT m.package, regexp_replace(f.filename, '/[^/]*$', '') AS dir, min(p.spdx) AS low, max(p.spdx) AS high FROM pattern_matches m JOIN license_patterns p ON p.id = m.pattern JOIN matched_files f ON f.id = m.file WHERE m.generation = 0 AND NOT m.ignored AND p.spdx <> '' GROUP BY 1, 2)
+@query("LA34_backfilled_components", r"""WITH d AS (SELECT package, regexp_replace(source, '/[^/]*$', '') AS dir, count(DISTINCT purl) AS n, min(id) AS id FROM package_components WHERE generation = 0 AND contains(source, '/') GROUP BY 1, 2),
+  l AS (SELECT f.package, d.dir, min(p.spdx) AS low, max(p.spdx) AS high FROM d JOIN matched_files f ON f.package = d.package AND starts_with(f.filename, d.dir || '/') JOIN pattern_matches m ON m.file = f.id AND m.generation = 0 AND NOT m.ignored JOIN license_patterns p ON p.id = m.pattern AND p.spdx <> '' GROUP BY 1, 2)
   SELECT d.id, l.low AS license FROM d JOIN l ON l.package = d.package AND l.dir = d.dir WHERE d.n = 1 AND l.low = l.high""")
 def _(t: Tables) -> DataFrame:
-    d = t.package_components.where("generation = 0").groupBy("package", dir_key(F.col("source")).alias("dir")).agg(F.countDistinct("purl").alias("n"), F.min("id").alias("id")).where("n = 1")
+    """The one license found at or below the directory of a component that is alone there."""
+    d = t.package_components.where("generation = 0 AND contains(source, '/')").groupBy("package", dir_key(F.col("source")).alias("dir")).agg(F.countDistinct("purl").alias("n"), F.min("id").alias("id")).where("n = 1")
     p = t.license_patterns.where("spdx <> ''").select(F.col("id").alias("pattern"), "spdx")
-    f = t.matched_files.select(F.col("id").alias("file"), dir_key(F.col("filename")).alias("dir"))
-    l = t.pattern_matches.where("generation = 0 AND NOT ignored").join(p, "pattern").join(f, "file").groupBy("package", "dir").agg(F.min("spdx").alias("low"), F.max("spdx").alias("high")).where("low = high")
+    f = t.matched_files.select(F.col("id").alias("file"), F.col("package"), F.explode(ancestors(F.col("filename"))).alias("dir"))
+    near = f.join(shuffled(d.select("package", "dir")), ["package", "dir"], "left_semi")
+    m = t.pattern_matches.where("generation = 0 AND NOT ignored").select("file", "pattern").join(p, "pattern").select("file", "spdx").distinct()
+    l = near.join(shuffled(m), "file").groupBy("package", "dir").agg(F.min("spdx").alias("low"), F.max("spdx").alias("high")).where("low = high")
     return d.join(l, ["package", "dir"]).select("id", F.col("low").alias("license"))
 
 
-@query("LA36_delta_score", """WITH r AS (SELECT DISTINCT m.package, p.license, max(p.risk) OVER (PARTITION BY m.package, p.license) AS risk FROM pattern_matches m JOIN license_patterns p ON p.id = m.pattern WHERE m.generation = 0 AND NOT m.ignored AND coalesce(p.license, '') <> ''),
-  b AS (SELECT id, lag(id) OVER (PARTITION BY name ORDER BY id) AS before FROM bot_packages) SELECT b.id, CAST(sum(10 * r.risk) AS BIGINT) AS score FROM b JOIN r ON r.package = b.id WHERE b.before IS NOT NULL AND NOT EXISTS (SELECT 1 FROM r o WHERE o.package = b.before AND o.license = r.license) GROUP BY b.id""")
+@query("LA36_delta_score", r"""WITH r AS (SELECT m.package, p.license, max(p.risk) AS risk FROM pattern_matches m JOIN license_patterns p ON p.id = m.pattern WHERE m.generation = 0 AND NOT m.ignored AND coalesce(p.license, '') <> '' GROUP BY 1, 2),
+  s AS (SELECT DISTINCT o.package, md5(s.text) AS h FROM file_snippets o JOIN snippets s ON s.id = o.snippet WHERE o.generation = 0 AND o.resolution IS NULL AND s.text IS NOT NULL),
+  b AS (SELECT id, lag(id) OVER w AS before, regexp_extract(coalesce(checksum, ''), '^(.*)-[0-9]+:', 1) AS spec, regexp_extract(coalesce(lag(checksum) OVER w, ''), '^(.*)-[0-9]+:', 1) AS old FROM bot_packages WINDOW w AS (PARTITION BY name ORDER BY id))
+  SELECT b.id, CAST((CASE WHEN spec <> old THEN 1000 ELSE 0 END) + 10 * (SELECT count(*) FROM s WHERE s.package = b.id AND NOT EXISTS (SELECT 1 FROM s o WHERE o.package = b.before AND o.h = s.h))
+    + 10 * coalesce((SELECT sum(r.risk) FROM r WHERE r.package = b.id AND NOT EXISTS (SELECT 1 FROM r o WHERE o.package = b.before AND o.license = r.license)), 0) AS BIGINT) AS score FROM b WHERE before IS NOT NULL""")
 def _(t: Tables) -> DataFrame:
+    """How far a report is from that of the review before it: 1000 if the declared license differs, 10 for each new unresolved
+    snippet, 10 times the risk of each new license. The declared license is what the report's checksum begins with."""
     p = t.license_patterns.where("coalesce(license, '') <> ''").select(F.col("id").alias("pattern"), "license", "risk")
     r = t.pattern_matches.where("generation = 0 AND NOT ignored").join(p, "pattern").groupBy("package", "license").agg(F.max("risk").alias("risk"))
-    b = t.bot_packages.select("id", F.lag("id").over(Window.partitionBy("name").orderBy("id")).alias("before")).where("before is not null")
-    new = b.join(r, F.col("id") == F.col("package")).select("id", "before", "license", "risk")
-    known = r.select(F.col("package").alias("before"), "license")
-    return new.join(known, ["before", "license"], "left_anti").groupBy("id").agg(F.sum(F.col("risk") * 10).alias("score"))
+    text = t.snippets.where("text is not null").select(F.col("id").alias("snippet"), F.md5("text").alias("h"))
+    s = t.file_snippets.where("generation = 0 AND resolution IS NULL").join(shuffled(text), "snippet").select("package", "h").distinct()
+    spec = F.regexp_extract(F.coalesce("checksum", F.lit("")), "^(.*)-[0-9]+:", 1)
+    order = Window.partitionBy("name").orderBy("id")
+    b = t.bot_packages.withColumn("spec", spec).select("id", F.lag("id").over(order).alias("before"), "spec", F.lag("spec").over(order).alias("old")).where("before is not null")
+
+    def added(rows: DataFrame, key: str) -> DataFrame:
+        new = b.select("id", "before").join(shuffled(rows), F.col("id") == F.col("package")).drop("package")
+        return new.join(shuffled(rows.select(F.col("package").alias("before"), key)), ["before", key], "left_anti")
+
+    licenses = added(r, "license").groupBy("id").agg(F.sum("risk").alias("risks"))
+    snippets = added(s, "h").groupBy("id").agg(F.count("*").alias("snippets"))
+    rows = b.join(shuffled(licenses), "id", "left").join(shuffled(snippets), "id", "left").na.fill(0, ["risks", "snippets"])
+    return rows.select("id", (F.when(F.col("spec") != F.col("old"), 1000).otherwise(0) + F.col("snippets") * 10 + F.col("risks") * 10).cast("long").alias("score"))
 
 
 @query("JN15_inverted_index", f"WITH {_SIGNATURES}, own AS {_sql_shingles('snippets', 'text', 'id', 'text IS NOT NULL')} SELECT own.id, sig.license, count(*) AS shared FROM own JOIN sig ON sig.s = own.s GROUP BY 1, 2")

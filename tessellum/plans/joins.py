@@ -45,9 +45,10 @@ def _(t: Tables) -> DataFrame:
     return t.bot_packages.select("id").join(with_components, "id", "left_semi").join(with_snippets, "id", "left_anti")
 
 
-@query("JN07_orphans", "SELECT b.id, b.name FROM bot_packages b LEFT JOIN package_components c ON c.package = b.id WHERE c.id IS NULL")
+@query("JN07_orphans", "SELECT s.id FROM snippets s LEFT JOIN file_snippets o ON o.snippet = s.id WHERE o.id IS NULL")
 def _(t: Tables) -> DataFrame:
-    return t.bot_packages.select("id", "name").join(t.package_components.select(F.col("package").alias("id")), "id", "left_anti")
+    """Snippets that occur nowhere."""
+    return t.snippets.select("id").join(t.file_snippets.select(F.col("snippet").alias("id")), "id", "left_anti")
 
 
 @query("JN08_interval_overlap", "SELECT o.id AS occurrence, m.id AS match, greatest(o.sline, m.sline) AS first, least(o.eline, m.eline) AS last FROM file_snippets o JOIN pattern_matches m ON o.file = m.file AND m.sline <= o.eline AND m.eline >= o.sline WHERE o.generation = 0 AND m.generation = 0 AND NOT m.ignored")
@@ -65,10 +66,15 @@ def _(t: Tables) -> DataFrame:
     return inside(m.where(~F.col("licensed")), spans, "file", ("sline", "eline"), ("s", "e"), "left_anti").select("id")
 
 
-@query("JN10_array_membership", "SELECT p.id, l.license_id FROM license_patterns p JOIN (SELECT license_id, unnest(aliases) AS alias FROM license_list) l ON p.license = l.alias")
+@query("JN10_array_membership", r"""WITH a AS (SELECT m.pattern, m.package, list(DISTINCT f.filename) AS files FROM pattern_matches m JOIN matched_files f ON f.id = m.file WHERE m.generation = 0 GROUP BY 1, 2)
+  SELECT DISTINCT a.pattern, f.id AS file FROM a JOIN matched_files f ON f.package = a.package AND list_contains(a.files, regexp_replace(f.filename, '\.processed(\.[^./]+)?$', '\1')) WHERE f.generation = 0""")
 def _(t: Tables) -> DataFrame:
-    l = t.license_list.select("license_id", F.explode("aliases").alias("license"))
-    return t.license_patterns.select("id", "license").join(F.broadcast(l), "license").select("id", "license_id")  # the list has a fixed size
+    """Files whose name stands in an array of names: the array is opened and joined by equality."""
+    names = t.matched_files.select(F.col("id").alias("file"), "filename")
+    arrays = t.pattern_matches.where("generation = 0").join(names, "file").groupBy("pattern", "package").agg(F.collect_set("filename").alias("files"))
+    listed = arrays.select("pattern", "package", F.explode("files").alias("filename"))
+    files = t.matched_files.where("generation = 0").select(F.col("id").alias("file"), "package", F.regexp_replace("filename", r"\.processed(\.[^./]+)?$", "$1").alias("filename"))
+    return listed.join(files, ["package", "filename"]).select("pattern", "file").distinct()
 
 
 @query("JN12_lateral", "SELECT b.id, x.n FROM bot_packages b, LATERAL (SELECT least(count(*), 50) AS n FROM matched_files f WHERE f.package = b.id) x")
@@ -83,10 +89,11 @@ def _(t: Tables) -> DataFrame:
     return t.bot_packages.join(F.broadcast(values), "state").select("id", "label")  # a page of values
 
 
-@query("JN14_previous_reviews", "SELECT a.id, b.id AS previous FROM bot_packages a JOIN bot_packages b ON a.name = b.name AND a.checksum = b.checksum AND b.id < a.id")
+@query("JN14_previous_reviews", "SELECT a.id, b.id AS previous FROM bot_packages a JOIN bot_packages b ON a.name = b.name AND a.checkout_dir = b.checkout_dir AND b.id < a.id")
 def _(t: Tables) -> DataFrame:
-    b = t.bot_packages.select(F.col("id").alias("previous"), "name", "checksum")
-    return t.bot_packages.select("id", "name", "checksum").join(b, ["name", "checksum"]).where("previous < id").select("id", "previous")
+    """Earlier reviews of the same checkout."""
+    b = t.bot_packages.select(F.col("id").alias("previous"), "name", "checkout_dir")
+    return t.bot_packages.select("id", "name", "checkout_dir").join(b, ["name", "checkout_dir"]).where("previous < id").select("id", "previous")
 
 
 @query("JN17_update_from", "SELECT m.id, m.ignored OR EXISTS (SELECT 1 FROM file_snippets o WHERE o.file = m.file AND o.resolution = 'clear' AND o.sline <= m.sline AND o.eline >= m.eline) AS ignored FROM pattern_matches m")

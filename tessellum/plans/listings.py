@@ -61,9 +61,9 @@ def _(t: Tables) -> DataFrame:
     return t.bot_packages.select("id", "name", F.lag("id").over(Window.partitionBy("name").orderBy("created", "id")).alias("before"), F.count("*").over(Window.partitionBy("name")).alias("reviews"))
 
 
-@query("Q09_retention", f"SELECT id FROM (SELECT id, imported, state, checksum, row_number() OVER (PARTITION BY name, checksum ORDER BY id DESC) AS n FROM bot_packages WHERE checksum IS NOT NULL AND state <> 'new') WHERE n > 1 AND imported < {_NOW} - INTERVAL 7 DAY")
+@query("Q09_retention", f"SELECT id FROM (SELECT id, imported, row_number() OVER (PARTITION BY name, checkout_dir ORDER BY id DESC) AS n FROM bot_packages WHERE checksum IS NOT NULL AND state <> 'new') WHERE n > 1 AND imported < {_NOW} - INTERVAL 7 DAY")
 def _(t: Tables) -> DataFrame:
-    newest = Window.partitionBy("name", "checksum").orderBy(F.desc("id"))
+    newest = Window.partitionBy("name", "checkout_dir").orderBy(F.desc("id"))
     rows = t.bot_packages.where("checksum IS NOT NULL AND state <> 'new'").withColumn("n", F.row_number().over(newest))
     return rows.where((F.col("n") > 1) & (F.col("imported") < F.expr(f"{_NTZ} - interval 7 days"))).select("id")
 
@@ -85,10 +85,12 @@ def _(t: Tables) -> DataFrame:
     return recent.join(counts, "id", "left").na.fill(0, ["matches"])
 
 
-@query("Q14_conflicting_patterns", "SELECT a.id, b.id AS other FROM license_patterns a JOIN license_patterns b ON a.token_hexsum = b.token_hexsum AND a.id < b.id")
+@query("Q14_conflicting_patterns", "SELECT id, other FROM (SELECT id, min(id) OVER (PARTITION BY license, risk) AS other FROM license_patterns WHERE license <> '') WHERE other < id")
 def _(t: Tables) -> DataFrame:
-    p = t.license_patterns.where("token_hexsum is not null").select("id", "token_hexsum")
-    return p.join(p.withColumnRenamed("id", "other"), "token_hexsum").where("id < other").select("id", "other")
+    """Patterns whose license and risk another one had before, with the first of those."""
+    named = t.license_patterns.where("license <> ''").select("id", "license", "risk")
+    first = named.groupBy("license", "risk").agg(F.min("id").alias("other"))
+    return named.join(first, ["license", "risk"]).where("other < id").select("id", "other")
 
 
 @query("Q15_for_license", "SELECT license, risk, count(*) AS patterns, max(length(pattern)) AS longest FROM license_patterns WHERE license IS NOT NULL GROUP BY license, risk")

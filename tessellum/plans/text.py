@@ -113,12 +113,14 @@ def _(t: Tables) -> DataFrame:
     return t.license_patterns.where("pattern is not null").select("id", F.col("pattern").rlike(r"\$SKIP\d*").alias("has_skip"), F.trim("pattern").rlike(r"^\$SKIP\d*|\$SKIP\d*$").alias("redundant"))
 
 
-@query("ST17_unexplained_lines", r"""WITH o AS (SELECT DISTINCT o.file, o.sline, o.eline, s.text FROM file_snippets o LEFT JOIN snippets s ON s.id = o.snippet WHERE o.generation = 0 AND o.eline >= o.sline),
+UNEXPLAINED_SQL = r"""WITH o AS (SELECT DISTINCT o.file, o.sline, o.eline, s.text FROM file_snippets o LEFT JOIN snippets s ON s.id = o.snippet WHERE o.generation = 0 AND o.eline >= o.sline),
   l AS (SELECT file, string_split(text, chr(10))[line - sline + 1] AS text, line FROM (SELECT *, unnest(generate_series(sline, eline)) AS line FROM o)),
   h AS (SELECT file, line, bool_and(coalesce(NOT regexp_matches(text, '\S'), false)) AS blank FROM l GROUP BY 1, 2),
   c AS (SELECT DISTINCT file, unnest(generate_series(m.sline, m.eline)) AS line FROM pattern_matches m JOIN license_patterns p ON p.id = m.pattern WHERE m.generation = 0 AND NOT m.ignored AND p.license <> '')
-  SELECT h.file, count(*) FILTER (WHERE NOT blank AND c.line IS NULL) AS lines FROM h LEFT JOIN c ON c.file = h.file AND c.line = h.line GROUP BY 1""")
-def _(t: Tables) -> DataFrame:
+  SELECT h.file, count(*) FILTER (WHERE NOT blank AND c.line IS NULL) AS lines FROM h LEFT JOIN c ON c.file = h.file AND c.line = h.line GROUP BY 1"""
+
+
+def unexplained(t: Tables) -> DataFrame:
     """Lines of the live snippets of a file that are not blank and in no licensed span, each once. A file whose lines are
     all explained has 0. Catch-alls explain, keywords and ignored matches do not."""
     texts = t.snippets.select(F.col("id").alias("snippet"), F.split("text", "\n").alias("text"))
@@ -132,6 +134,11 @@ def _(t: Tables) -> DataFrame:
     return here.join(covered, ["file", "line"], "left").groupBy("file").agg(F.count_if(~F.col("blank") & F.col("covered").isNull()).alias("lines"))
 
 
+@query("ST17_unexplained_lines", UNEXPLAINED_SQL)
+def _(t: Tables) -> DataFrame:
+    return unexplained(t)
+
+
 @query("ST18_markup", r"SELECT id, regexp_matches(filename, '(?i)\.(?:html?|xml|xhtml|svg)$') AS markup FROM matched_files")
 def _(t: Tables) -> DataFrame:
     return t.matched_files.select("id", F.col("filename").rlike(r"(?i)\.(?:html?|xml|xhtml|svg)$").alias("markup"))

@@ -20,10 +20,10 @@ def _(t: Tables, limit: int = 20) -> DataFrame:
     return page.crossJoin(rows.agg(F.count("*").alias("total"))).select("id", "name", "total")  # a single total
 
 
-@query("WIN02_older_duplicates", "SELECT id FROM (SELECT id, state, row_number() OVER (PARTITION BY external_link, name ORDER BY id DESC) AS n FROM bot_packages WHERE state = 'new' AND external_link IS NOT NULL) WHERE n > 1")
+@query("WIN02_older_duplicates", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY checkout_dir, name ORDER BY id DESC) AS n FROM bot_packages) WHERE n > 1")
 def _(t: Tables) -> DataFrame:
-    newest = Window.partitionBy("external_link", "name").orderBy(F.desc("id"))
-    return t.bot_packages.where("state = 'new' AND external_link IS NOT NULL").withColumn("n", F.row_number().over(newest)).where("n > 1").select("id")
+    newest = Window.partitionBy("checkout_dir", "name").orderBy(F.desc("id"))
+    return t.bot_packages.withColumn("n", F.row_number().over(newest)).where("n > 1").select("id")
 
 
 @query("WIN03_older_reviewed", f"SELECT id FROM (SELECT id, imported, row_number() OVER (PARTITION BY name ORDER BY id DESC) AS n FROM bot_packages WHERE state <> 'new') WHERE n > 1 AND imported < {_NOW} - INTERVAL 60 DAY")
