@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellum.functions import legal_text, spec_macros
@@ -15,14 +15,17 @@ _BLACKLIST = r"^(?:audio|image|video)/|octet-stream|x-executable|x-sharedlib"
 _PARTIAL_UTF8 = r"(?:[\xc2-\xdf]|[\xe0-\xef][\x80-\xbf]?|[\xf0-\xf4][\x80-\xbf]{0,2})\z"
 
 
-@query("SRC01_unpacked_files", f"SELECT id, package, filename FROM matched_files WHERE NOT coalesce(regexp_matches(mimetype, '{_BLACKLIST}'), false) AND NOT contains(filename, '.report.')")
-def _(t: Tables) -> DataFrame:
-    return t.matched_files.where(~F.coalesce(F.col("mimetype").rlike(_BLACKLIST), F.lit(False)) & ~F.contains("filename", F.lit(".report."))).select("id", "package", "filename")
+@query("SRC01_unpacked_files", f"SELECT id, package, filename, (row_number() OVER (PARTITION BY package ORDER BY filename, id) - 1) // 600 AS bucket FROM matched_files WHERE NOT coalesce(regexp_matches(mimetype, '{_BLACKLIST}'), false) AND NOT contains(filename, '.report.')")
+def _(t: Tables, size: int = 600) -> DataFrame:
+    """The files to be matched, in buckets of so many in the order of their paths."""
+    rows = t.matched_files.where(~F.coalesce(F.col("mimetype").rlike(_BLACKLIST), F.lit(False)) & ~F.contains("filename", F.lit(".report."))).select("id", "package", "filename")
+    place = F.row_number().over(Window.partitionBy("package").orderBy("filename", "id")) - 1
+    return rows.withColumn("place", place).select("id", "package", "filename", F.expr(f"place div {size}").alias("bucket"))
 
 
-@query("SRC02_file_stats", "SELECT package_name, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS size FROM documents GROUP BY package_name")
+@query("SRC02_file_stats", "SELECT package_name, count(*) AS files, CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS bytes FROM documents GROUP BY package_name")
 def _(t: Tables) -> DataFrame:
-    return t.documents.groupBy("package_name").agg(F.count("*").alias("files"), F.sum("n_chars").alias("size"))
+    return t.documents.groupBy("package_name").agg(F.count("*").alias("files"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0).cast("long")).alias("bytes"))
 
 
 @query("SRC03_decoded_head", "SELECT doc_id, CASE WHEN strlen(text) <= 30000 THEN text ELSE substr(text, 1, list_max([n FOR n IN generate_series(7500, 30000) IF strlen(substr(text, 1, n)) <= 30000])) END AS head FROM documents")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellum.functions import legal_text
+from tessellum.functions.markup import MARKUP_NAME
 from tessellum.functions.similarity import trigram_similarity, trigrams
 from tessellum.functions.text import words
 from tessellum.operators.expressions import canonical_expression
@@ -139,15 +140,9 @@ def _(t: Tables) -> DataFrame:
     return unexplained(t)
 
 
-@query("ST18_markup", r"SELECT id, regexp_matches(filename, '(?i)\.(?:html?|xml|xhtml|svg)$') AS markup FROM matched_files")
+@query("ST18_markup", f"SELECT id, regexp_matches(filename, '{MARKUP_NAME}') AS markup FROM matched_files")
 def _(t: Tables) -> DataFrame:
-    return t.matched_files.select("id", F.col("filename").rlike(r"(?i)\.(?:html?|xml|xhtml|svg)$").alias("markup"))
-
-
-@query("ST19_long_lines", "SELECT doc_id, count(*) AS long_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 115 GROUP BY doc_id")
-def _(t: Tables) -> DataFrame:
-    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.where(F.length("line") > 115).groupBy("doc_id").agg(F.count("*").alias("long_lines"))
+    return t.matched_files.select("id", F.col("filename").rlike(MARKUP_NAME).alias("markup"))
 
 
 @query("ST21_original_name", r"SELECT id, regexp_replace(filename, '\.processed(\.[^./]+)?$', '\1') AS filename FROM matched_files")
