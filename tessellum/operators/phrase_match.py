@@ -54,6 +54,12 @@ def match_end(tokens: list[str], text: list[str], at: int) -> int:
     return max(ends)
 
 
+def pattern_in_text(pattern: str, text: str) -> bool:
+    """Whether a single pattern matches anywhere in a text."""
+    tokens, found = pattern_tokens(pattern), re.findall(r"[^\W_]+", text.lower())
+    return bool(tokens) and any(match_end(tokens, found, at) > at for at in range(len(found)))
+
+
 def choose(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Of spans (start, end, pattern), those that win where they overlap, in text order."""
     kept: list[tuple[int, int, int]] = []

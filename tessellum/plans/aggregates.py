@@ -155,14 +155,6 @@ def _(t: Tables) -> DataFrame:
     return used.join(p, "pattern").groupBy("package").agg(*[F.bool_or(c).alias(c) for c in ("patent", "trademark", "export_restricted")])
 
 
-@query("AGG27_threshold_table", "SELECT x.threshold, count(*) FILTER (WHERE s.likelyness >= x.threshold) AS accepted, count(*) FILTER (WHERE s.likelyness >= x.threshold AND s.license IS NOT NULL) AS right FROM snippets s, (VALUES (0.80::DOUBLE), (0.85::DOUBLE), (0.90::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) x(threshold) GROUP BY x.threshold")
-def _(t: Tables) -> DataFrame:
-    steps = F.explode(F.array(*[F.lit(x) for x in (0.80, 0.85, 0.90, 0.95, 0.99)]))
-    rows = t.snippets.select("likelyness", "license", steps.alias("threshold"))
-    ok = F.coalesce(F.col("likelyness") >= F.col("threshold"), F.lit(False))
-    return rows.groupBy("threshold").agg(F.count_if(ok).alias("accepted"), F.count_if(ok & F.col("license").isNotNull()).alias("right"))
-
-
 @query("AGG30_latest_member", "SELECT name, max(created) AS updated FROM bot_packages GROUP BY name")
 def _(t: Tables) -> DataFrame:
     return t.bot_packages.groupBy("name").agg(F.max("created").alias("updated"))

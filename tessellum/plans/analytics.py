@@ -332,13 +332,6 @@ def _(t: Tables) -> DataFrame:
     return rows.select("occurrence", "match", where.alias("position"))
 
 
-@query("LA42_fold_calibration", "SELECT x.threshold, s.id % 5 AS fold, count(*) FILTER (WHERE s.m >= x.threshold AND s.m - s.second >= 0.15) AS accepted, count(*) AS snippets FROM (SELECT id, CAST(likelyness AS DOUBLE) AS m, coalesce(CAST(second_match AS DOUBLE), 0.0) AS second FROM snippets WHERE likelyness IS NOT NULL) s, (VALUES (0.80::DOUBLE), (0.90::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) x(threshold) GROUP BY 1, 2")
-def _(t: Tables, folds: int = 5, margin: float = 0.15) -> DataFrame:
-    """Accepted snippets per held-out part and threshold; every snippet is in one of the parts."""
-    s = t.snippets.where("likelyness is not null").select((F.col("id") % folds).alias("fold"), F.col("likelyness").cast("double").alias("m"), F.coalesce(F.col("second_match").cast("double"), F.lit(0.0)).alias("second"), F.explode(F.array(*[F.lit(x) for x in (0.80, 0.90, 0.95, 0.99)])).alias("threshold"))
-    return s.groupBy("threshold", "fold").agg(F.count_if((F.col("m") >= F.col("threshold")) & (F.col("m") - F.col("second") >= margin)).alias("accepted"), F.count("*").alias("snippets"))
-
-
 @query("LA46_risk_by_license", "SELECT p.id, max(p.risk) OVER (PARTITION BY p.license) AS risk FROM license_patterns p WHERE p.license IS NOT NULL")
 def _(t: Tables) -> DataFrame:
     named = t.license_patterns.where("license is not null").select("id", "license", "risk")

@@ -39,7 +39,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from tessellum.plans import aggregates, analytics, compatibility, components, filters, joins, listings, ordering, processing, review, scalars, sinks, text, windows  # noqa: F401
+    from tessellum.plans import aggregates, analytics, compatibility, components, filters, general, joins, listings, ordering, processing, review, scalars, sinks, text, windows  # noqa: F401
     from tessellum.streaming import incremental  # noqa: F401
 
 

@@ -161,3 +161,12 @@ def test_sha512(run):
     import hashlib
 
     assert run("SC17_sha512", snippets=([(1, "é"), (2, None)], "id long, text string")) == [(1, hashlib.sha512("é".encode()).hexdigest())]
+
+
+def test_component_takes_the_one_license_below_its_directory(run):
+    components = [(1, 1, "vendor/a/package.json", "pkg:npm/a", 0), (2, 1, "vendor/b/package.json", "pkg:npm/b", 0), (3, 1, "vendor/c/package.json", "pkg:npm/c", 0), (4, 1, "vendor/c/METADATA", "pkg:pypi/d", 0), (5, 2, "vendor/a/package.json", "pkg:npm/a", 0)]
+    files = [(1, 1, "vendor/a/src/x.c", 0), (2, 1, "vendor/b/LICENSE", 0), (3, 1, "vendor/b/y.c", 0), (4, 1, "vendor/c/z.c", 0), (5, 1, "vendor/ab/w.c", 0)]
+    patterns = [(1, "", "MIT", "MIT", 1, False), (2, "", "BSD", "BSD", 1, False), (3, "", "x", "", 1, False)]
+    matches = [(1, 1, 1, 1, 1, 1, False, 0), (2, 1, 1, 3, 1, 1, False, 0), (3, 2, 1, 1, 1, 1, False, 0), (4, 3, 1, 2, 1, 1, False, 0), (5, 4, 1, 1, 1, 1, False, 0), (6, 5, 1, 2, 1, 1, False, 0), (7, 1, 1, 2, 1, 1, True, 0)]
+    tables = {"package_components": (components, "id long, package long, source string, purl string, generation int"), "matched_files": (files, FILES), "license_patterns": (patterns, PATTERNS), "pattern_matches": (matches, MATCHES)}
+    assert run("LA34_backfilled_components", **tables) == [(1, "MIT")]
