@@ -10,10 +10,10 @@ step (the cycle lemma), so that each prefix of the chain stays within a budget p
   intersection. No true pair is lost. Segments hold about two or three shingles, so most are listed just once.
 * candidates are pruned by the chains of two and four segments that go on from there, and by the whole ring, with
   bit sketches whose differences never exceed the true ones;
-* a signature that many records share, such as one of boilerplate alone, is not compared as it is: its records are listed again
-  under the signature together with the remainders of the chain of two segments that begins there, which is in its budget
-  for every true pair, too. What is still shared by many is split into blocks of records, and every pair of blocks is a
-  key of its own;
+* signatures are shuffled and sorted once; runs of equal ones are compared as they stream by. A signature that many records
+  share, such as one of boilerplate alone, is not compared as it is: its records are listed again under the signature together
+  with the remainders of the chain of two segments that begins there, which is in its budget for every true pair, too.
+  What is still shared by many is split into blocks of records, and every pair of blocks is a key of its own;
 * what is left is compared in full.
 
 m depends on the size of the set in powers of two. The larger of two records that can be similar is at most one power
@@ -32,12 +32,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellum.functions.text import shingle_hashes, words
 from tessellum.operators.components import connected_components
-from tessellum.session import bounded_broadcast, cut, shuffled
+from tessellum.session import cut, shuffled
 
 #: A ring has as many segments as a set has shingles divided by this number, rounded down to a power of two.
 SEGMENT = 1.5
@@ -159,58 +159,96 @@ def _longer(threshold: Fraction):
     return of
 
 
-def _within(a: Column, b: Column, size_a: Column, size_b: Column, ratio: float) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)) <= (size_a + size_b) * F.lit(ratio) + F.lit(1e-9)
+def _pairs(rows: dict[str, np.ndarray], first: np.ndarray, second: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """Which pairs of places pass the filters: the sizes, the chains of two and four segments, the whole ring. Sketches never
+    differ in more bits than the sets in shingles; sizes of chains are cut off where they fill their bits, and then say nothing."""
+    ratio = float((1 - threshold) / (1 + threshold))
+    n = rows["n"].astype(np.int64)
+    a, b = n[first], n[second]
+    ok = np.minimum(a, b) * threshold.denominator >= np.maximum(a, b) * threshold.numerator
+    ring, chain = rows["ring"].view(np.uint64), rows["chain"].view(np.uint64)
+    ok &= np.bitwise_count(ring[first] ^ ring[second]) <= (a + b) * ratio + 1e-9
+    for at, size_at, full in ((0, 48, 255), (24, 56, 127)):
+        bits, size = (chain >> np.uint64(at)) & np.uint64((1 << 24) - 1), ((chain >> np.uint64(size_at)) & np.uint64(full)).astype(np.int64)
+        x, y = size[first], size[second]
+        ok &= (x >= full) | (y >= full) | (np.bitwise_count(bits[first] ^ bits[second]) <= (x + y) * ratio + 1e-9)
+    return ok
+
+
+def _runs(threshold: Fraction, hot: int):
+    """Sorted signature rows to (hot, a, b): candidate pairs of the runs of up to `hot` rows, and (true, sig, rec) for every row
+    of a longer run. A run is held only up to that length, however long it is."""
+
+    def listed(kind: bool, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(a), 100_000):
+            yield pa.RecordBatch.from_pydict({"hot": np.full(len(a[at : at + 100_000]), kind), "a": a[at : at + 100_000], "b": b[at : at + 100_000]})
+
+    def compared(rows: dict[str, np.ndarray], starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for size in np.unique(sizes[sizes > 1]):
+            i, j = np.triu_indices(int(size), 1)
+            of = starts[sizes == size]
+            for at in range(0, len(of), step := max(1, 500_000 // len(i))):
+                first, second = ((of[at : at + step, None] + k[None, :]).ravel() for k in (i, j))
+                ok = _pairs(rows, first, second, threshold)
+                a, b = rows["rec"][first[ok]], rows["rec"][second[ok]]
+                one = a != b
+                yield from listed(False, np.minimum(a, b)[one], np.maximum(a, b)[one])
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, np.ndarray] | None = None
+        long_run = None  # the signature of a run that is known to be hot
+        for batch in batches:
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in SIGNATURE}
+            rows = {c: np.concatenate([kept[c], rows[c]]) for c in SIGNATURE} if kept is not None else rows
+            if not len(rows["sig"]):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], rows["sig"][1:] != rows["sig"][:-1]]))
+            sizes = np.diff(np.concatenate([starts, [len(rows["sig"])]]))
+            many = (sizes > hot) | (rows["sig"][starts] == long_run) if long_run is not None else sizes > hot
+            of_many = np.repeat(many, sizes)
+            yield from listed(True, rows["sig"][of_many], rows["rec"][of_many])
+            # the last run may go on in the next batch
+            if many[-1]:
+                long_run, kept = rows["sig"][-1], {c: rows[c][:0] for c in SIGNATURE}
+            else:
+                long_run, kept = None, {c: rows[c][starts[-1] :] for c in SIGNATURE}
+            inner = ~many
+            inner[-1] = False
+            yield from compared(rows, starts[inner], sizes[inner])
+        if kept is not None and len(kept["sig"]):
+            yield from compared(kept, np.array([0]), np.array([len(kept["sig"])]))
 
-def _chain(side: str, at: int, bits: int) -> Column:
-    return F.shiftright(F.col(f"{side}.chain"), at).bitwiseAND(F.lit((1 << bits) - 1))
+    return of
 
 
-def _blocked(signed: DataFrame, many: DataFrame, left: bool) -> DataFrame:
-    """signed with a pair of blocks (i, j), i <= j, per row: a signature in (sig, blocks) has so many blocks, any other one. A record
-    of block b stands on the left side in the pairs (b, j) and on the right side in the pairs (i, b). Pairs of records meet
-    exactly once."""
-    rows = signed.join(shuffled(many), "sig", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("rec"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.col("b"), F.col("blocks") - 1) if left else F.sequence(F.lit(0), F.col("b"))).alias("o")
-    rows = rows.select(*SIGNATURE, "b", other)
-    return rows.select(*SIGNATURE, *((F.col("b").alias("i"), F.col("o").alias("j")) if left else (F.col("o").alias("i"), F.col("b").alias("j"))))
+def _met(signed: DataFrame, threshold: Fraction, hot: int) -> DataFrame:
+    """(hot, a, b) of the signature rows, by one shuffle and a sort that spills."""
+    return cut(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_runs(threshold, hot), "hot boolean, a long, b long").distinct())
 
 
-def _sides(signed: DataFrame, may_be_hot: bool) -> tuple[DataFrame, DataFrame]:
-    """The two sides of the join on (sig, i, j)."""
-    if may_be_hot:
-        many = cut(signed.groupBy("sig").agg(F.count("*").alias("many")).where(F.col("many") > HOT).select("sig", F.ceil(F.col("many") / HOT).cast("int").alias("blocks")))
-        if not many.isEmpty():
-            return _blocked(signed, many, True), _blocked(signed, many, False)
-    plain = signed.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
-    return plain, plain
+def _blocks(signed: DataFrame, many: DataFrame) -> DataFrame:
+    """The signature rows of the signatures (sig, blocks) under new signatures, one for each pair of blocks: a record stands in a
+    block by its hash, and in all pairs with it. Two records share at least one pair of blocks, and no pair has more than two."""
+    rows = signed.join(shuffled(many), "sig").withColumn("b", F.pmod(F.xxhash64("rec"), F.col("blocks")).cast("int"))
+    rows = rows.select(*SIGNATURE, "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    return rows.select(F.xxhash64("sig", F.least("b", "o"), F.greatest("b", "o")).alias("sig"), *SIGNATURE[1:])
 
 
 def similar_sets(sets: DataFrame, threshold: Fraction) -> DataFrame:
     """(a, b), a < b: all pairs of rows (rec, shingles) whose sets have a Jaccard similarity of at least `threshold`."""
-    ratio = float((1 - threshold) / (1 + threshold))
-    signed = cut(sets.where(F.size("shingles") > 0).mapInArrow(_signer(threshold), SIGNATURES))
-    hot = cut(signed.groupBy("sig").agg(F.count("*").alias("many")).where(F.col("many") > HOT).select("sig"))
+    met = _met(sets.where(F.size("shingles") > 0).mapInArrow(_signer(threshold), SIGNATURES), threshold, HOT)
+    candidates = met.where("NOT hot").select("a", "b")
+    hot = met.where("hot").select(F.col("a").alias("sig"), F.col("b").alias("rec"))
     if not hot.isEmpty():
-        listed = bounded_broadcast(hot)
         # signatures of one record: bounded by its own size
-        again = signed.select("sig", "rec").join(listed, "sig", "left_semi").groupBy("rec").agg(F.collect_set("sig").alias("sigs")).join(shuffled(sets), "rec")
-        refined = again.select("rec", "shingles", "sigs").mapInArrow(_longer(threshold), SIGNATURES)
-        signed = cut(signed.join(listed, "sig", "left_anti").select(*SIGNATURE).union(refined))
-    x, y = (df.alias(side) for df, side in zip(_sides(signed, not hot.isEmpty()), "xy", strict=True))
-    chains = [
-        (size_x >= full) | (size_y >= full) | _within(_chain("x", at, 24), _chain("y", at, 24), size_x, size_y, ratio)
-        for at, size_at, width, full in ((0, 48, 8, 255), (24, 56, 7, 127))
-        for size_x, size_y in [(_chain("x", size_at, width), _chain("y", size_at, width))]
-    ]
-    candidates = (
-        x.join(shuffled(y), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & ((F.col("x.i") < F.col("x.j")) | (F.col("x.rec") < F.col("y.rec"))))
-        .where(F.least("x.n", "y.n") * F.lit(threshold.denominator) >= F.greatest("x.n", "y.n") * F.lit(threshold.numerator))
-        .where(chains[0] & chains[1] & _within(F.col("x.ring"), F.col("y.ring"), F.col("x.n"), F.col("y.n"), ratio))
-        .select(F.least("x.rec", "y.rec").alias("a"), F.greatest("x.rec", "y.rec").alias("b"))
-        .distinct()
-    )
+        again = hot.groupBy("rec").agg(F.collect_set("sig").alias("sigs")).join(shuffled(sets), "rec")
+        refined = cut(again.select("rec", "shingles", "sigs").mapInArrow(_longer(threshold), SIGNATURES))
+        met = _met(refined, threshold, HOT)
+        candidates = candidates.union(met.where("NOT hot").select("a", "b"))
+        sizes = cut(met.where("hot").groupBy(F.col("a").alias("sig")).agg(F.ceil(F.count("*") / HOT).cast("int").alias("blocks")))
+        if not sizes.isEmpty():
+            candidates = candidates.union(_met(_blocks(refined, sizes), threshold, 1 << 62).select("a", "b"))
+    candidates = candidates.distinct()
     left, right = sets.select(F.col("rec").alias("a"), F.col("shingles").alias("of_a")), sets.select(F.col("rec").alias("b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     either = F.size("of_a") + F.size("of_b") - both
