@@ -78,5 +78,22 @@ P5_FOUND = f"""WITH {_RESOLVED}, f AS (SELECT DISTINCT id, package, filename, {_
   SELECT package AS package_id, id AS file_id, CASE WHEN low IS NULL THEN 'UNKNOWN' WHEN low = high THEN low ELSE 'CONFLICT' END AS license FROM a"""
 
 
+def _groups(table: str, text: str) -> tuple[str, str]:
+    w = _W.format(text)
+    return f"""SELECT '{table}' AS source_table, k.id, coalesce(g.y, k.rec) AS group_id, coalesce(d.n, 0) AS links FROM {table}_k k LEFT JOIN (SELECT x, min(y) AS y FROM {table}_r GROUP BY x) g ON g.x = k.rec LEFT JOIN (SELECT x, count(*) AS n FROM {table}_e GROUP BY x) d ON d.x = k.rec""", f"""{table}_k AS (SELECT id, min(id) OVER (PARTITION BY w) AS rec FROM (SELECT id, array_to_string({w}, ' ') AS w FROM {table} WHERE {text} IS NOT NULL AND len({w}) >= 3)),
+      {table}_p AS (SELECT id_a AS a, id_b AS b FROM found WHERE source_table = '{table}' AND id_a IN (SELECT rec FROM {table}_k) AND id_b IN (SELECT rec FROM {table}_k)), {table}_e AS (SELECT a AS x, b AS y FROM {table}_p UNION SELECT b, a FROM {table}_p),
+      {table}_r AS (SELECT x, x AS y FROM {table}_e UNION SELECT r.x, e.y FROM {table}_r r JOIN {table}_e e ON e.x = r.y)"""
+
+
+_G1, _G2 = _groups("snippets", "text"), _groups("license_patterns", "pattern")
+P2_GROUPS = f"WITH RECURSIVE found AS ({P2_FOUND}), {_G1[1]}, {_G2[1]} {_G1[0]} UNION ALL {_G2[0]}"
+
+P4_FILES = f"""WITH f AS ({P4_FOUND}), o AS (SELECT DISTINCT o.file, o.snippet, length(s.text) AS chars FROM file_snippets o JOIN snippets s ON s.id = o.snippet WHERE o.generation = 0 AND o.file IS NOT NULL AND s.text IS NOT NULL),
+  a AS (SELECT o.file AS file_id, CAST(sum(o.chars) AS BIGINT) AS chars, CAST(sum(coalesce(f.shared_chars, 0)) AS BIGINT) AS shared_chars FROM o LEFT JOIN f ON f.file_id = o.file AND f.snippet_id = o.snippet GROUP BY 1)
+  SELECT *, CASE WHEN chars > 0 THEN shared_chars / chars ELSE 0.0 END AS share FROM a"""
+
+P6_COLLAPSED = f"WITH f AS ({P6_FOUND}) SELECT s.id AS keep_id, count(f.copy_id) + 1 AS copies FROM snippets s LEFT JOIN f ON f.keep_id = s.id WHERE s.text IS NOT NULL AND s.id NOT IN (SELECT copy_id FROM f) GROUP BY 1"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_values": P3_VALUES, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_groups": P2_GROUPS, "p3_found": P3_FOUND, "p3_values": P3_VALUES, "p4_found": P4_FOUND, "p4_files": P4_FILES, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p6_collapsed": P6_COLLAPSED}
