@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellum.functions.paths import glob_regex
-from tessellum.operators import phrase_match
+from tessellum.functions.risk import percent
+from tessellum.operators import engine, phrase_match
 from tessellum.plans import analytics
 from tessellum.plans.analytics import _SCORES, best_licenses, license_scores, shingle_rows
 from tessellum.plans.catalog import Tables, query
@@ -123,6 +124,41 @@ def _(t: Tables) -> DataFrame:
     return rows.select("id", "license", F.coalesce("match", F.lit(0.0)).alias("likelyness"), F.coalesce("second", F.lit(0.0)).alias("second_match"), F.lit(2).alias("score_version"))
 
 
+_BY_PATTERN = _SCORES.replace("FROM license_patterns", "FROM bp")
+_PATTERNS = f"WITH bp AS (SELECT id, pattern, CAST(id AS VARCHAR) AS license FROM license_patterns WHERE license <> '' AND pattern IS NOT NULL), {_BY_PATTERN}"
+
+
+def pattern_scores(t: Tables) -> DataFrame:
+    """(id, pattern, score): per snippet and pattern with enough rare shared shingles, the weight of what they share by that of
+    the snippet. Every pattern has a signature of its own here."""
+    each = t.license_patterns.where("license <> '' AND pattern IS NOT NULL").withColumn("license", F.col("id").cast("string"))
+    return license_scores(t.snippets, each).select("id", F.col("first").alias("pattern"), "score")
+
+
+@query("LA14_closest_patterns", f"{_PATTERNS} SELECT id, first AS pattern, score, k AS place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, first) AS k FROM sc) WHERE k <= 3")
+def _(t: Tables, most: int = 3) -> DataFrame:
+    """The patterns that are most like each snippet."""
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "pattern")).cast("long")
+    return pattern_scores(t).withColumn("place", place).where(F.col("place") <= most)
+
+
+@query("LA45_closest_other_pattern", f"{_PATTERNS}, o AS (SELECT sc.*, row_number() OVER (PARTITION BY sc.id ORDER BY score DESC, first) AS k FROM sc JOIN snippets s ON s.id = sc.id AND s.like_pattern IS DISTINCT FROM sc.first) SELECT id, first AS pattern, floor(score * 1000 + 0.5) / 10.0 AS percent FROM o WHERE k = 1")
+def _(t: Tables) -> DataFrame:
+    """The pattern most like a snippet other than the one that it is filed under, in percent with one decimal."""
+    filed = t.snippets.select("id", "like_pattern")
+    rows = pattern_scores(t).join(shuffled(filed), "id").where(~F.col("like_pattern").eqNullSafe(F.col("pattern")))
+    best = rows.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("less"), "pattern")).alias("b"))
+    return best.select("id", "b.pattern", percent(-F.col("b.less")).alias("percent"))
+
+
+@query("UDF02_engine_functions", rf"""SELECT id, CAST(len({_WORDS.format('pattern')}) AS INT) AS words, contains(' ' || array_to_string({_WORDS.format('pattern')}, ' ') || ' ', ' copyright holder ') AS names_holder FROM license_patterns WHERE pattern IS NOT NULL AND NOT regexp_matches(pattern, '(?i)\$skip')""")
+def _(t: Tables) -> DataFrame:
+    """The matcher's functions in SQL text."""
+    engine.register(t.spark)
+    t.license_patterns.createOrReplaceTempView("tessellum_patterns")
+    return t.spark.sql("SELECT id, size(pattern_tokens(pattern)) AS words, pattern_in_text('copyright holder', pattern) AS names_holder FROM tessellum_patterns WHERE pattern IS NOT NULL AND NOT lower(pattern) LIKE '%$skip%'")
+
+
 @query("LA41_pattern_in_text", rf"""SELECT s.id, contains(' ' || array_to_string({_WORDS.format('s.text')}, ' ') || ' ', ' ' || array_to_string({_WORDS.format('p.pattern')}, ' ') || ' ') AS matches FROM snippets s JOIN license_patterns p ON p.id = s.like_pattern WHERE s.text IS NOT NULL AND p.pattern IS NOT NULL AND NOT regexp_matches(p.pattern, '(?i)\$skip') AND len({_WORDS.format('p.pattern')}) > 0""")
 def _(t: Tables) -> DataFrame:
     """Whether a snippet holds the pattern that it resembles, word by word."""
