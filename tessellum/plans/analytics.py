@@ -129,7 +129,7 @@ def _(t: Tables) -> DataFrame:
 @query("LA10_signature_sizes", f"WITH {_SIGNATURES} SELECT license, count(*) AS shingles, round(sum(w), 6) AS weight FROM sig JOIN idf USING (s) GROUP BY license")
 def _(t: Tables) -> DataFrame:
     sig = signatures(t.license_patterns)
-    return sig.join(weights(sig), "s").groupBy("license").agg(F.count("*").alias("shingles"), F.round(F.sum("w"), 6).alias("weight"))
+    return sig.join(shuffled(weights(sig)), "s").groupBy("license").agg(F.count("*").alias("shingles"), F.round(F.sum("w"), 6).alias("weight"))
 
 
 @query("AGG15_license_idf", f"WITH {_SIGNATURES} SELECT s, round(w, 9) AS idf FROM idf")
@@ -282,13 +282,13 @@ def _(t: Tables) -> DataFrame:
 @query("JN15_inverted_index", f"WITH {_SIGNATURES}, own AS {_sql_shingles('snippets', 'text', 'id', 'text IS NOT NULL')} SELECT own.id, sig.license, count(*) AS shared FROM own JOIN sig ON sig.s = own.s GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
     own = shingle_rows(t.snippets, "text", "id")
-    return own.join(signatures(t.license_patterns), "s").groupBy("id", "license").agg(F.count("*").alias("shared"))
+    return own.join(shuffled(signatures(t.license_patterns)), "s").groupBy("id", "license").agg(F.count("*").alias("shared"))
 
 
 @query("WIN12_rarest_shingles", f"WITH {_SIGNATURES}, own AS {_sql_shingles('snippets', 'text', 'id', 'text IS NOT NULL')}, r AS (SELECT own.id, own.s, row_number() OVER (PARTITION BY own.id ORDER BY idf.w DESC, own.s) AS k FROM own JOIN idf ON idf.s = own.s) SELECT id, s, k FROM r WHERE k <= {PROBE}")
 def _(t: Tables) -> DataFrame:
     own = shingle_rows(t.snippets, "text", "id")
-    known = own.join(weights(signatures(t.license_patterns)), "s")
+    known = own.join(shuffled(weights(signatures(t.license_patterns))), "s")
     return known.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("w"), "s")).cast("long")).where(F.col("k") <= PROBE).select("id", "s", "k")
 
 
@@ -298,9 +298,9 @@ def _(t: Tables) -> DataFrame:
   SELECT id, pattern FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, pattern) AS k FROM c) WHERE k = 1""")
 def _(t: Tables) -> DataFrame:
     best = best_licenses(license_scores(t.snippets, t.license_patterns)).select("id", "license")
-    own = shingle_rows(t.snippets, "text", "id").join(weights(signatures(t.license_patterns)), "s").join(best, "id")
+    own = shingle_rows(t.snippets, "text", "id").join(shuffled(weights(signatures(t.license_patterns))), "s").join(shuffled(best), "id")
     of = shingle_rows(t.license_patterns.where("license is not null and license <> ''").withColumnRenamed("pattern", "text").withColumnRenamed("id", "pattern"), "text", "pattern", "license")
-    weighed = own.join(of, ["license", "s"]).groupBy("id", "pattern").agg(F.round(F.sum("w"), 6).alias("w"))
+    weighed = own.join(shuffled(of), ["license", "s"]).groupBy("id", "pattern").agg(F.round(F.sum("w"), 6).alias("w"))
     return weighed.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("less"), "pattern")).alias("m")).select("id", "m.pattern")
 
 
