@@ -20,9 +20,12 @@ _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 K, PROBE, SHARED, RARE = 3, 20, 2, 4.0
 
 
-@query("LA01_tokens", f"SELECT id, len({_WORDS.format('pattern')}) AS tokens FROM license_patterns WHERE pattern IS NOT NULL")
+@query("LA01_tokens", rf"""WITH l AS (SELECT id, n, {_WORDS.format("lines[n]")} AS w FROM (SELECT id, lines, unnest(generate_series(1, len(lines))) AS n FROM (SELECT id, string_split(pattern, chr(10)) AS lines FROM license_patterns WHERE pattern IS NOT NULL))),
+  x AS (SELECT id, n, k, w[k] AS token FROM (SELECT *, unnest(generate_series(1, len(w))) AS k FROM l)) SELECT id, row_number() OVER (PARTITION BY id ORDER BY n, k) - 1 AS place, token, CAST(n AS INT) AS line FROM x""")
 def _(t: Tables) -> DataFrame:
-    return t.license_patterns.where("pattern is not null").select("id", F.size(words(F.col("pattern"))).cast("long").alias("tokens"))
+    """The tokens of a text with their places and lines."""
+    rows = t.license_patterns.where("pattern is not null").select("id", F.posexplode(phrase_match.words_of_lines(F.col("pattern"))).alias("place", "x"))
+    return rows.select("id", F.col("place").cast("long").alias("place"), F.col("x.w").alias("token"), "x.line")
 
 
 def catalogue_as_files(t: Tables) -> DataFrame:
@@ -73,9 +76,14 @@ def _(t: Tables) -> DataFrame:
     return t.snippets.where("text is not null").select("id", content.alias("content"), F.coalesce(F.lower("hash") == content, F.lit(False)).alias("agrees"))
 
 
-@query("LA07_find_or_create", "SELECT md5(text) AS content, min(id) AS id, count(*) AS rows FROM snippets WHERE text IS NOT NULL GROUP BY 1")
+@query("LA07_find_or_create", """WITH o AS (SELECT o.snippet, bool_and(coalesce(b.embargoed, false)) AS hidden FROM file_snippets o LEFT JOIN bot_packages b ON b.id = o.package GROUP BY 1)
+  SELECT md5(s.text) AS content, min(s.id) AS id, count(*) AS rows, bool_and(coalesce(o.hidden, b.embargoed, false)) AS embargoed FROM snippets s LEFT JOIN o ON o.snippet = s.id LEFT JOIN bot_packages b ON b.id = s.package WHERE s.text IS NOT NULL GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
-    return t.snippets.where("text is not null").groupBy(F.md5("text").alias("content")).agg(F.min("id").alias("id"), F.count("*").alias("rows"))
+    """One snippet per content. It is under embargo as long as every package that it was found in is; one found nowhere, as its own."""
+    b = t.bot_packages.select(F.col("id").alias("package"), "embargoed")
+    found = t.file_snippets.select("snippet", "package").join(b, "package", "left").groupBy(F.col("snippet").alias("id")).agg(F.bool_and(F.coalesce("embargoed", F.lit(False))).alias("hidden"))
+    rows = t.snippets.where("text is not null").select("id", "package", F.md5("text").alias("content")).join(b, "package", "left").join(shuffled(found), "id", "left")
+    return rows.groupBy("content").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.bool_and(F.coalesce("hidden", "embargoed", F.lit(False))).alias("embargoed"))
 
 
 def shingles(word_array: Column) -> Column:
@@ -332,7 +340,12 @@ def _(t: Tables) -> DataFrame:
     return rows.select("occurrence", "match", where.alias("position"))
 
 
-@query("LA46_risk_by_license", "SELECT p.id, max(p.risk) OVER (PARTITION BY p.license) AS risk FROM license_patterns p WHERE p.license IS NOT NULL")
+@query("LA46_license_edits", """SELECT p.id, max(p.risk) OVER (PARTITION BY p.license) AS risk, coalesce(nullif(p.spdx, ''), l.license_id, max(nullif(p.spdx, '')) OVER (PARTITION BY p.license)) AS spdx FROM license_patterns p LEFT JOIN license_list l ON l.license_id = p.license WHERE p.license IS NOT NULL""")
 def _(t: Tables) -> DataFrame:
-    named = t.license_patterns.where("license is not null").select("id", "license", "risk")
-    return named.join(named.groupBy("license").agg(F.max("risk").alias("highest")), "license").select("id", F.col("highest").alias("risk"))
+    """The three edits of a license's patterns as a new version of them: its risk for all, and where the identifier is missing the
+    one that its name is, else that of its other patterns."""
+    named = t.license_patterns.where("license is not null").select("id", "license", "risk", F.nullif("spdx", F.lit("")).alias("own"))
+    of = named.groupBy("license").agg(F.max("risk").alias("highest"), F.max("own").alias("other"))
+    listed = t.license_list.select(F.col("license_id").alias("license"), F.col("license_id").alias("parsed"))
+    rows = named.join(of, "license").join(F.broadcast(listed), "license", "left")  # the list has a fixed size
+    return rows.select("id", F.col("highest").alias("risk"), F.coalesce("own", "parsed", "other").alias("spdx"))
\ No newline at end of file

@@ -60,15 +60,15 @@ def _(t: Tables) -> DataFrame:
     return rows.agg(middle("risk").alias("middle")).join(counts, "license")
 
 
-@query("UDF01_signatures_after_removal", f"""WITH s AS (SELECT DISTINCT id, license, array_to_string(w[i:i + 2], ',') AS s FROM (SELECT id, license, w, unnest(generate_series(1, len(w) - 2)) AS i FROM (SELECT id, license, {_WORDS.format('pattern')} AS w FROM license_patterns WHERE license <> '' AND pattern IS NOT NULL) WHERE len(w) >= 3))
-  SELECT DISTINCT license, s FROM s WHERE id % 10 <> 0""")
+@query("UDF01_signatures_after_removal", f"""WITH s AS (SELECT DISTINCT id, license, array_to_string(w[i:i + 2], ',') AS s FROM (SELECT id, license, w, unnest(generate_series(1, len(w) - 2)) AS i FROM (SELECT id, license, {_WORDS.format('pattern')} AS w FROM license_patterns WHERE license <> '' AND pattern IS NOT NULL AND NOT catch_all) WHERE len(w) >= 3))
+  SELECT DISTINCT license, s FROM s""")
 def _(t: Tables) -> DataFrame:
     """The inverted index kept in step with removed patterns: a shingle of a license stays as long as another of its patterns has it.
-    Counts per (license, shingle) make a removal a difference; the whole index is not built again."""
-    rows = t.license_patterns.where("license <> ''").select("id", "license", F.col("pattern").alias("text"))
-    s = shingle_rows(rows.where(F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))) >= analytics.K), "text", "id", "license")
+    Counts per (license, shingle) make a removal a difference; the whole index is not built again. Here the catch-alls are removed."""
+    rows = t.license_patterns.where("license <> ''").select("id", "license", "catch_all", F.col("pattern").alias("text"))
+    s = shingle_rows(rows.where(F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))) >= analytics.K), "text", "id", "license", "catch_all")
     index = s.groupBy("license", "s").agg(F.count("*").alias("n"))
-    removed = s.where("id % 10 = 0").groupBy("license", "s").agg((-F.count("*")).alias("n"))
+    removed = s.where("catch_all").groupBy("license", "s").agg((-F.count("*")).alias("n"))
     return index.union(removed).groupBy("license", "s").agg(F.sum("n").alias("n")).where("n > 0").select("license", "s")
 
 

@@ -128,21 +128,62 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", human_size(F.col("n_chars")).alias("size"))
 
 
-@query("SC20_file_purpose", "SELECT id, CASE WHEN mimetype LIKE 'text/x-%' OR mimetype = 'application/javascript' THEN 'source' WHEN mimetype LIKE 'text/%' THEN 'documentation' ELSE 'file' END AS purpose FROM matched_files")
+# What a file is for, by its MIME type; the first that fits.
+PURPOSES = (
+    ("archive", r"zip|tar|gzip|compress|x-xz|bzip|7z|x-rpm"), ("executable", r"^application/x-(?:executable|sharedlib|pie-executable|elf)|^(?:text|application)/x-(?:perl|python|shellscript|sh)"),
+    ("documentation", r"^text/html|pdf"), ("source", r"^text/|^application/(?:javascript|json|xml)"),
+)
+_PURPOSES = " ".join(f"WHEN regexp_matches(mimetype, '{form}') THEN '{name}'" for name, form in PURPOSES)
+
+
+@query("SC20_file_purpose", f"SELECT id, CASE {_PURPOSES} ELSE 'file' END AS purpose FROM matched_files")
 def _(t: Tables) -> DataFrame:
-    m = F.col("mimetype")
-    return t.matched_files.select("id", F.when(m.like("text/x-%") | (m == "application/javascript"), "source").when(m.like("text/%"), "documentation").otherwise("file").alias("purpose"))
+    purpose = F
+    for name, form in PURPOSES:
+        purpose = purpose.when(F.col("mimetype").rlike(form), name)
+    return t.matched_files.select("id", purpose.otherwise("file").alias("purpose"))
 
 
-@query("SC21_catch_all_name", "SELECT id, coalesce(regexp_matches(license, '^Any |-Unspecified$'), false) AS catch_all FROM license_patterns")
+@query("SC21_catch_all_name", r"SELECT id, coalesce(regexp_matches(license, '(^|[\s(])Any |-Unspecified([\s)]|$)'), false) AS catch_all FROM license_patterns")
 def _(t: Tables) -> DataFrame:
-    return t.license_patterns.select("id", F.coalesce(F.col("license").rlike("^Any |-Unspecified$"), F.lit(False)).alias("catch_all"))
+    return t.license_patterns.select("id", F.coalesce(F.col("license").rlike(r"(?:^|[\s(])Any |-Unspecified(?:[\s)]|$)"), F.lit(False)).alias("catch_all"))
+
+
+#: What a deployment says of its links: form, address with \1 for what the form captures, label. The first that fits counts.
+LINKS = ((r"^req#(\d+)$", r"https://requests.example/show/\1", "request"), (r"^git#(\d+)$", r"https://git.example/commit/\1", "commit"))
 
 
-@query("SC22_external_link", "SELECT id, split_part(external_link, '#', 1) AS kind, TRY_CAST(split_part(external_link, '#', 2) AS BIGINT) AS request FROM bot_packages WHERE external_link IS NOT NULL")
+@query("SC22_external_link", r"""SELECT id, CASE WHEN regexp_matches(external_link, '^req#\d+$') THEN CAST(substr(external_link, 5) AS BIGINT) END AS request,
+  CASE WHEN regexp_matches(external_link, '^req#\d+$') THEN 'https://requests.example/show/' || substr(external_link, 5) WHEN regexp_matches(external_link, '^git#\d+$') THEN 'https://git.example/commit/' || substr(external_link, 5) END AS url,
+  CASE WHEN regexp_matches(external_link, '^req#\d+$') THEN 'request' WHEN regexp_matches(external_link, '^git#\d+$') THEN 'commit' END AS label FROM bot_packages WHERE external_link IS NOT NULL""")
 def _(t: Tables) -> DataFrame:
+    """The request of a link, and its address and label by the configured forms; none where no form fits."""
     link = F.col("external_link")
-    return t.bot_packages.where(link.isNotNull()).select("id", F.split_part(link, F.lit("#"), F.lit(1)).alias("kind"), F.expr("try_cast(split_part(external_link, '#', 2) as bigint)").alias("request"))
+    url, label = F, F
+    for form, address, name in LINKS:
+        url, label = url.when(link.rlike(form), F.regexp_replace(link, form, address.replace("\\1", "$1"))), label.when(link.rlike(form), name)
+    request = F.when(link.rlike(LINKS[0][0]), F.regexp_extract(link, LINKS[0][0], 1).cast("long"))
+    return t.bot_packages.where("external_link is not null").select("id", request.alias("request"), url.alias("url"), label.alias("label"))
+
+
+@query("SC16_content_hashes", r"""SELECT id, md5(array_to_string([CASE WHEN regexp_matches(x, '^\$skip') THEN '$' ELSE x END FOR x IN regexp_extract_all(lower(pattern), '\$skip\d*|[\p{L}\p{N}]+')], ' ')) AS tokens, md5(pattern || chr(10)) AS lines FROM license_patterns WHERE pattern IS NOT NULL""")
+def _(t: Tables) -> DataFrame:
+    """Two 128-bit hashes of a pattern: of its tokens, with all gaps alike, and of its lines as they stand."""
+    tokens = F.transform(F.regexp_extract_all(F.lower("pattern"), F.lit(r"\$skip\d*|[\p{L}\p{N}]+"), F.lit(0)), lambda x: F.when(x.startswith("$skip"), "$").otherwise(x))
+    return t.license_patterns.where("pattern is not null").select("id", F.md5(F.array_join(tokens, " ")).alias("tokens"), F.md5(F.concat("pattern", F.lit("\n"))).alias("lines"))
+
+
+@query("SC05_sliding_cutoffs", f"SELECT id, created > {_NOW} - INTERVAL 30 DAY AS month, created > {_NOW} - INTERVAL 1 YEAR AS year FROM bot_packages")
+def _(t: Tables) -> DataFrame:
+    """Whether a package is younger than a month and a year, from a present that is given."""
+    now = f"timestamp_ntz'{NOW:%Y-%m-%d %H:%M:%S}'"
+    return t.bot_packages.select("id", (F.col("created") > F.expr(f"{now} - interval 30 days")).alias("month"), (F.col("created") > F.expr(f"{now} - interval 1 year")).alias("year"))
+
+
+@query("SC28_capped_flags", "SELECT pattern, least(count(*), 20) AS shown, count(*) > 20 AS more, greatest(count(DISTINCT package), 1) AS packages FROM pattern_matches GROUP BY pattern")
+def _(t: Tables, most: int = 20) -> DataFrame:
+    counts = t.pattern_matches.groupBy("pattern").agg(F.count("*").alias("n"), F.countDistinct("package").alias("p"))
+    return counts.select("pattern", F.least("n", F.lit(most).cast("long")).alias("shown"), (F.col("n") > most).alias("more"), F.greatest("p", F.lit(1).cast("long")).alias("packages"))
 
 
 @query("SC23_valid_tags", "SELECT license_id, [trim(a) FOR a IN aliases IF length(trim(a)) BETWEEN 1 AND 32][1:16] AS tags FROM license_list WHERE len(aliases) > 0")

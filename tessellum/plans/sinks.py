@@ -50,14 +50,24 @@ def _(t: Tables) -> DataFrame:
     return t.bot_packages.groupBy("name", "checkout_dir").agg(F.min("id").alias("id"))
 
 
-@query("SRC09_new_patterns", "SELECT min(id) AS id, token_hexsum FROM license_patterns WHERE token_hexsum IS NOT NULL GROUP BY token_hexsum")
-def _(t: Tables) -> DataFrame:
-    return t.license_patterns.where("token_hexsum is not null").groupBy("token_hexsum").agg(F.min("id").alias("id"))
+def imported_patterns(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """The incoming patterns whose token checksum is neither known nor that of an earlier one among them; null checksums are none."""
+    first = incoming.where("token_hexsum is not null").groupBy("token_hexsum").agg(F.min("id").alias("id"))
+    return first.join(shuffled(existing.select("token_hexsum").distinct()), "token_hexsum", "left_anti")
+
+
+@query("SRC09_new_patterns", "SELECT min(id) AS id, token_hexsum FROM license_patterns n WHERE created >= TIMESTAMP '2024-01-01' AND token_hexsum IS NOT NULL AND NOT EXISTS (SELECT 1 FROM license_patterns o WHERE o.created < TIMESTAMP '2024-01-01' AND o.token_hexsum = n.token_hexsum) GROUP BY token_hexsum")
+def _(t: Tables, since: str = "2024-01-01") -> DataFrame:
+    """What an import brings: the catalogue after a day against the one before it."""
+    day = F.lit(since).cast("timestamp_ntz")
+    return imported_patterns(t.license_patterns.where(F.col("created") >= day), t.license_patterns.where(F.col("created") < day)).select("id", "token_hexsum")
 
 
-@query("SRC10_labels", "SELECT s.id, CASE WHEN s.confidence >= 50 THEN true ELSE s.license IS NOT NULL END AS license FROM snippets s WHERE NOT s.approved")
+@query("SRC10_labels", "WITH l AS (SELECT lower(hash) AS h, bool_or(license IS NOT NULL) AS good FROM snippets WHERE approved AND hash IS NOT NULL GROUP BY 1) SELECT s.id, l.good FROM snippets s JOIN l ON l.h = lower(s.hash) WHERE NOT s.approved")
 def _(t: Tables) -> DataFrame:
-    return t.snippets.where(~F.col("approved")).select("id", F.when(F.col("confidence") >= 50, True).otherwise(F.col("license").isNotNull()).alias("license"))
+    """Labels brought in by hash, for snippets that nobody has approved; here those of the approved ones."""
+    labels = t.snippets.where("approved AND hash IS NOT NULL").groupBy(F.lower("hash").alias("h")).agg(F.bool_or(F.col("license").isNotNull()).alias("good"))
+    return t.snippets.where("NOT approved").select("id", F.lower("hash").alias("h")).join(shuffled(labels), "h").select("id", "good")
 
 
 @query("SRC11_spec_fields", r"SELECT doc_id, regexp_extract(text, '(?m)^License:\s*(.+)$', 1) AS license, regexp_extract(text, '(?m)^Version:\s*(.+)$', 1) AS version, len(regexp_extract_all(text, '(?m)^BuildRequires:')) AS requires FROM documents WHERE source = 'spec_file' AND text IS NOT NULL")

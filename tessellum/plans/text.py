@@ -75,9 +75,14 @@ def _(t: Tables) -> DataFrame:
     return atoms.join(F.broadcast(known), "atom").select("id", "license_id")  # the list has a fixed size
 
 
-@query("ST07_only_expression", r"SELECT DISTINCT license, regexp_matches(license, '^[\w.+-]+(?: (?:AND|OR|WITH) [\w.+-]+)*$') AS expression FROM license_patterns WHERE license IS NOT NULL")
-def _(t: Tables) -> DataFrame:
-    return t.license_patterns.where("license is not null").select("license").distinct().select("license", F.col("license").rlike(r"^[\w.+-]+(?: (?:AND|OR|WITH) [\w.+-]+)*$").alias("expression"))
+@query("ST07_identifiers", r"""WITH x AS (SELECT DISTINCT license, unnest(string_split_regex(trim(regexp_replace(license, '[()+\s]+', ' ', 'g'), ' '), ' ')) AS atom FROM license_patterns WHERE license <> '')
+  SELECT license, coalesce(list_sort(list(DISTINCT l.license_id) FILTER (WHERE l.license_id IS NOT NULL)), []) AS identifiers, bool_and(l.license_id IS NOT NULL OR atom IN ('AND', 'OR', 'WITH')) AND count(l.license_id) > 0 AS only FROM x LEFT JOIN license_list l ON l.license_id = x.atom GROUP BY license""")
+def _(t: Tables) -> DataFrame:
+    """The listed identifiers in an expression, as they are written, and whether nothing but these and operators is in it."""
+    atoms = t.license_patterns.where("license <> ''").select("license").distinct().select("license", F.explode(F.split(F.trim(F.regexp_replace("license", r"[()+\s]+", " ")), " ")).alias("atom"))
+    known = atoms.join(F.broadcast(t.license_list.select("license_id", F.col("license_id").alias("atom"))), "atom", "left")  # the list has a fixed size
+    fits = F.col("license_id").isNotNull() | F.col("atom").isin("AND", "OR", "WITH")
+    return known.groupBy("license").agg(F.array_sort(F.collect_set("license_id")).alias("identifiers"), (F.bool_and(fits) & (F.count("license_id") > 0)).alias("only"))
 
 
 @query("ST08_canonical_expression", None)

@@ -25,6 +25,14 @@ def _(t: Tables) -> DataFrame:
     return t.events.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
+@query("JN11_hourly_series", "WITH b AS (SELECT date_trunc('hour', min(ts)) AS low, max(ts) AS high FROM events), s AS (SELECT unnest(generate_series(low, high, INTERVAL 1 HOUR)) AS hour FROM b) SELECT CAST(s.hour AS TIMESTAMP) AS hour, count(e.event_id) AS n FROM s LEFT JOIN events e ON e.ts >= s.hour AND e.ts < s.hour + INTERVAL 1 HOUR GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    """Every hour of the events with their number, the empty ones too: rows are grouped first and then joined to the series."""
+    counts = t.events.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"))
+    spine = t.events.agg(F.date_trunc("hour", F.min("ts")).cast("timestamp_ntz").alias("low"), F.max("ts").cast("timestamp_ntz").alias("high")).select(F.explode(F.expr("sequence(low, high, interval 1 hour)")).alias("hour"))
+    return spine.join(counts, "hour", "left").na.fill(0, ["n"])
+
+
 @query("STM02_deduplicated_jobs", "SELECT name, checkout_dir, max(priority) AS priority, min(id) AS job FROM bot_packages WHERE indexed IS NULL OR state = 'new' GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
     return t.bot_packages.where("indexed IS NULL OR state = 'new'").groupBy("name", "checkout_dir").agg(F.max("priority").alias("priority"), F.min("id").alias("job"))
