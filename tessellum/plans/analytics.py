@@ -48,6 +48,17 @@ def _(t: Tables) -> DataFrame:
     return phrase_match.matches(catalogue_as_files(t), plain, "id", "text", resolve=False).select("text_id", "pattern_id").distinct()
 
 
+@query("LA02_plain_matches", rf"""WITH t AS (SELECT id, list(token ORDER BY n, k) AS w, list(n ORDER BY n, k) AS l FROM (SELECT id, n, k, w[k] AS token FROM (SELECT *, unnest(generate_series(1, len(w))) AS k FROM (SELECT id, n, {_WORDS.format('lines[n]')} AS w FROM (SELECT id, lines, unnest(generate_series(1, len(lines))) AS n
+    FROM (SELECT id, string_split(pattern, chr(10)) AS lines FROM license_patterns WHERE pattern IS NOT NULL))))) GROUP BY id),
+  p AS (SELECT t.* FROM t JOIN license_patterns q ON q.id = t.id AND NOT regexp_matches(q.pattern, '(?i)\$skip')),
+  c AS (SELECT t.id AS file, p.id AS pattern, t.w, t.l, p.w AS v, unnest(generate_series(1, len(t.w) - len(p.w) + 1)) AS i FROM t JOIN p ON contains(' ' || array_to_string(t.w, ' ') || ' ', ' ' || array_to_string(p.w, ' ') || ' '))
+  SELECT file, pattern, CAST(l[i] AS INT) AS sline, CAST(l[i + len(v) - 1] AS INT) AS eline FROM c WHERE w[i:i + len(v) - 1] = v""")
+def _(t: Tables) -> DataFrame:
+    """Every match of the patterns without gaps, with its lines, before overlaps are decided."""
+    plain = t.license_patterns.where(~F.col("pattern").rlike(r"(?i)\$SKIP"))
+    return phrase_match.matches(catalogue_as_files(t), plain, "id", "text", resolve=False).select(F.col("text_id").alias("file"), F.col("pattern_id").alias("pattern"), "sline", "eline")
+
+
 @query("LA04_indexed_files")
 def _(t: Tables, ignored: tuple[str, ...] = ("*.kw",)) -> DataFrame:
     """What indexing leaves of each file with a match: its matches, or only the first one, ignored, if a glob takes the file out."""

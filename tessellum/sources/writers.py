@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -19,3 +21,8 @@ def write_labelled(rows: DataFrame, path: str, label: str = "label", text: str =
 def write_text(rows: DataFrame, path: str, line: str, order: list[Column]) -> None:
     """Compressed text whose parts, in the order of their names, are the rows in `order`."""
     rows.repartitionByRange(*order).sortWithinPartitions(*order).select(line).write.mode("overwrite").option("compression", "gzip").text(path)
+
+
+def stream(rows: DataFrame, order: list[Column]) -> Iterator[Row]:
+    """The rows in order, one partition at a time on the driver while the next one is made: a cursor over results of any size."""
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).toLocalIterator(prefetchPartitions=True)

@@ -31,3 +31,7 @@ def test_writers(spark, tmp_path):
     writers.write_text(df, f"{tmp_path}/text", "label", [F.col("id")])
     parts = sorted((tmp_path / "text").glob("part-*.gz"))
     assert [r.value for p in parts for r in spark.read.text(str(p)).collect()] == ["bad", "good"] * 10
+
+
+def test_stream(spark):
+    assert [r.id for r in writers.stream(spark.range(1000), [F.desc("id")])] == list(range(999, -1, -1))
