@@ -28,3 +28,13 @@ def test_entry_has_rows(spark, data):
 
 def test_every_statement_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, check=False).returncode == 0
