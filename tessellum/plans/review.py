@@ -7,6 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessellum.functions.paths import dir_key
 from tessellum.functions.similarity import trigrams
 from tessellum.operators.intervals import inside, overlaps
 from tessellum.operators.set_join import prefix_join
@@ -132,3 +133,24 @@ def _(t: Tables) -> DataFrame:
     like = t.snippets.select(F.col("id").alias("snippet"), F.col("like_pattern").alias("pattern"))
     folded = t.file_snippets.where("generation = 0 AND resolution = 'fold'").join(shuffled(like), "snippet").select("package", "file", "pattern")
     return t.pattern_matches.where("generation = 0 AND NOT ignored").select("package", "file", "pattern").union(folded).join(p, "pattern").select("package", "file", "reference").distinct()
+
+
+@query("LA39_enriched_snippets", """WITH p AS (SELECT id, coalesce(license, '') AS license, risk, catch_all FROM license_patterns), m AS (SELECT m.id, m.package, m.file, m.sline, m.eline, p.license, p.risk, p.catch_all, regexp_replace(f.filename, '/[^/]*$', '') AS dir FROM pattern_matches m JOIN p ON p.id = m.pattern JOIN matched_files f ON f.id = m.file WHERE m.generation = 0 AND NOT m.ignored),
+  c AS (SELECT package, dir, license FROM (SELECT *, row_number() OVER (PARTITION BY package, dir ORDER BY risk DESC, license) AS k FROM m WHERE license <> '' AND NOT catch_all) WHERE k = 1),
+  o AS (SELECT o.id, o.file, o.package, o.sline, o.eline, regexp_replace(f.filename, '/[^/]*$', '') AS dir FROM file_snippets o LEFT JOIN matched_files f ON f.id = o.file WHERE o.generation = 0),
+  x AS (SELECT o.id, count(DISTINCT m.id) FILTER (WHERE m.license = '') AS keywords, coalesce(list_sort(list(DISTINCT m.license) FILTER (WHERE m.license <> '')), []) AS overlapping FROM o JOIN m ON m.file = o.file AND m.sline <= o.eline AND m.eline >= o.sline GROUP BY 1)
+  SELECT o.id, coalesce(x.keywords, 0) AS keywords, coalesce(x.overlapping, []) AS overlapping, c.license AS covered_by FROM o LEFT JOIN x ON x.id = o.id LEFT JOIN c ON c.package = o.package AND c.dir = o.dir""")
+def _(t: Tables) -> DataFrame:
+    """Each live snippet with the number of keywords in it, the licenses that overlap it, and the concrete license of the highest
+    risk in its directory."""
+    p = t.license_patterns.select(F.col("id").alias("pattern"), F.coalesce("license", F.lit("")).alias("license"), "risk", "catch_all")
+    f = t.matched_files.select(F.col("id").alias("file"), dir_key(F.col("filename")).alias("dir"))
+    m = t.pattern_matches.where("generation = 0 AND NOT ignored").select(F.col("id").alias("match"), "package", "file", "pattern", F.col("sline").alias("s"), F.col("eline").alias("e")).join(p, "pattern").join(shuffled(f), "file")
+    best = F.min(F.struct((-F.col("risk")).alias("less"), "license")).alias("b")
+    cover = m.where("license <> '' AND NOT catch_all").groupBy("package", "dir").agg(best).select("package", "dir", F.col("b.license").alias("covered_by"))
+    o = t.file_snippets.where("generation = 0").select("id", "file", "package", "sline", "eline")
+    met = overlaps(o.select("id", "file", "sline", "eline"), m.select("match", "file", "license", "s", "e"), "file", ("sline", "eline"), ("s", "e"))
+    named = F.when(F.col("license") != "", F.col("license"))
+    inner = met.groupBy("id").agg(F.count_if(F.col("license") == "").alias("keywords"), F.array_sort(F.collect_set(named)).alias("overlapping"))
+    rows = o.join(shuffled(f), "file", "left").join(shuffled(inner), "id", "left").join(shuffled(cover), ["package", "dir"], "left")
+    return rows.select("id", F.coalesce("keywords", F.lit(0)).alias("keywords"), F.coalesce("overlapping", F.array().cast("array<string>")).alias("overlapping"), "covered_by")
