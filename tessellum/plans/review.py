@@ -154,3 +154,23 @@ def _(t: Tables) -> DataFrame:
     inner = met.groupBy("id").agg(F.count_if(F.col("license") == "").alias("keywords"), F.array_sort(F.collect_set(named)).alias("overlapping"))
     rows = o.join(shuffled(f), "file", "left").join(shuffled(inner), "id", "left").join(shuffled(cover), ["package", "dir"], "left")
     return rows.select("id", F.coalesce("keywords", F.lit(0)).alias("keywords"), F.coalesce("overlapping", F.array().cast("array<string>")).alias("overlapping"), "covered_by")
+
+
+@query("Q22_report_files", """WITH m AS (SELECT m.package, m.file, max(p.risk) AS risk, count(DISTINCT p.license) FILTER (WHERE p.license <> '') AS licenses FROM pattern_matches m JOIN license_patterns p ON p.id = m.pattern WHERE m.generation = 0 AND NOT m.ignored GROUP BY 1, 2),
+  u AS (SELECT file, count(DISTINCT snippet) AS unresolved FROM file_snippets WHERE generation = 0 AND resolution IS NULL GROUP BY 1)
+  SELECT f.package, f.id AS file, f.filename, coalesce(m.risk, 0) AS risk, coalesce(m.licenses, 0) AS licenses, coalesce(u.unresolved, 0) AS unresolved FROM matched_files f LEFT JOIN m ON m.file = f.id AND m.package = f.package LEFT JOIN u ON u.file = f.id WHERE f.generation = 0 AND (m.file IS NOT NULL OR u.file IS NOT NULL)""")
+def _(t: Tables) -> DataFrame:
+    """The files of each report with their highest risk, their licenses and their unresolved snippets."""
+    p = t.license_patterns.select(F.col("id").alias("pattern"), "risk", F.nullif("license", F.lit("")).alias("license"))
+    m = t.pattern_matches.where("generation = 0 AND NOT ignored").join(p, "pattern").groupBy("package", "file").agg(F.max("risk").alias("risk"), F.countDistinct("license").alias("licenses"))
+    u = t.file_snippets.where("generation = 0 AND resolution IS NULL").groupBy("file").agg(F.countDistinct("snippet").alias("unresolved"))
+    f = t.matched_files.where("generation = 0").select("package", F.col("id").alias("file"), "filename")
+    rows = f.join(shuffled(m), ["package", "file"], "left").join(shuffled(u), "file", "left").where("risk IS NOT NULL OR unresolved IS NOT NULL")
+    return rows.na.fill(0, ["risk", "licenses", "unresolved"]).select("package", "file", "filename", "risk", "licenses", "unresolved")
+
+
+@query("Q08_requests", r"SELECT CAST(substr(external_link, 5) AS BIGINT) AS request, count(*) AS packages, list_sort(list(DISTINCT state)) AS states, max(id) AS newest FROM bot_packages WHERE regexp_matches(external_link, '^req#\d+$') GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    """The packages and states of each request."""
+    rows = t.bot_packages.where(F.col("external_link").rlike(r"^req#\d+$"))
+    return rows.groupBy(F.substring("external_link", 5, 30).cast("long").alias("request")).agg(F.count("*").alias("packages"), F.array_sort(F.collect_set("state")).alias("states"), F.max("id").alias("newest"))
