@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from tessellum.functions.paths import LICENSE_NAMES, SOURCE_EXTENSIONS
-from tessellum.llm import origin
 
 _W = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 
@@ -32,18 +31,25 @@ P6_FOUND = rf"""WITH RECURSIVE s AS (SELECT id, regexp_replace(lower(text), '[^\
   SELECT DISTINCT min(y) OVER (PARTITION BY x) AS keep_id, x AS copy_id FROM r QUALIFY min(y) OVER (PARTITION BY x) <> x"""
 
 
-def _any(patterns: tuple[str, ...]) -> str:
-    return "(?i)" + "|".join(f"(?:{p})" for p in patterns)
-
-
 _BASE = "regexp_extract(filename, '[^/]*$')"
-_DIRS = rf"(?i)(?:^|/){origin.VENDOR}/", rf"(?i)(?:^|/){origin.GENERATED_DIRECTORIES}/"
 _FOLD = r"regexp_replace(lower({0}), '[_.\s]+', '-', 'g')"
+# Written out once more, by directories, whole names, endings and beginnings, not by the expressions of the operator.
+_COPIES = "'vendor', '_vendor', 'vendored', '_vendored', 'thirdparty', 'third_party', 'third-party', '3rdparty', '3rd_party', '3rd-party', 'external', 'externals', 'bundled', 'node_modules', 'bower_components', 'jspm_packages', 'subprojects', 'godeps', '_workspace', 'site-packages'"
+_MADE = "'gen', 'autogen', 'autogenerated', 'auto-generated', '__generated__', 'generated', 'autom4te.cache', " + ", ".join(f"'generated{sep}{x}'" for sep in "_-" for x in ("source", "sources", "src", "code"))
+_NAMES = "'configure', 'makefile.in', 'config.h.in', 'aclocal.m4', 'bindata.go', 'r.java', 'buildconfig.java', 'config.guess', 'config.sub', 'ltmain.sh', 'depcomp', 'libtool.m4', 'y.output', 'package-lock.json', 'npm-shrinkwrap.json', 'yarn.lock', 'pnpm-lock.yaml', 'cargo.lock', 'composer.lock', 'gemfile.lock', 'poetry.lock', 'pipfile.lock', 'go.sum', 'flake.lock'"
+_ENDS = ", ".join(f"'{x}'" for x in (
+    *(f".pb{gw}.{x}" for gw in ("", ".gw") for x in ("go", "cc", "h", "c")), "_pb2.py", "_pb2.pyi", "_pb2_grpc.py", "_pb2_grpc.pyi", ".pb.dart", ".pb.swift", "_pb.js", "_pb.rb", "_pb.d.ts", *(f"{sep}gen.{x}" for sep in "._-" for x in ("h", "hpp", "c", "cc", "cpp", "go", "ts", "js", "rs", "java", "py")),
+    ".g.dart", ".g.cs", ".g.i.cs", ".freezed.dart", ".graphql.ts", ".graphql.tsx", ".generated.ts", ".generated.tsx", ".designer.cs", ".designer.vb", "_wrap.cxx", "_wrap.cpp", "_wrap.c", *(f".tab.{x}" for x in ("c", "h", "cpp", "hpp", "cc", "hc", "cxx", "hxx")), ".yy.c", ".yy.cc", ".yy.cpp", ".yy.cxx", ".swagger.json",
+    *(f"{sep}min.{x}" for sep in "._-" for x in ("js", "mjs", "cjs", "css")), *(f".{k}.{x}" for k in ("bundle", "pack", "packed", "compressed", "compiled", "chunk") for x in ("js", "mjs", "css")), ".js.map", ".mjs.map", ".css.map",
+    ".xpm", ".xbm", *(f".{k}.{x}" for k in ("bin", "dat", "raw", "rom") for x in ("c", "h", "inc", "cpp")), ".hex.h", ".hex.c", ".hex.inc", "_rom.inc", "_rom.h", "_rom.c", *(f"_{k}.{x}" for k in ("blob", "bitmap", "image", "bytes") for x in ("h", "c", "inc", "xpm")), *(f"{sep}{k}.{x}" for sep in "._-" for k in ("b64", "base64") for x in ("js", "ts", "css", "py", "h", "c")),
+    ".wasm.js", ".dump.sql", "_dump.sql", "-dump.sql",
+))
+_OTHER = r"[._-](auto)?generated\.\w+$|_grpc[._]pb\.\w+$|^zz_generated\.|^(moc|qrc|ui)_\w+\.(cpp|cxx|cc|h)$|^ui_\w+\.py$|^lex\.\w+\.(c|cc|cpp|cxx)$|[.-][0-9a-f]{8,}(\.chunk|\.bundle|\.min)?\.(js|mjs|css)$|_(ucd|unicode|lookup|lut|crc)_(table|tables|data)\.\w+$|_(wordlist|lut|dict|table)_data\.\w+$|^embedded_\w+_(png|jpg|jpeg|gif|ico|ttf|svg|wav|pdf)\.\w+$"
 P1_FOUND = rf"""WITH c AS (SELECT package, {_FOLD.format("trim(n)")} AS n FROM (SELECT package, regexp_extract(trim(name), '[^/:]*$') AS n FROM package_components UNION ALL SELECT package, regexp_extract(purl, '^pkg:[^/]+/(?:[^@?#]*/)?([^/@?#]+)', 1) FROM package_components)),
   own AS (SELECT id AS package, {_FOLD.format("trim(name)")} AS n FROM bot_packages), d AS (SELECT DISTINCT package, n FROM c WHERE n <> '' AND (package, n) NOT IN (SELECT package, n FROM own WHERE n IS NOT NULL)),
-  f AS (SELECT id, package, filename, string_split(filename, '/') AS s FROM matched_files WHERE filename <> ''),
+  f AS (SELECT id, package, s, lower(s[len(s)]) AS base, [lower(x) FOR x IN s[1:len(s) - 1]] AS dirs FROM (SELECT id, package, string_split(filename, '/') AS s FROM matched_files WHERE filename <> '')),
   p AS (SELECT id, package, unnest(list_concat(list_concat(s[1:len(s) - 1], [regexp_replace(x, '[-@_]v?\d[\w.+~-]*$', '') FOR x IN s[1:len(s) - 1]]), [regexp_extract(s[len(s)], '^[^.]+')])) AS x FROM f)
-  SELECT id AS file_id FROM f WHERE regexp_matches(filename, '{_DIRS[0]}') OR regexp_matches(filename, '{_DIRS[1]}') OR regexp_matches({_BASE}, '{_any(origin.GENERATED)}') OR regexp_matches({_BASE}, '{_any(origin.MINIFIED)}') OR regexp_matches({_BASE}, '{_any(origin.DATA)}')
+  SELECT id AS file_id FROM f WHERE list_has_any(dirs, [{_COPIES}]) OR len([x FOR x IN dirs IF regexp_matches(x, '^vendor\.tar\.[a-z0-9]+\._\.$')]) > 0 OR list_has_any(dirs, [{_MADE}]) OR base IN ({_NAMES}) OR len([x FOR x IN [{_ENDS}] IF ends_with(base, x)]) > 0 OR regexp_matches(base, '{_OTHER}')
   UNION SELECT p.id FROM p JOIN d ON d.package = p.package AND d.n = {_FOLD.format("p.x")}"""
 
 # Values are read with one pass of replacements, their names compared by edit distance instead of a similarity join.
