@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessellum.llm import residue
 
@@ -81,3 +82,18 @@ def test_features_stay_in_their_record():
         assert (each[starts[k] : starts[k] + n] == own[alone[0] : alone[0] + n]).all()
     w = np.random.default_rng(1).normal(size=1 << residue.BITS)
     assert np.allclose(residue.best_scores(texts, w, 0.5), [residue.best_scores([t], w, 0.5)[0] for t in texts])
+
+
+def test_every_record_counts_in_shards(spark, monkeypatch):
+    """More records than one shard takes: all of them are fitted, set the threshold or are measured."""
+    monkeypatch.setattr(residue, "SHARD", 1000)
+    rows = list(planted(6, 4000))
+    df = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    base = residue._base(df, "doc_id", "text")
+    parts = {r.part: r.n for r in base.groupBy(residue._part("doc_id", "text").alias("part")).agg(F.count("*").alias("n")).collect()}
+    assert residue._training(base).select("doc_id").distinct().count() == sum(n for part, n in parts.items() if part > 1)
+    seen, whole = [], residue.best_threshold
+    monkeypatch.setattr(residue, "best_threshold", lambda score, label: seen.append(len(score)) or whole(score, label))
+    figures = residue.validation(df).first()
+    assert figures.records == parts[0] and seen == [parts[1]]
+    assert figures.recall > 0.9 and figures.precision > 0.9
