@@ -11,6 +11,7 @@ from tests.compare import connection, rows_of
 QUERIES = [
     "JN15_inverted_index",
     "LA11_best_license",
+    "LA12_closest_pattern",
 ]
 
 
