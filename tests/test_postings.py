@@ -12,6 +12,7 @@ QUERIES = [
     "JN15_inverted_index",
     "LA11_best_license",
     "LA12_closest_pattern",
+    "LA14_closest_patterns",
 ]
 
 
