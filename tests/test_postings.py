@@ -13,6 +13,7 @@ QUERIES = [
     "LA11_best_license",
     "LA12_closest_pattern",
     "LA14_closest_patterns",
+    "Q27_rescored",
 ]
 
 
