@@ -14,6 +14,7 @@ QUERIES = [
     "LA12_closest_pattern",
     "LA14_closest_patterns",
     "Q27_rescored",
+    "LA42_fold_calibration",
 ]
 
 
