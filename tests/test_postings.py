@@ -15,6 +15,7 @@ QUERIES = [
     "LA14_closest_patterns",
     "Q27_rescored",
     "LA42_fold_calibration",
+    "AGG27_precision_recall",
 ]
 
 
