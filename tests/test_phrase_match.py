@@ -23,6 +23,7 @@ def most_joined(df):
 
 QUERIES = [
     "LA02_plain_matches",
+    "LA02_matches",
 ]
 
 
