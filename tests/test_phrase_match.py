@@ -24,6 +24,7 @@ def most_joined(df):
 QUERIES = [
     "LA02_plain_matches",
     "LA02_matches",
+    "LA02_texts_with_pattern",
 ]
 
 
