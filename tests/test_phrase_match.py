@@ -25,6 +25,7 @@ QUERIES = [
     "LA02_plain_matches",
     "LA02_matches",
     "LA02_texts_with_pattern",
+    "LA04_indexed_files",
 ]
 
 
