@@ -2,6 +2,8 @@
 
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessellum.operators import postings
@@ -32,3 +34,38 @@ def test_slices_of_the_index_agree_with_sql(spark, data, name, monkeypatch):
     df = catalog.queries()[name](spark, data)
     want = connection(data).sql(catalog.oracle_sql()[name])
     assert rows_of(df.columns, df.collect()) == rows_of(want.columns, want.fetchall())
+
+
+def test_texts_are_numbered_where_they_are_read(spark, data):
+    plan = catalog.queries()["LA14_closest_patterns"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(h#", plan)
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_numbers_that_are_too_many_to_broadcast_agree_with_sql(spark, data, name, monkeypatch):
+    monkeypatch.setattr(postings, "NUMBERS", 100)
+    df = catalog.queries()[name](spark, data)
+    want = connection(data).sql(catalog.oracle_sql()[name])
+    assert rows_of(df.columns, df.collect()) == rows_of(want.columns, want.fetchall())
+
+
+def test_only_owners_that_can_be_among_the_best_are_weighed_whole(monkeypatch):
+    rng, owners, rare, common = np.random.default_rng(1), 3000, 12, 40
+    has = [np.sort(np.append(rng.choice(rare, 2 + (i % 50 == 0) * 8, replace=False), rare + rng.choice(common, 10, replace=False))) for i in range(owners)]
+    table = pa.table({"owner": pa.array([str(i) for i in range(owners)]), "first": pa.array(range(owners), pa.int64()), "places": pa.array(has, pa.list_(pa.int32()))})
+    index = postings.Index(None, None, 3, np.array([rare, rare + common]), 1, None, np.array([8.0, 2.0]))
+    places = np.append(has[150], rare + np.setdiff1d(np.arange(common), has[150] - rare)[:5]).astype(np.int32)
+    places = np.sort(places)
+    of, weighed = {}, []
+    monkeypatch.setattr(postings, "_against", lambda texts, index, schema, rows: of.setdefault("rows", rows))
+    shared = postings.Lists.shared
+    monkeypatch.setattr(postings.Lists, "shared", lambda self, at, w, some, *more: weighed.append(len(some)) or shared(self, at, w, some, *more))
+    postings.best(None, index, 3, 20, 4.0, 2)
+    text = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([places], pa.list_(pa.int32())), pa.array([1])], ["id", "places", "unknown"])
+    (got,) = of["rows"](postings.lists_of(table), table["owner"].combine_chunks(), table["first"].to_numpy(), [text])
+    total = sum(8.0 if p < rare else 2.0 for p in places) + 1
+    both = {i: np.intersect1d(has[i], places) for i in range(owners)}
+    scores = {i: sum(8.0 if p < rare else 2.0 for p in x) / total for i, x in both.items() if (x < rare).sum() >= 2}
+    want = sorted((-round(s, 9), i) for i, s in scores.items())[:3]
+    assert [(-round(s, 9), int(i)) for i, s in zip(got["owner"].to_pylist(), got["score"].to_pylist(), strict=True)] == want
+    assert weighed and sum(weighed) < len(scores) / 5
