@@ -1,5 +1,6 @@
 """The inverted index of shingles: whole results in slices and batches, and no shuffled pairs of text and owner."""
 
+import pickle
 import re
 
 import numpy as np
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from tessellum.operators import postings
-from tessellum.plans import catalog
+from tessellum.plans import catalog, general
 from tests.compare import connection, rows_of
 
 QUERIES = [
@@ -69,3 +70,19 @@ def test_only_owners_that_can_be_among_the_best_are_weighed_whole(monkeypatch):
     want = sorted((-round(s, 9), i) for i, s in scores.items())[:3]
     assert [(-round(s, 9), int(i)) for i, s in zip(got["owner"].to_pylist(), got["score"].to_pylist(), strict=True)] == want
     assert weighed and sum(weighed) < len(scores) / 5
+
+
+def test_stale_texts_are_neither_copied_nor_shuffled_by_shingle(spark, data, monkeypatch):
+    monkeypatch.setattr(general, "cut", lambda df: pytest.fail("the texts are written to disk"))
+    plan = catalog.queries()["Q27_rescored"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(h#", plan)
+
+
+def test_a_slice_is_sent_as_its_places_alone():
+    sizes = np.full(2000, 50, np.int32)
+    places = np.concatenate([np.sort(np.random.default_rng(i).choice(20_000, 50, replace=False)) for i in range(2000)]).astype(np.int32)
+    lists = postings.Lists(places, sizes)
+    sent = pickle.dumps(lists)
+    assert len(sent) < 5 * len(places)
+    again = pickle.loads(sent)
+    assert all(np.array_equal(getattr(lists, name), getattr(again, name)) for name in ("owner", "key", "start"))
