@@ -86,3 +86,53 @@ def test_a_slice_is_sent_as_its_places_alone():
     assert len(sent) < 5 * len(places)
     again = pickle.loads(sent)
     assert all(np.array_equal(getattr(lists, name), getattr(again, name)) for name in ("owner", "key", "start"))
+
+
+def test_nothing_but_the_owners_texts_is_shuffled_to_count(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(2)
+
+    def texts(n):
+        return [None, "", "a", "a b"] + [" ".join(f"word{i}" for i in rng.integers(0, 300, 30)) for _ in range(n)]
+
+    snippets, patterns = texts(396), texts(796)
+    for i in range(4):
+        spark.createDataFrame([(k, snippets[k]) for k in range(i, 400, 4)], "id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/snippets.parquet")
+    owned = [(k, p, [f"L{k % 90}", "", None][(k % 30 == 7) + (k % 30 == 8) * 2]) for k, p in enumerate(patterns)]
+    spark.createDataFrame(owned, "id long, pattern string, license string").write.parquet(f"{tmp_path}/license_patterns.parquet")
+    monkeypatch.setattr(postings, "ENTRIES", 8000)
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(True).head().totalShuffleWrite()
+
+    before = written()
+    df = catalog.queries()["JN15_inverted_index"](spark, str(tmp_path))
+    got = {(r.id, r.license): r.shared for r in df.collect()}
+    assert written() - before < sum(len(x or "") for x in patterns)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+    def shingles(text):
+        w = re.findall(r"[a-z0-9]+", text or "")
+        return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} or {(x,) for x in w}
+
+    by = {}
+    for _, p, license in owned:
+        if license:
+            by.setdefault(license, set()).update(shingles(p))
+    assert got == {(k, owner): n for k, x in enumerate(snippets) for owner, s in by.items() if (n := len(s & shingles(x)))} and got
+
+
+@pytest.mark.parametrize("per", [0, 500])
+def test_owners_of_shingles_are_sent_compressed(per):
+    rng = np.random.default_rng(3)
+    all_of = rng.integers(-(2**63), 2**63, 20_000)
+    h = np.concatenate([rng.choice(all_of, per, replace=False) for _ in range(1000)])
+    owners = postings.Owners.of(h, np.full(1000, per))
+    sent = pickle.dumps(owners)
+    assert len(sent) < 2.5 * len(h) + 1000
+    again = pickle.loads(sent)
+    assert again.n == owners.n and all(np.array_equal(getattr(owners, name), getattr(again, name)) for name in ("key", "size", "owner", "start"))
+    here, at = again.lists(np.append(h[:50], 12345))
+    assert here.tolist() == [True] * len(h[:50]) + [False]
+    assert all(k // max(per, 1) in again.owner[again.start[a] : again.start[a] + again.size[a]] for k, a in enumerate(at))
